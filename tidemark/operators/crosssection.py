@@ -140,17 +140,32 @@ def winsorized_zscores(
             *df.columns,
             *[_clip(F.col(f), F.col(f"{f}_q0"), F.col(f"{f}_q1")).alias(f"_c_{f}") for f in factors],
         )
-        moments = clip.groupBy(*keys).agg(
-            *[F.avg(f"_c_{f}").alias(f"_m_{f}") for f in factors],
-            *[F.stddev_pop(f"_c_{f}").alias(f"_s_{f}") for f in factors],
-        )
-        stats = clip.join(moments, keys)
+        stats = clip.join(_exact_moments(clip, keys, factors), keys)
     return stats.select(
         *[F.col(c) for c in df.columns],
         *[_z(F.col(f"_c_{f}"), F.col(f"_m_{f}"), F.col(f"_s_{f}")).alias(prefix + f) for f in factors],
     )
 
 
+def _exact_moments(clip: DataFrame, keys: list[str], factors: list[str]) -> DataFrame:
+    """Mean and population deviation from decimal sums: equal in any merge order, so a
+    recomputed task or a second read of the plan gives the same scores to join on."""
+    wide = lambda c: c.cast("decimal(38,18)")
+    aggs = []
+    for f in factors:
+        c = F.col(f"_c_{f}")
+        aggs += [F.count(c).alias(f"_n_{f}"), F.sum(wide(c)).alias(f"_a_{f}"), F.sum(wide(c * c)).alias(f"_b_{f}"),
+                 (F.min(c) == F.max(c)).alias(f"_flat_{f}")]
+    sums = clip.groupBy(*keys).agg(*aggs)
+    out = []
+    for f in factors:
+        n = F.nullif(F.col(f"_n_{f}").cast("double"), F.lit(0.0))
+        mean = F.col(f"_a_{f}").cast("double") / n
+        var = F.greatest(F.col(f"_b_{f}").cast("double") / n - mean * mean, F.lit(0.0))
+        out += [mean.alias(f"_m_{f}"), F.when(F.col(f"_flat_{f}"), 0.0).otherwise(F.sqrt(var)).alias(f"_s_{f}")]
+    return sums.select(*keys, *out)
+
+
 def _clip(value: Column, low: Column, high: Column) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
 

@@ -39,6 +39,8 @@ class ScoreConfig:
     lower: float = 0.05
     upper: float = 0.95
     min_coverage: float = 1.0
+    # Scores equal to this many digits tie, so a rank never depends on summation order.
+    score_digits: int = 9
 
     def __post_init__(self):
         if not self.specs or any(s.weight <= 0 for s in self.specs):
@@ -258,7 +260,7 @@ def score_table(
     coverage = have / total
     scored = scored.withColumn("factor_coverage", coverage).withColumn(
         "composite_score",
-        F.when(F.col("factor_coverage") >= config.min_coverage - 1e-12, add / F.nullif(have, F.lit(0.0))),
+        F.when(F.col("factor_coverage") >= config.min_coverage - 1e-12, F.round(add / F.nullif(have, F.lit(0.0)), config.score_digits)),
     )
     ranked = rank_min(
         scored, keys, "composite_score", "rank", bounded=small, count_out="_scored"
@@ -417,7 +419,7 @@ def score_configs(
         add = sum((F.coalesce(F.col("z_" + s.name), F.lit(0.0)) * (s.weight * s.sign) for s in cfg.specs), F.lit(0.0))
         cases.append(F.struct(
             F.lit(cid).alias("config_id"), (have / total).alias("factor_coverage"),
-            F.when(have / total >= cfg.min_coverage - 1e-12, add / F.nullif(have, F.lit(0.0))).alias("composite_score"),
+            F.when(have / total >= cfg.min_coverage - 1e-12, F.round(add / F.nullif(have, F.lit(0.0)), cfg.score_digits)).alias("composite_score"),
         ))
     exploded = zed.select(*keys, "symbol", F.inline(F.array(*cases)))
     ranked = rank_min(exploded, ["config_id", *keys], "composite_score", "rank", bounded=small, count_out="_scored")

@@ -117,7 +117,7 @@ def scored(source: str, key: str, weights: dict[str, tuple[float, int]]) -> dict
         "clipped": f"SELECT t.*, {clip} FROM {source} t JOIN bounds USING ({key})",
         "moments": f"SELECT {key}, {moment} FROM clipped GROUP BY {key}",
         "zed": f"SELECT c.*, {z} FROM clipped c JOIN moments USING ({key})",
-        "mixed": f"SELECT *, ({mix}) / {total} AS composite_score FROM zed",
+        "mixed": f"SELECT *, round(({mix}) / {total}, 9) AS composite_score FROM zed",
         "scored": f"""SELECT *, rank() OVER (PARTITION BY {key} ORDER BY composite_score DESC) AS rank, count(*) OVER (PARTITION BY {key}) AS n FROM mixed""",
     }
 
