@@ -102,27 +102,28 @@ def extract_status_events(announcements: DataFrame, patterns: ExtractPatterns =
     clean = lambda c: F.regexp_replace(c, "^[“”\"' ]+|[“”\"' ]+$", "")
     st = lambda c: F.contains(F.upper(c), F.lit("ST"))
 
-    changes = None
-    for i in range(len(p.names)):
+    def name_rows(i: int) -> Column:
         zipped = F.arrays_zip(f"_name{i}", f"_name{i}g1", f"_name{i}g2")
-        rows = F.transform(zipped, lambda m, i=i: F.struct(
+        return F.transform(zipped, lambda m: F.struct(
             m[f"_name{i}"]["s"].alias("s"), m[f"_name{i}"]["e"].alias("e"), clean(m[f"_name{i}g1"]).alias("before"), clean(m[f"_name{i}g2"]).alias("after"),
         ))
-        if changes is None:
-            changes = rows
-        else:
-            earlier = changes
-            fresh = F.filter(rows, lambda r, earlier=earlier: ~F.exists(earlier, lambda q: (q["s"] == r["s"]) & (q["e"] == r["e"])))
-            changes = F.concat(changes, fresh)
+
+    def unseen(rows: Column, earlier: Column) -> Column:
+        return F.filter(rows, lambda r: ~F.exists(earlier, lambda q: (q["s"] == r["s"]) & (q["e"] == r["e"])))
+
+    changes = name_rows(0)
+    for i in range(1, len(p.names)):
+        changes = F.concat(changes, unseen(name_rows(i), changes))
     df = df.withColumn("_changes", changes).withColumn("_changes", F.filter("_changes", lambda c: st(c["before"]) != st(c["after"])))
 
-    found = []
-    for i in range(len(p.dates)):
+    def date_rows(i: int) -> Column:
         zipped = F.arrays_zip(f"_date{i}", f"_date{i}g1", f"_date{i}g2", f"_date{i}g3")
-        found.append(F.transform(zipped, lambda m, i=i: F.struct(
+        return F.transform(zipped, lambda m: F.struct(
             F.lit(i).alias("rank"), m[f"_date{i}"]["s"].alias("s"), m[f"_date{i}"]["e"].alias("e"),
             resolve_date(m[f"_date{i}g1"], m[f"_date{i}g2"], m[f"_date{i}g3"], F.col("announcement_time")).alias("value"),
-        )))
+        ))
+
+    found = [date_rows(i) for i in range(len(p.dates))]
     df = df.withColumn("_dates", F.filter(F.concat(*found), lambda d: d["value"].isNotNull()))
 
     def pair(c: Column) -> Column:
@@ -154,7 +155,7 @@ def extract_status_events(announcements: DataFrame, patterns: ExtractPatterns =
         .when(F.size("_dates") == 0, "no_explicit_effective_date").when(distinct == 0, "no_consistent_action_date_pair")
         .when(distinct > 1, "ambiguous_multiple_verified_events").otherwise("verified")
     )
-    df = df.withColumn("parse_status", status).withColumn("_event", F.when(F.col("parse_status") == "verified", F.element_at("_events", -1)))
+    df = df.withColumn("parse_status", status).withColumn("_event", F.when(F.col("parse_status") == "verified", F.try_element_at("_events", F.lit(-1))))
     return df.select(
         *announcements.columns, "parse_status", F.col("_event.key.effective_date").alias("effective_date"), F.col("_event.key.before_name").alias("before_name"),
         F.col("_event.key.after_name").alias("after_name"), st(F.col("_event.key.before_name")).alias("is_st_before"),

@@ -70,7 +70,7 @@ def facts_latest_at_cutoffs(facts: DataFrame, cutoffs: list[str]) -> DataFrame:
 
 def _enter(facts: DataFrame, cutoffs: list[str]) -> DataFrame:
     from_day = F.greatest("available_at", "period_end")
-    first = F.element_at(F.filter(_cutoff_array(cutoffs), lambda c: c >= from_day), 1)
+    first = F.try_element_at(F.filter(_cutoff_array(cutoffs), lambda c: c >= from_day), F.lit(1))
     last = max(cutoffs)
     return facts.where(from_day <= _stamp(last)).withColumn("_first", first)
 
@@ -188,7 +188,7 @@ def snapshot_as_of(master: DataFrame, cutoffs: list[str]) -> DataFrame:
     Snapshot times are few; they are matched to cutoffs first, then one equi join reads rows.
     """
     times = master.select("observed_at").distinct()
-    first = F.element_at(F.filter(_cutoff_array(cutoffs), lambda c: c >= F.col("observed_at")), 1)
+    first = F.try_element_at(F.filter(_cutoff_array(cutoffs), lambda c: c >= F.col("observed_at")), F.lit(1))
     entered = times.withColumn("_first", first).where(F.col("_first").isNotNull()).groupBy("_first").agg(
         F.max("observed_at").alias("observed_at")
     )

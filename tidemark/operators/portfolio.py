@@ -189,7 +189,7 @@ _KEPT = """slice(filter(acc.held, h -> d.date_no - h.entry < minimum_holding
 _ADDED = f"""transform(
     filter(coalesce(d.entries, array()), e -> NOT exists({_KEPT}, k -> k.symbol = e.symbol)),
     e -> coalesce(
-        element_at(filter(acc.held, h -> h.symbol = e.symbol), 1),
+        try_element_at(filter(acc.held, h -> h.symbol = e.symbol), 1),
         named_struct('symbol', e.symbol, 'board', e.board, 'is_st', e.is_st, 'entry', d.date_no)))"""
 _NEXT = f"array_sort(slice(concat({_KEPT}, {_ADDED}), 1, max_stock_positions))"
 _STEP = f"""named_struct(

@@ -76,11 +76,23 @@ VIEWS = {
         FROM returns r JOIN drawdowns m60 USING (symbol, trade_date)
         WINDOW w AS (PARTITION BY r.symbol ORDER BY r.trade_date), w20 AS (PARTITION BY r.symbol ORDER BY r.trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
         w60 AS (PARTITION BY r.symbol ORDER BY r.trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""",
+    "rankings": """SELECT m.symbol, as_of, close, amount, close / lag(close) OVER w - 1 AS momentum_20,
+        close / ((close + lag(close, 1) OVER w + lag(close, 2) OVER w) / 3) - 1 AS trend_close_ma20, CAST(rank() OVER (PARTITION BY as_of ORDER BY amount DESC) AS INTEGER) AS rank,
+        l.name, l.exchange, l.board, CAST(m.symbol AS BIGINT) % 11 = 3 AS is_st
+        FROM (SELECT symbol, CAST(date_trunc('month', trade_date) AS DATE) AS as_of, arg_max(close, trade_date) / 100 AS close, sum(amount) AS amount FROM bars GROUP BY 1, 2) m
+        JOIN lifecycle l USING (symbol) WINDOW w AS (PARTITION BY m.symbol ORDER BY as_of)""",
+    "chosen": """SELECT as_of, symbol, board, is_st, 1.0 / count(*) OVER (PARTITION BY as_of) AS weight FROM (
+        SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY rank, symbol) AS rn FROM rankings) WHERE rn <= 5""",
+    "steps": "SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS next_as_of FROM (SELECT DISTINCT as_of FROM rankings)",
+    "signals": """SELECT 'EW' AS portfolio_id, as_of AS trade_date, symbol, CAST(weight AS DOUBLE) AS target_weight, board, is_st, 'stock' AS instrument_type FROM chosen
+        UNION ALL SELECT 'EW', s.next_as_of, c.symbol, 0.0, c.board, c.is_st, 'stock' FROM chosen c JOIN steps s USING (as_of)
+        WHERE s.next_as_of IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chosen n WHERE n.as_of = s.next_as_of AND n.symbol = c.symbol)""",
 }
 
 NEEDS = {
     "master_history": ["master"], "spot": ["bars"], "archive_amounts": ["quarters"], "archive_states": ["quarters"], "returns": ["bars"],
     "drawdowns": ["bars"], "panel": ["returns", "drawdowns"],
+    "rankings": ["bars", "lifecycle"], "chosen": ["rankings"], "steps": ["rankings"], "signals": ["chosen", "steps"],
 }
 
 

@@ -301,3 +301,31 @@ def announcement_texts(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", code("doc_id").alias("symbol"), F.concat(F.col("text"), F.lit("\n"), notice).alias("text"),
         F.date_add(F.lit("2024-01-01").cast("date"), (k % 360).cast("int")).cast("timestamp").alias("announcement_time"),
     )
+
+
+def rankings(spark: SparkSession, sf: str) -> DataFrame:
+    """Month-grain rankings by traded amount with a month's last price and its trend."""
+    from pyspark.sql import Window
+
+    from tidemark.operators.crosssection import rank_min
+
+    month = F.trunc("trade_date", "month")
+    monthly = bars(spark, sf).groupBy("symbol", month.alias("as_of")).agg(
+        (F.max_by("close", "trade_date") / 100).alias("close"), F.sum("amount").alias("amount")
+    )
+    w = Window.partitionBy("symbol").orderBy("as_of")
+    past = (F.col("close") + F.lag("close", 1).over(w) + F.lag("close", 2).over(w)) / 3
+    dated = monthly.withColumns({
+        "momentum_20": F.col("close") / F.lag("close").over(w) - 1.0, "trend_close_ma20": F.col("close") / past - 1.0,
+    })
+    life = lifecycle(spark, sf).select("symbol", "name", "exchange", "board", (F.col("symbol").cast("long") % 11 == 3).alias("is_st"))
+    return rank_min(dated, ["as_of"], "amount", "rank").join(life, "symbol")
+
+
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal-weight signals of the five best ranked names, one portfolio."""
+    from tidemark.operators.portfolio import equal_weight_signals
+
+    return equal_weight_signals(rankings(spark, sf), 5).select(
+        F.lit("EW").alias("portfolio_id"), "trade_date", "symbol", "target_weight", "board", "is_st", F.lit("stock").alias("instrument_type")
+    )
