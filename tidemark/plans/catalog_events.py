@@ -71,15 +71,15 @@ _TXT = """docs AS (SELECT doc_id, n_chars % 8 AS form, '甲' || CAST(n_chars % 7
 
 @query("extract_status_events", f"""WITH {_TXT} SELECT doc_id, CASE form WHEN 0 THEN CASE WHEN stated IS NULL THEN 'no_explicit_effective_date' ELSE 'verified' END WHEN 1 THEN CASE WHEN nearest IS NULL THEN 'no_explicit_effective_date' ELSE 'verified' END
     WHEN 2 THEN CASE WHEN nearest IS NULL THEN 'no_explicit_effective_date' ELSE 'no_consistent_action_date_pair' END WHEN 4 THEN 'no_explicit_effective_date'
-    WHEN 5 THEN CASE WHEN stated IS NULL THEN 'no_explicit_effective_date' ELSE 'ambiguous_multiple_verified_events' END WHEN 6 THEN 'no_explicit_effective_date' ELSE 'no_boolean_name_transition' END AS parse_status,
-    CASE form WHEN 0 THEN stated WHEN 1 THEN nearest END AS effective_date, CASE WHEN form = 0 AND stated IS NOT NULL THEN a WHEN form = 1 AND nearest IS NOT NULL THEN b END AS before_name, CASE WHEN form = 0 AND stated IS NOT NULL THEN b WHEN form = 1 AND nearest IS NOT NULL THEN a END AS after_name,
-    CASE WHEN form = 0 AND stated IS NOT NULL THEN 'apply_st' WHEN form = 1 AND nearest IS NOT NULL THEN 'remove_st' END AS action FROM dated""")
+    WHEN 5 THEN CASE WHEN stated IS NULL THEN 'no_explicit_effective_date' ELSE 'ambiguous_multiple_verified_events' END WHEN 6 THEN CASE WHEN nearest IS NULL THEN 'no_explicit_effective_date' ELSE 'verified' END ELSE 'no_boolean_name_transition' END AS parse_status,
+    CASE form WHEN 0 THEN stated WHEN 1 THEN nearest WHEN 6 THEN nearest END AS effective_date, CASE WHEN (form = 0 AND stated IS NOT NULL) OR (form = 6 AND nearest IS NOT NULL) THEN a WHEN form = 1 AND nearest IS NOT NULL THEN b END AS before_name, CASE WHEN (form = 0 AND stated IS NOT NULL) OR (form = 6 AND nearest IS NOT NULL) THEN b WHEN form = 1 AND nearest IS NOT NULL THEN a END AS after_name,
+    CASE WHEN (form = 0 AND stated IS NOT NULL) OR (form = 6 AND nearest IS NOT NULL) THEN 'apply_st' WHEN form = 1 AND nearest IS NOT NULL THEN 'remove_st' END AS action FROM dated""")
 def _(spark, sf):
     return X.extract_status_events(V.announcement_texts(spark, sf)).select("doc_id", "parse_status", "effective_date", "before_name", "after_name", "action")
 
 
 @query("parser_rates", f"""WITH {_TXT} SELECT CASE WHEN doc_id % 2 = 0 THEN 'SSE_apply' ELSE 'SZSE_apply' END AS cohort, count(*) AS sample_count, count(*) FILTER (WHERE v) AS verified_count, {r('avg(CAST(v AS INTEGER))')} AS verified_rate
-    FROM (SELECT doc_id, coalesce((form = 0 AND stated IS NOT NULL) OR (form = 1 AND nearest IS NOT NULL), false) AS v FROM dated) GROUP BY 1""")
+    FROM (SELECT doc_id, coalesce((form = 0 AND stated IS NOT NULL) OR (form IN (1, 6) AND nearest IS NOT NULL), false) AS v FROM dated) GROUP BY 1""")
 def _(spark, sf):
     t = V.announcement_texts(spark, sf).withColumn("cohort", F.when(F.col("doc_id") % 2 == 0, "SSE_apply").otherwise("SZSE_apply"))
     return rounded(A.parser_rates(X.extract_status_events(t)))

@@ -57,9 +57,9 @@ def _(spark, sf):
     return N.normalize_bars_derived(raw).select("symbol", "trade_date", "close", "change", "change_pct", "amplitude_pct", "turnover_pct")
 
 
-@query("normalize_benchmark", with_views(["index_series"], f"SELECT trade_date, {r('close')} AS close FROM index_series"))
+@query("normalize_benchmark", with_views(["index_series"], "SELECT trade_date, close FROM index_series"))
 def _(spark, sf):
-    return rounded(N.normalize_benchmark(V.benchmark(spark, sf).withColumnsRenamed({"trade_date": "日期", "close": "收盘"})).clean)
+    return N.normalize_benchmark(V.benchmark(spark, sf).withColumnsRenamed({"trade_date": "日期", "close": "收盘"})).clean
 
 
 @query("merge_bars", with_views(["bars"], f"""SELECT symbol, trade_date, CASE WHEN CAST(trade_date - DATE '2020-01-01' AS INTEGER) % 3 = 0 THEN close * 2 ELSE close END AS close FROM bars"""))

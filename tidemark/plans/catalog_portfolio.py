@@ -265,12 +265,12 @@ _SIZED = f"""SELECT *, shares * price AS notional FROM (SELECT *, CAST(floor(abs
     SELECT f.*, scenario_id, open * CASE WHEN side = 'buy' THEN 1 + bps / 10000 ELSE 1 - bps / 10000 END AS price FROM filled f, {_SCEN})) WHERE shares > 0"""
 
 
-@query("signal_fills", with_views(["signals", "bars"], f"""SELECT scenario_id, symbol, signal_date, fill_date AS trade_date, side, shares, price, {r('notional', 2)} AS notional, {r('round(greatest(notional * 0.0003, 5.0) + 1e-12, 2)', 2)} AS commission,
-    {r("round(CASE WHEN side = 'sell' THEN notional * CASE WHEN fill_date >= DATE '2023-08-28' THEN 0.0005 ELSE 0.001 END ELSE 0 END + 1e-12, 2)", 2)} AS stamp_duty, {r('abs(price - open) * shares', 2)} AS slippage_cost, CAST(fill_date - signal_date AS INTEGER) AS days_waited FROM sized""",
+@query("signal_fills", with_views(["signals", "bars"], f"""SELECT scenario_id, symbol, signal_date, fill_date AS trade_date, side, shares, price, notional, {r('round(greatest(notional * 0.0003, 5.0) + 1e-12, 2)', 2)} AS commission,
+    {r("round(CASE WHEN side = 'sell' THEN notional * CASE WHEN fill_date >= DATE '2023-08-28' THEN 0.0005 ELSE 0.001 END ELSE 0 END + 1e-12, 2)", 2)} AS stamp_duty, abs(price - open) * shares AS slippage_cost, CAST(fill_date - signal_date AS INTEGER) AS days_waited FROM sized""",
     {**_FILLS, "sized": _SIZED}))
 def _(spark, sf):
     f = P.signal_fills(V.signals(spark, sf), V.bars(spark, sf), 10_000_000.0, scenarios={"a5": 5.0, "b10": 10.0, "c20": 20.0}, max_wait_days=60, keys=["portfolio_id"])
-    return rounded(f.select("scenario_id", "symbol", "signal_date", "trade_date", "side", "shares", "price", *[F.round(c, 2).alias(c) for c in ("notional", "commission", "stamp_duty", "slippage_cost")], "days_waited"), exact=("price",))
+    return rounded(f.select("scenario_id", "symbol", "signal_date", "trade_date", "side", "shares", "price", "notional", "commission", "stamp_duty", "slippage_cost", "days_waited"), 2, exact=("price", "notional", "slippage_cost"))
 
 
 @query("mark_to_market", with_views(["signals", "bars"], f"""SELECT portfolio_id, p.trade_date, {r('coalesce(sum(shares * b.close), 0)', 2)} AS market_value FROM (SELECT portfolio_id, trade_date, symbol, CAST(100 + CAST(symbol AS BIGINT) % 5 AS DOUBLE) AS shares FROM signals) p
