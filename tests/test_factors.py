@@ -28,7 +28,7 @@ def test_short_history_is_refused(spark):
 
 def test_factor_engine_excludes_illiquid(spark):
     bars = trend_bars(spark, [("000001", 0.04, 8e7), ("000002", 0.01, 4e7), ("000003", 0.02, 5e6)], n=90)
-    ranking, exclusions = W.factor_engine(bars)
+    ranking, exclusions = W.factor_engine(bars, bounded=True)
     got = ranking.orderBy("rank").collect()
     assert [r["symbol"] for r in got] and {r["symbol"] for r in got} == {"000001", "000002"}
     assert all(r["factor_coverage"] == pytest.approx(1.0) for r in got)
@@ -153,8 +153,8 @@ def test_historical_rankings_stale_modes(spark):
     bars = trend_bars(spark, [("000001", 0.04, 8e7), ("000002", 0.01, 8e7), ("000003", 0.02, 8e7)], n=70)
     last = bars.agg(F.max("trade_date")).first()[0]
     bars = bars.where(~((F.col("symbol") == "000001") & (F.col("trade_date") == F.lit(last))))
-    scored = W.historical_rankings(bars, W.CONFIG_V2, stale="score_then_drop").where(F.col("as_of") == F.lit(last))
-    fresh = W.historical_rankings(bars, W.CONFIG_V2, stale="drop_then_score").where(F.col("as_of") == F.lit(last))
+    scored = W.historical_rankings(bars, W.CONFIG_V2, stale="score_then_drop", bounded=True).where(F.col("as_of") == F.lit(last))
+    fresh = W.historical_rankings(bars, W.CONFIG_V2, stale="drop_then_score", bounded=True).where(F.col("as_of") == F.lit(last))
     assert {r["symbol"] for r in scored.collect()} == {r["symbol"] for r in fresh.collect()} == {"000002", "000003"}
     assert sorted(r["rank"] for r in fresh.collect()) == [1, 2]
     assert len({r["rank"] for r in scored.collect()}) == 2 and max(r["rank"] for r in scored.collect()) == 3

@@ -29,6 +29,17 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A table the unbounded plan reads several times: checkpointed in the shared folder the
+    cluster names, so its windows run once; returned as it is where no folder is named."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def is_bounded(df: DataFrame, bounded: bool | None, limit: int = BOUNDED_BYTES) -> bool:
     return plan_bytes(df) <= limit if bounded is None else bounded
 
@@ -46,7 +57,7 @@ def _value_ranges(values: DataFrame, keys: list[str], value: str, ranges: int) -
 def ordered_values(
     df: DataFrame, keys: list[str], value: str, descending: bool, ranges: int = RANGES
 ) -> DataFrame:
-    """One row per distinct (keys, value): ``_n`` copies, ``_before`` rows ordered ahead."""
+    """One row per distinct (keys, value): ``_n`` copies, ``_before`` rows ordered ahead, ``_total`` rows."""
     values = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -56,6 +67,7 @@ def ordered_values(
     offsets = (
         cut.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
         .withColumn("_offset", F.sum("_size").over(by_range) - F.col("_size"))
+        .withColumn("_total", F.sum("_size").over(Window.partitionBy(*keys)))
         .drop("_size")
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(order(value))
@@ -70,20 +82,18 @@ def rank_min(
     df: DataFrame, keys: list[str], value: str, out: str, *, descending: bool = True,
     bounded: bool | None = None, count_out: str | None = None, ranges: int = RANGES,
 ) -> DataFrame:
-    """Rank with ties sharing the lowest rank; NULL values get no rank."""
+    """Rank with ties sharing the lowest rank; NULL values get neither rank nor count."""
     if is_bounded(df, bounded):
         group = Window.partitionBy(*keys)
         col = F.col(value)
         w = group.orderBy(col.desc_nulls_last() if descending else col.asc_nulls_last())
         ranked = df.withColumn(out, F.when(col.isNotNull(), F.rank().over(w)))
-        return ranked.withColumn(count_out, F.count(col).over(group)) if count_out else ranked
+        return ranked.withColumn(count_out, F.when(col.isNotNull(), F.count(col).over(group))) if count_out else ranked
+    extra = [F.col("_total").alias(count_out)] if count_out else []
     ranks = ordered_values(df, keys, value, descending, ranges).select(
-        *keys, value, (F.col("_before") + 1).cast("int").alias(out)
+        *keys, value, (F.col("_before") + 1).cast("int").alias(out), *extra
     )
     ranked = df.join(ranks, [*keys, value], "left")
-    if count_out:
-        totals = df.groupBy(*keys).agg(F.count(value).alias(count_out))
-        ranked = ranked.join(totals, keys)
     return ranked.select(*df.columns, out, *([count_out] if count_out else []))
 
 
@@ -97,8 +107,6 @@ def quantile_columns(
     )
     gkeys = [*keys, "_factor"]
     ordered = ordered_values(long, gkeys, "_value", False, ranges)
-    totals = ordered.groupBy(*gkeys).agg(F.sum("_n").alias("_total"))
-    placed = ordered.join(totals, gkeys)
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("_total") - 1) * F.lit(float(p))
@@ -106,7 +114,7 @@ def quantile_columns(
             hit = (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
             aggs.append(F.max(F.when(hit, F.col("_value"))).alias(f"_{part}{i}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_frac{i}"))
-    per_factor = placed.groupBy(*gkeys).agg(*aggs)
+    per_factor = ordered.groupBy(*gkeys).agg(*aggs)
     blend = lambda i: F.col(f"_lo{i}") * (1 - F.col(f"_frac{i}")) + F.col(f"_hi{i}") * F.col(f"_frac{i}")
     wide = [
         F.max(F.when(F.col("_factor") == f, blend(i))).alias(f"{f}_q{i}")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.checks import Checked, check_rows
-from tidemark.operators.crosssection import is_bounded, rank_min, winsorized_zscores
+from tidemark.operators.crosssection import is_bounded, rank_min, settled, winsorized_zscores
 from tidemark.schema import BAR_NUMERIC
 
 MIN_BARS = 61
@@ -249,6 +249,7 @@ def score_table(
     """
     keys = keys or ["as_of"]
     small = is_bounded(table, bounded)
+    table = table if small else settled(table)
     names = [s.name for s in config.specs]
     zed = winsorized_zscores(table, keys, names, config.lower, config.upper, bounded=small)
     scored = zed.select(
@@ -278,14 +279,16 @@ def duplicate_members(table: DataFrame, keys: list[str] | None = None) -> DataFr
     return table.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 
 
-def factor_engine(bars: DataFrame, config: ScoreConfig = CONFIG_V1, **gates) -> tuple[DataFrame, DataFrame]:
+def factor_engine(
+    bars: DataFrame, config: ScoreConfig = CONFIG_V1, *, bounded: bool | None = None, **gates
+) -> tuple[DataFrame, DataFrame]:
     """S3: (ranking, exclusions) over each symbol's latest bar, as one cross-section."""
     latest = latest_bars(factor_panel(bars, **gates))
     eligible = latest.where(F.col("reason") == "eligible").select(
         F.lit("latest").alias("_run"), "symbol", F.col("trade_date").alias("as_of"), "close",
         "average_amount_20", *FACTORS,
     )
-    ranking = score_table(eligible, config, ["_run"], bounded=gates.get("bounded")).drop("_run")
+    ranking = score_table(eligible, config, ["_run"], bounded=bounded).drop("_run")
     shown = F.when(~F.col("reason").startswith("insufficient_history"), F.col("average_amount_20"))
     exclusions = latest.where(F.col("reason") != "eligible").select(
         "symbol", "reason", shown.alias("average_amount_20")
@@ -410,6 +413,7 @@ def score_configs(
         raise ValueError("configs scored together must share winsor bounds")
     (lower, upper), = bounds
     small = is_bounded(table, bounded)
+    table = table if small else settled(table)
     names = sorted({s.name for c in configs.values() for s in c.specs})
     zed = winsorized_zscores(table, keys, names, lower, upper, bounded=small)
     cases = []
