@@ -21,7 +21,8 @@ def last_before(
     """
     order = F.lit(1 if inclusive else -1)
     row = F.struct(F.col(fact_time).alias(fact_time), *payload)
-    left = facts.select(*on, F.col(fact_time).alias("_t"), F.lit(0).alias("_k"), row.alias(out))
+    wanted = facts.join(asks.select(*on).distinct(), on, "left_semi")
+    left = wanted.select(*on, F.col(fact_time).alias("_t"), F.lit(0).alias("_k"), row.alias(out))
     kind = left.schema[out].dataType
     right = asks.select(*on, F.col(ask_time).alias("_t")).distinct().select(
         *on, "_t", order.alias("_k"), F.lit(None).cast(kind).alias(out)
@@ -42,11 +43,9 @@ def state_around(
     Adds prior_date, prior_is_st, prior_age_days, day_is_st, day_trade_status.  States older than
     ``max_age_days`` are kept (a verdict needs their age) unless a bound is asked for.
     """
-    mine = states.join(events.select("symbol").distinct(), "symbol", "left_semi").select(
-        "symbol", "trade_date", "is_st", "trade_status"
-    )
+    mine = states.select("symbol", "trade_date", "is_st", "trade_status")
     prior = last_before(events, mine, ["symbol"], event_day, "trade_date", ["is_st"], inclusive=False, out="_prior")
-    exact = mine.select(
+    exact = mine.join(events.select("symbol").distinct(), "symbol", "left_semi").select(
         "symbol", F.col("trade_date").alias(event_day), F.col("is_st").alias("day_is_st"),
         F.col("trade_status").alias("day_trade_status"),
     )
@@ -75,7 +74,8 @@ def next_tradable_bar(
     kind = ["symbol", "board", "is_st", "side"]
     combos = signals.select(*kind).distinct()
     w = by_symbol()
-    seen = bars.select("symbol", "trade_date", "open", "close", "volume").withColumn(
+    traded = bars.join(signals.select("symbol").distinct(), "symbol", "left_semi")
+    seen = traded.select("symbol", "trade_date", "open", "close", "volume").withColumn(
         "previous_close", F.lag("close").over(w)
     )
     tested = seen.join(combos, "symbol").withColumn(

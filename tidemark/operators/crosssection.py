@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BOUNDED_BYTES = 1 << 30
+BOUNDED_BYTES = 256 << 20
 RANGES = 128
 
 
@@ -30,8 +30,8 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A table the unbounded plan reads several times: checkpointed in the shared folder the
-    cluster names, so its windows run once; returned as it is where no folder is named."""
+    """A derived table that later steps read several times: checkpointed in the shared folder the
+    cluster names, so it is computed once; returned as it is where no folder is named."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:

@@ -38,6 +38,9 @@ class ExtractPatterns:
     apply: str = "(?:实施|被实施)"
     remove: str = "撤销"
     continued: str = "继续(?:被)?实施.{0,30}风险警示"
+    # A text without one of these literals cannot hold a match, so no pattern is run on it.
+    names_need: tuple[str, ...] = ("变更为", "变为")
+    dates_need: tuple[str, ...] = ("月",)
     max_distance: int = 500
     before_window: int = 220
     after_window: int = 300
@@ -50,23 +53,16 @@ def squeeze(text: Column) -> Column:
     )
 
 
-def _spans(text: str, pattern: str) -> str:
-    """SQL: array of (start, end) of every match of a pattern, from the pieces between matches."""
-    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    hits = f"regexp_extract_all({text}, '{p}', 0)"
-    gaps = f"split({text}, '{p}', -1)"
+def _spans(hits: str, gaps: str) -> str:
+    """SQL: (start, end, hit) of every match, from the matches and the pieces between them."""
     return f"""aggregate(
         zip_with({hits}, slice({gaps}, 1, size({hits})), (h, g) -> named_struct('hit', h, 'gap', g)),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,e:int>>)),
+        named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,e:int,hit:string>>)),
         (acc, m) -> named_struct('at', acc.at + length(m.gap) + length(m.hit),
-            'out', concat(acc.out, array(named_struct('s', acc.at + length(m.gap), 'e', acc.at + length(m.gap) + length(m.hit))))),
+            'out', concat(acc.out, array(named_struct('s', acc.at + length(m.gap), 'e', acc.at + length(m.gap) + length(m.hit), 'hit', m.hit)))),
         acc -> acc.out)"""
 
 
-def _lit(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def resolve_date(year: Column, month: Column, day: Column, announced: Column) -> Column:
     """A stated year must lie -60..+30 days from the announcement; without one the nearest of
     the three years around it within -730..+30 days."""
@@ -94,18 +90,27 @@ def extract_status_events(announcements: DataFrame, patterns: ExtractPatterns =
     """
     p = patterns
     df = announcements.withColumn("_text", squeeze(F.coalesce("text", F.lit(""))))
-    for kind, regexes, groups in (("name", p.names, 2), ("date", p.dates, 3)):
+    # Each pattern scans a text twice (matches, and the pieces between); groups are read from the
+    # short matches afterwards, which is the same as no pattern looks around its match.
+    nothing = F.array().cast("array<string>")
+    for kind, regexes, needs in (("name", p.names, p.names_need), ("date", p.dates, p.dates_need)):
+        may = F.lit(False)
+        for literal in needs:
+            may = may | F.contains(F.col("_text"), F.lit(literal))
         for i, rx in enumerate(regexes):
-            df = df.withColumn(f"_{kind}{i}", F.expr(_spans("_text", rx)))
-            for g in range(1, groups + 1):
-                df = df.withColumn(f"_{kind}{i}g{g}", F.expr(f"regexp_extract_all(_text, {_lit(rx)}, {g})"))
+            df = df.withColumns({
+                f"_{kind}{i}h": F.when(may, F.regexp_extract_all("_text", F.lit(rx), F.lit(0))).otherwise(nothing),
+                f"_{kind}{i}g": F.when(may, F.split("_text", rx, -1)).otherwise(nothing),
+            })
+    for kind, regexes in (("name", p.names), ("date", p.dates)):
+        df = df.withColumns({f"_{kind}{i}": F.expr(_spans(f"_{kind}{i}h", f"_{kind}{i}g")) for i in range(len(regexes))})
     clean = lambda c: F.regexp_replace(c, "^[“”\"' ]+|[“”\"' ]+$", "")
     st = lambda c: F.contains(F.upper(c), F.lit("ST"))
 
     def name_rows(i: int) -> Column:
-        zipped = F.arrays_zip(f"_name{i}", f"_name{i}g1", f"_name{i}g2")
-        return F.transform(zipped, lambda m: F.struct(
-            m[f"_name{i}"]["s"].alias("s"), m[f"_name{i}"]["e"].alias("e"), clean(m[f"_name{i}g1"]).alias("before"), clean(m[f"_name{i}g2"]).alias("after"),
+        group = lambda m, g: clean(F.regexp_extract(m["hit"], p.names[i], g))
+        return F.transform(f"_name{i}", lambda m: F.struct(
+            m["s"].alias("s"), m["e"].alias("e"), group(m, 1).alias("before"), group(m, 2).alias("after"),
         ))
 
     def unseen(rows: Column, earlier: Column) -> Column:
@@ -117,10 +122,10 @@ def extract_status_events(announcements: DataFrame, patterns: ExtractPatterns =
     df = df.withColumn("_changes", changes).withColumn("_changes", F.filter("_changes", lambda c: st(c["before"]) != st(c["after"])))
 
     def date_rows(i: int) -> Column:
-        zipped = F.arrays_zip(f"_date{i}", f"_date{i}g1", f"_date{i}g2", f"_date{i}g3")
-        return F.transform(zipped, lambda m: F.struct(
-            F.lit(i).alias("rank"), m[f"_date{i}"]["s"].alias("s"), m[f"_date{i}"]["e"].alias("e"),
-            resolve_date(m[f"_date{i}g1"], m[f"_date{i}g2"], m[f"_date{i}g3"], F.col("announcement_time")).alias("value"),
+        group = lambda m, g: F.regexp_extract(m["hit"], p.dates[i], g)
+        return F.transform(f"_date{i}", lambda m: F.struct(
+            F.lit(i).alias("rank"), m["s"].alias("s"), m["e"].alias("e"),
+            resolve_date(group(m, 1), group(m, 2), group(m, 3), F.col("announcement_time")).alias("value"),
         ))
 
     found = [date_rows(i) for i in range(len(p.dates))]

@@ -365,8 +365,8 @@ def strict_rankings(
 ) -> tuple[DataFrame, DataFrame]:
     """Rank only the (as_of, symbol) pairs observed that day; (ranking, refused dates)."""
     small = is_bounded(bars, bounded)
-    panel = factor_panel(bars, **gates)
     listed = candidates.select("as_of", "symbol").distinct()
+    panel = factor_panel(bars.join(listed.select("symbol").distinct(), "symbol", "left_semi"), **gates)
     known = panel.select("symbol", "trade_date", "reason", "close", "average_amount_20", *FACTORS)
     # The last bar on or before each observed (date, symbol): one ordered pass per symbol.
     payload = F.struct(*[c for c in known.columns if c != "symbol"])

@@ -74,6 +74,15 @@ def rebalance_calendar(rankings: DataFrame, every: int = 5, date: str = "as_of",
     return number_dates(rankings, date, keys or []).where(F.col("date_no") % every == 0)
 
 
+def rebalance_days(rankings: DataFrame, configs: DataFrame) -> DataFrame:
+    """W17 per config: (config_id, as_of, date_no). Due positions are generated from the number
+    of dates and matched by equality; calendar- and config-sized on both sides."""
+    dates = number_dates(rankings, "as_of", [])
+    last = dates.agg(F.max("date_no")).scalar()
+    due = configs.select("config_id", F.explode(F.sequence(F.lit(0), last, F.col("rebalance_every"))).alias("date_no"))
+    return dates.join(due, "date_no").select("config_id", "as_of", "date_no")
+
+
 def top_n_per_date(rankings: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
     """K2: n best by (rank, symbol) per date; a group limit trims rows before the shuffle."""
     w = Window.partitionBy(*(keys or []), "as_of").orderBy("rank", "symbol")
@@ -136,10 +145,9 @@ def hold_buffer_signals(rankings: DataFrame, configs: DataFrame) -> DataFrame:
     one Catalyst fold per config; ranks of the output rows are joined back afterwards.
     """
     base = validate_rankings(rankings).select("as_of", "symbol", "rank", "board", "is_st", "close", "momentum_20", "trend_close_ma20")
-    dates = number_dates(rankings, "as_of", [])
     cfg = F.broadcast(configs)
-    rebalance = dates.join(cfg.select("config_id", "rebalance_every")).where(F.col("date_no") % F.col("rebalance_every") == 0)
-    due = base.join(rebalance.select("config_id", "as_of", "date_no"), "as_of").join(cfg, "config_id")
+    rebalance = rebalance_days(rankings, configs)
+    due = base.join(rebalance, "as_of").join(cfg, "config_id")
     may_enter = (
         (F.col("rank") <= F.col("entry_rank_max"))
         & (~F.col("entry_needs_momentum") | (F.col("momentum_20") > 0))
@@ -163,7 +171,7 @@ def hold_buffer_signals(rankings: DataFrame, configs: DataFrame) -> DataFrame:
     )
     keep_rows = keepers.groupBy("config_id", "as_of").agg(F.collect_list("symbol").alias("keepers"))
     days = (
-        rebalance.select("config_id", "as_of", "date_no").join(entry_rows, ["config_id", "as_of"], "left")
+        rebalance.join(entry_rows, ["config_id", "as_of"], "left")
         .join(keep_rows, ["config_id", "as_of"], "left")
         .groupBy("config_id").agg(F.array_sort(F.collect_list(F.struct("date_no", "as_of", "entries", "keepers"))).alias("_days"))
         .join(cfg.select("config_id", "max_stock_positions", "minimum_holding", "stock_weight_per_position"), "config_id")
@@ -270,11 +278,7 @@ def combine_signals(stock: DataFrame, etf: DataFrame, keys: list[str] | None = N
 def portfolio_sweep(rankings: DataFrame, etf_bars: DataFrame, configs: DataFrame) -> DataFrame:
     """P5: P3 + P4 + U1 for every config in one plan."""
     stock = hold_buffer_signals(rankings, configs)
-    dates = number_dates(rankings, "as_of", [])
-    rebalance = dates.join(F.broadcast(configs.select("config_id", "rebalance_every"))).where(
-        F.col("date_no") % F.col("rebalance_every") == 0
-    ).select("config_id", "as_of")
-    return combine_signals(stock, etf_rotation(etf_bars, rebalance, stock, configs))[0]
+    return combine_signals(stock, etf_rotation(etf_bars, rebalance_days(rankings, configs), stock, configs))[0]
 
 
 def signal_sides(signals: DataFrame, keys: list[str] | None = None) -> DataFrame:

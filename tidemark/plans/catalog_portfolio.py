@@ -9,6 +9,7 @@ from tidemark.operators import asof as J
 from tidemark.operators import normalize as N
 from tidemark.operators import performance as Q
 from tidemark.operators import portfolio as P
+from tidemark.operators.crosssection import settled
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.registry import query, r, rounded
 from tidemark.sources import views as V
@@ -18,35 +19,35 @@ from tidemark.sources import views as V
 
 @query("validate_rankings", with_views(["rankings"], "SELECT as_of, symbol, rank FROM rankings WHERE rank IS NOT NULL AND close > 0 AND momentum_20 IS NOT NULL AND trend_close_ma20 IS NOT NULL"))
 def _(spark, sf):
-    return N.validate_rankings(V.rankings(spark, sf)).select("as_of", "symbol", "rank")
+    return N.validate_rankings(settled(V.rankings(spark, sf))).select("as_of", "symbol", "rank")
 
 
 @query("top_n_per_date", with_views(["chosen"], "SELECT as_of, symbol, board, is_st FROM chosen"))
 def _(spark, sf):
-    return P.top_n_per_date(V.rankings(spark, sf), 5).select("as_of", "symbol", "board", "is_st")
+    return P.top_n_per_date(settled(V.rankings(spark, sf)), 5).select("as_of", "symbol", "board", "is_st")
 
 
 @query("rebalance_calendar", with_views(["steps"], "SELECT as_of, CAST(date_no AS INTEGER) AS date_no FROM (SELECT as_of, row_number() OVER (ORDER BY as_of) - 1 AS date_no FROM steps) WHERE date_no % 5 = 0"))
 def _(spark, sf):
-    return P.rebalance_calendar(V.rankings(spark, sf), 5)
+    return P.rebalance_calendar(settled(V.rankings(spark, sf)), 5)
 
 
 @query("dropped_holdings", with_views(["signals"], "SELECT trade_date AS as_of, symbol FROM signals WHERE target_weight = 0"))
 def _(spark, sf):
-    ranked = V.rankings(spark, sf)
+    ranked = settled(V.rankings(spark, sf))
     chosen = P.top_n_per_date(ranked, 5).select("as_of", "symbol", "board", "is_st")
     return P.dropped_holdings(chosen, ranked).select("as_of", "symbol")
 
 
 @query("equal_weight_signals", with_views(["signals"], f"SELECT trade_date, symbol, {r('least(target_weight, 0.19)')} AS target_weight, board, is_st FROM signals"))
 def _(spark, sf):
-    return rounded(P.equal_weight_signals(V.rankings(spark, sf), 5, 0.19))
+    return rounded(P.equal_weight_signals(settled(V.rankings(spark, sf)), 5, 0.19))
 
 
 @query("equal_weight_snapshot", with_views(["rankings"], f"""SELECT as_of AS signal_date, symbol, name, board, rank, {r('1.0 / count(*) OVER ()')} AS target_weight, 'unknown' AS screen_source FROM rankings
     WHERE as_of = (SELECT max(as_of) FROM rankings) AND rank <= 10"""))
 def _(spark, sf):
-    ranked = V.rankings(spark, sf).withColumn("composite_score", F.col("amount"))
+    ranked = settled(V.rankings(spark, sf)).withColumn("composite_score", F.col("amount"))
     last = ranked.agg(F.max("as_of").alias("as_of"))
     day = ranked.join(F.broadcast(last), "as_of").where(F.col("rank") <= 10)
     rows, _ = P.equal_weight_snapshot(day, F.lit("2027-01-01").cast("timestamp"), "market-v1")
@@ -55,7 +56,7 @@ def _(spark, sf):
 
 @query("weight_cap_check", with_views(["signals"], f"SELECT trade_date, {r('sum(target_weight)')} AS total_weight FROM signals GROUP BY 1 HAVING sum(target_weight) > 0.75 + 1e-7"))
 def _(spark, sf):
-    return rounded(P.weight_cap_check(V.signals(spark, sf), 0.75))
+    return rounded(P.weight_cap_check(settled(V.signals(spark, sf)), 0.75))
 
 
 _BENT = "SELECT *, CASE WHEN CAST(symbol AS BIGINT) % 7 = 1 THEN target_weight * 6 ELSE target_weight END AS w, CASE WHEN CAST(symbol AS BIGINT) % 9 = 2 THEN 'bond' ELSE 'stock' END AS kind FROM signals"
@@ -63,7 +64,7 @@ _BENT = "SELECT *, CASE WHEN CAST(symbol AS BIGINT) % 7 = 1 THEN target_weight *
 
 def _bent_signals(spark, sf):
     k = F.col("symbol").cast("long")
-    return V.signals(spark, sf).withColumns({
+    return settled(V.signals(spark, sf)).withColumns({
         "target_weight": F.when(k % 7 == 1, F.col("target_weight") * 6).otherwise(F.col("target_weight")), "instrument_type": F.when(k % 9 == 2, "bond").otherwise("stock"),
     })
 
@@ -114,7 +115,7 @@ def _recursive(sql: str) -> str:
 @query("hold_buffer_signals", _recursive(with_views(["steps"], f"""SELECT h.config_id, h.trade_date, h.symbol, {r('h.target_weight')} AS target_weight, h.board, h.is_st, CASE WHEN active THEN u.rank END AS source_rank
     FROM hold_rows h LEFT JOIN usable u ON u.as_of = h.trade_date AND u.symbol = h.symbol""", _WALK)))
 def _(spark, sf):
-    s = P.hold_buffer_signals(V.rankings(spark, sf), P.config_table(spark, CONFIGS))
+    s = P.hold_buffer_signals(settled(V.rankings(spark, sf)), P.config_table(spark, CONFIGS))
     return rounded(s.drop("instrument_type"))
 
 
@@ -129,13 +130,13 @@ _ETF = {
 
 @query("etf_snapshot", with_views(["steps", "bars"], f"SELECT as_of, symbol, {r('mom')} AS momentum_20, close FROM fit", _ETF))
 def _(spark, sf):
-    dates = V.rankings(spark, sf).select(F.col("as_of").alias("trade_date")).distinct()
+    dates = settled(V.rankings(spark, sf)).select(F.col("as_of").alias("trade_date")).distinct()
     return rounded(P.etf_snapshot(V.bars(spark, sf), dates), exact=("close",))
 
 
 @query("argmax_per_date", with_views(["steps", "bars"], "SELECT as_of, chosen FROM best", _ETF))
 def _(spark, sf):
-    dates = V.rankings(spark, sf).select(F.col("as_of").alias("trade_date")).distinct()
+    dates = settled(V.rankings(spark, sf)).select(F.col("as_of").alias("trade_date")).distinct()
     return P.best_per_date(P.etf_snapshot(V.bars(spark, sf), dates))
 
 
@@ -150,30 +151,25 @@ _SLEEVE = {
 }
 
 
-def _rebalance_days(spark, ranked, configs):
-    dates = P.number_dates(ranked, "as_of", [])
-    return dates.join(F.broadcast(configs.select("config_id", "rebalance_every"))).where(F.col("date_no") % F.col("rebalance_every") == 0).select("config_id", "as_of")
-
-
 @query("etf_rotation", _recursive(with_views(["steps", "bars"], f"SELECT config_id, trade_date, symbol, {r('target_weight')} AS target_weight, 'ETF10' AS board, 'etf' AS instrument_type FROM etf_rows", _SLEEVE)))
 def _(spark, sf):
-    ranked, configs = V.rankings(spark, sf), P.config_table(spark, CONFIGS)
+    ranked, configs = settled(V.rankings(spark, sf)), P.config_table(spark, CONFIGS)
     stock = P.hold_buffer_signals(ranked, configs)
-    etf = P.etf_rotation(V.bars(spark, sf), _rebalance_days(spark, ranked, configs), stock, configs)
+    etf = P.etf_rotation(V.bars(spark, sf), P.rebalance_days(ranked, configs), stock, configs)
     return rounded(etf.select("config_id", "trade_date", "symbol", "target_weight", "board", "instrument_type"))
 
 
 @query("portfolio_sweep", _recursive(with_views(["steps", "bars"], f"""SELECT config_id, trade_date, 'stock' AS instrument_type, symbol, {r('target_weight')} AS target_weight FROM hold_rows
     UNION ALL SELECT config_id, trade_date, 'etf', symbol, {r('target_weight')} FROM etf_rows""", _SLEEVE)))
 def _(spark, sf):
-    s = P.portfolio_sweep(V.rankings(spark, sf), V.bars(spark, sf), P.config_table(spark, CONFIGS))
+    s = P.portfolio_sweep(settled(V.rankings(spark, sf)), V.bars(spark, sf), P.config_table(spark, CONFIGS))
     return rounded(s.select("config_id", "trade_date", "instrument_type", "symbol", "target_weight"))
 
 
 @query("combine_signals_check", _recursive(with_views(["steps", "bars"], f"""SELECT config_id, trade_date, {r('sum(target_weight)')} AS total_weight FROM (SELECT config_id, trade_date, target_weight FROM hold_rows
     UNION ALL SELECT config_id, trade_date, target_weight FROM etf_rows) GROUP BY 1, 2 HAVING sum(target_weight) > 0.85 + 1e-7""", _SLEEVE)))
 def _(spark, sf):
-    s = P.portfolio_sweep(V.rankings(spark, sf), V.bars(spark, sf), P.config_table(spark, CONFIGS))
+    s = P.portfolio_sweep(settled(V.rankings(spark, sf)), V.bars(spark, sf), P.config_table(spark, CONFIGS))
     return rounded(P.weight_cap_check(s, 0.85, keys=["config_id", "trade_date"]))
 
 
@@ -181,7 +177,7 @@ def _(spark, sf):
     WHERE rank IS NOT NULL AND close > 0 AND momentum_20 IS NOT NULL AND trend_close_ma20 IS NOT NULL GROUP BY 1"""))
 def _(spark, sf):
     ok = (F.col("rank") <= 15) & (F.col("momentum_20") > 0) & (F.col("trend_close_ma20") > 0) & R.affordable_lot(F.col("close"), 5000.0, 0.002)
-    return N.validate_rankings(V.rankings(spark, sf)).groupBy("as_of").agg(F.count(F.lit(1)).alias("usable"), F.count_if(ok).alias("may_enter"))
+    return N.validate_rankings(settled(V.rankings(spark, sf))).groupBy("as_of").agg(F.count(F.lit(1)).alias("usable"), F.count_if(ok).alias("may_enter"))
 
 
 # --- trading rules ----------------------------------------------------------------------------
@@ -255,7 +251,7 @@ _FILLS = {"sided": _SIDED, "filled": _FILLED}
 
 @query("next_tradable_bar", with_views(["signals", "bars"], "SELECT symbol, signal_date, side, fill_date, open AS raw_open, prev AS previous_close FROM filled", _FILLS))
 def _(spark, sf):
-    sided = P.signal_sides(V.signals(spark, sf), ["portfolio_id"]).where(F.col("target_weight") != F.col("previous_weight"))
+    sided = P.signal_sides(settled(V.signals(spark, sf)), ["portfolio_id"]).where(F.col("target_weight") != F.col("previous_weight"))
     got = J.next_tradable_bar(sided, V.bars(spark, sf), max_wait_days=60, keys=["portfolio_id"]).where(F.col("fill_date").isNotNull())
     return got.select("symbol", F.col("trade_date").alias("signal_date"), "side", "fill_date", "raw_open", "previous_close")
 
@@ -269,14 +265,14 @@ _SIZED = f"""SELECT *, shares * price AS notional FROM (SELECT *, CAST(floor(abs
     {r("round(CASE WHEN side = 'sell' THEN notional * CASE WHEN fill_date >= DATE '2023-08-28' THEN 0.0005 ELSE 0.001 END ELSE 0 END + 1e-12, 2)", 2)} AS stamp_duty, abs(price - open) * shares AS slippage_cost, CAST(fill_date - signal_date AS INTEGER) AS days_waited FROM sized""",
     {**_FILLS, "sized": _SIZED}))
 def _(spark, sf):
-    f = P.signal_fills(V.signals(spark, sf), V.bars(spark, sf), 10_000_000.0, scenarios={"a5": 5.0, "b10": 10.0, "c20": 20.0}, max_wait_days=60, keys=["portfolio_id"])
+    f = P.signal_fills(settled(V.signals(spark, sf)), V.bars(spark, sf), 10_000_000.0, scenarios={"a5": 5.0, "b10": 10.0, "c20": 20.0}, max_wait_days=60, keys=["portfolio_id"])
     return rounded(f.select("scenario_id", "symbol", "signal_date", "trade_date", "side", "shares", "price", "notional", "commission", "stamp_duty", "slippage_cost", "days_waited"), 2, exact=("price", "notional", "slippage_cost"))
 
 
 @query("mark_to_market", with_views(["signals", "bars"], f"""SELECT portfolio_id, p.trade_date, {r('coalesce(sum(shares * b.close), 0)', 2)} AS market_value FROM (SELECT portfolio_id, trade_date, symbol, CAST(100 + CAST(symbol AS BIGINT) % 5 AS DOUBLE) AS shares FROM signals) p
     ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.trade_date >= b.trade_date GROUP BY 1, 2"""))
 def _(spark, sf):
-    held = V.signals(spark, sf).select("portfolio_id", "trade_date", "symbol", (100 + F.col("symbol").cast("long") % 5).cast("double").alias("shares"))
+    held = settled(V.signals(spark, sf)).select("portfolio_id", "trade_date", "symbol", (100 + F.col("symbol").cast("long") % 5).cast("double").alias("shares"))
     return rounded(J.mark_to_market(held, V.bars(spark, sf)), 2)
 
 
@@ -297,13 +293,13 @@ _TWE = {
 @query("target_weight_equity", with_views(["signals", "bars"], f"SELECT portfolio_id, trade_date, {r('ln(base * g)', 6)} AS log_equity FROM grow JOIN chain USING (portfolio_id, s)", _TWE))
 def _(spark, sf):
     # The test prices jump by factors, so the compounded equity is shown as its logarithm.
-    e = P.target_weight_equity(V.signals(spark, sf), V.bars(spark, sf))
+    e = P.target_weight_equity(settled(V.signals(spark, sf)), V.bars(spark, sf))
     return rounded(e.select("portfolio_id", "trade_date", F.log("equity").alias("log_equity")))
 
 
 @query("weight_turnover", with_views(["signals"], f"""SELECT portfolio_id, trade_date AS signal_date, {r('sum(abs(target_weight - previous_weight))')} AS turnover FROM (SELECT *, coalesce(lag(target_weight) OVER (PARTITION BY symbol ORDER BY trade_date), 0) AS previous_weight FROM signals) GROUP BY 1, 2"""))
 def _(spark, sf):
-    return rounded(P.weight_turnover(V.signals(spark, sf), ["portfolio_id"]))
+    return rounded(P.weight_turnover(settled(V.signals(spark, sf)), ["portfolio_id"]))
 
 
 # --- performance ------------------------------------------------------------------------------
@@ -393,7 +389,7 @@ def _(spark, sf):
     JOIN (SELECT portfolio_id, count(DISTINCT trade_date) AS signal_dates, count(*) AS signal_rows, count(DISTINCT symbol) AS distinct_symbols FROM signals GROUP BY 1) USING (portfolio_id), (SELECT count(*) AS trade_count FROM filled)""",
     {**_TWE, **_FILLS, "eq": "SELECT portfolio_id, trade_date, base * g AS equity FROM grow JOIN chain USING (portfolio_id, s)"}))
 def _(spark, sf):
-    s, b = V.signals(spark, sf), V.bars(spark, sf)
+    s, b = settled(V.signals(spark, sf)), V.bars(spark, sf)
     fills = P.signal_fills(s, b, 1e9, max_wait_days=60, keys=["portfolio_id"])
     m = Q.shadow_metrics(s, P.target_weight_equity(s, b), fills)
     return rounded(m.withColumn("log_equity", F.log("latest_equity")).drop("latest_equity"))
@@ -402,8 +398,8 @@ def _(spark, sf):
 @query("portfolio_metrics", with_views(["rankings", "signals", "equity"], f"""SELECT s.portfolio_id, rebalance_dates, observed_return_days, {r('win')} AS daily_win_rate, (SELECT count(DISTINCT as_of) FROM rankings) AS ranking_dates, (SELECT max(as_of) FROM rankings) AS latest_ranking_date
     FROM (SELECT 'P1' AS portfolio_id, count(DISTINCT trade_date) AS rebalance_dates FROM signals) s LEFT JOIN (SELECT portfolio_id, count(r) AS observed_return_days, avg(CASE WHEN r > 0 THEN 1.0 WHEN r <= 0 THEN 0.0 END) AS win FROM dds GROUP BY 1) USING (portfolio_id)""", {"dds": _DD}))
 def _(spark, sf):
-    s = V.signals(spark, sf).withColumn("portfolio_id", F.lit("P1"))
-    return rounded(Q.portfolio_metrics(V.rankings(spark, sf), s, V.equity(spark, sf), ["portfolio_id"]))
+    s = settled(V.signals(spark, sf)).withColumn("portfolio_id", F.lit("P1"))
+    return rounded(Q.portfolio_metrics(settled(V.rankings(spark, sf)), s, V.equity(spark, sf), ["portfolio_id"]))
 
 
 def _bias_side(spark, sf, strict):
