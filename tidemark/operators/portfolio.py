@@ -326,8 +326,8 @@ def target_weight_equity(
 
     A holding period runs from the first market day after a signal date to the next signal date's
     own following day.  Inside it the growth is 1 - sum(w) + sum(w * close / entry close), where
-    the entry is the close of the signal date (or the last one before); periods are chained by a
-    sum of logs.  Optional cost is turnover x bps at each signal.
+    the entry is the close of the signal date (or the last one before); periods are chained by
+    products.  Optional cost is turnover x bps at each signal.
     """
     keys = keys or ["portfolio_id"]
     active = signals.select(*keys, "trade_date", "symbol", "target_weight").where(F.col("target_weight") > 0)
@@ -361,12 +361,13 @@ def target_weight_equity(
         fee = 1.0 - F.coalesce("turnover", F.lit(0.0)) * (cost_bps / 10_000.0)
     else:
         fee = F.lit(1.0)
-    w = Window.partitionBy(*keys).orderBy("signal_date").rowsBetween(Window.unboundedPreceding, 0)
+    # Plain products in date order: a period starts exactly where the one before it ended.
+    past = Window.partitionBy(*keys).orderBy("signal_date").rowsBetween(Window.unboundedPreceding, -1)
     chained = period.withColumn("_fee", fee).withColumn(
-        "_base", F.sum(F.log(F.col("_whole")) + F.log("_fee")).over(w) - F.log(F.col("_whole"))
+        "_base", F.coalesce(F.product(F.col("_fee") * F.col("_whole")).over(past), F.lit(1.0)) * F.col("_fee")
     ).select(*keys, "signal_date", "_base")
     return daily.join(chained, [*keys, "signal_date"]).select(
-        *keys, "trade_date", (F.lit(float(initial)) * F.exp("_base") * F.col("_growth")).alias("equity")
+        *keys, "trade_date", (F.lit(float(initial)) * (F.col("_base") * F.col("_growth"))).alias("equity")
     )
 
 

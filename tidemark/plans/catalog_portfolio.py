@@ -385,7 +385,7 @@ def _(spark, sf):
 
 @query("shadow_metrics", with_views(["signals", "bars"], f"""SELECT portfolio_id, observed_return_days, {r('win')} AS daily_win_rate, {r('ln(latest)')} AS log_equity, latest_trade_date, signal_dates, signal_rows, distinct_symbols, trade_count,
     CASE WHEN observed_return_days < 20 THEN 'collecting' WHEN observed_return_days < 60 THEN 'first_review' ELSE 'rolling_validation' END AS validation_phase FROM
-    (SELECT portfolio_id, count(r) AS observed_return_days, avg(CASE WHEN r > 0 THEN 1.0 WHEN r <= 0 THEN 0.0 END) AS win, arg_max(equity, trade_date) AS latest, max(trade_date) AS latest_trade_date FROM (SELECT *, equity / lag(equity) OVER (PARTITION BY portfolio_id ORDER BY trade_date) - 1 AS r FROM eq) GROUP BY 1)
+    (SELECT portfolio_id, count(r) AS observed_return_days, avg(CASE WHEN r > 1e-9 THEN 1.0 WHEN r <= 1e-9 THEN 0.0 END) AS win, arg_max(equity, trade_date) AS latest, max(trade_date) AS latest_trade_date FROM (SELECT *, equity / lag(equity) OVER (PARTITION BY portfolio_id ORDER BY trade_date) - 1 AS r FROM eq) GROUP BY 1)
     JOIN (SELECT portfolio_id, count(DISTINCT trade_date) AS signal_dates, count(*) AS signal_rows, count(DISTINCT symbol) AS distinct_symbols FROM signals GROUP BY 1) USING (portfolio_id), (SELECT count(*) AS trade_count FROM filled)""",
     {**_TWE, **_FILLS, "eq": "SELECT portfolio_id, trade_date, base * g AS equity FROM grow JOIN chain USING (portfolio_id, s)"}))
 def _(spark, sf):
