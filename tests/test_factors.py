@@ -116,7 +116,7 @@ def skewed(spark):
 
 
 def test_unbounded_quantiles_are_exact(spark, skewed):
-    got = {r["as_of"]: r for r in C.quantile_columns(skewed, ["as_of"], ["return_factor", "risk_factor"], [0.05, 0.95, 0.5], ranges=16).collect()}
+    got = {r["as_of"]: r for r in C.quantile_columns(skewed, ["as_of"], ["return_factor", "risk_factor"], [0.05, 0.95, 0.5], ranges=16, range_rows=100).collect()}
     pdf = skewed.toPandas()
     for key, part in pdf.groupby("as_of"):
         for f in ("return_factor", "risk_factor"):
@@ -126,11 +126,13 @@ def test_unbounded_quantiles_are_exact(spark, skewed):
 
 def test_unbounded_rank_equals_window_rank(spark, skewed):
     a = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", bounded=True, count_out="n")
-    b = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", bounded=False, count_out="n", ranges=16)
+    b = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", bounded=False, count_out="n", ranges=16, range_rows=100)
     assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
 
 
-def test_both_plans_score_alike(spark, skewed):
+def test_both_plans_score_alike(spark, skewed, monkeypatch):
+    monkeypatch.setattr(C, "RANGES", 16)
+    monkeypatch.setattr(C, "RANGE_ROWS", 100)
     a = {(r["as_of"], r["symbol"]): r for r in W.score_table(skewed, CFG, bounded=True).collect()}
     b = W.score_table(skewed, CFG, bounded=False).collect()
     assert len(a) == len(b)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 BOUNDED_BYTES = 256 << 20
 RANGES = 128
+RANGE_ROWS = 200_000
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -44,43 +45,64 @@ def is_bounded(df: DataFrame, bounded: bool | None, limit: int = BOUNDED_BYTES)
     return plan_bytes(df) <= limit if bounded is None else bounded
 
 
-def _value_ranges(values: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
-    """Add ``_range`` (monotone in value, ties together) to (keys, value, _n) rows."""
+def _value_ranges(values: DataFrame, keys: list[str], value: str, ranges: int, range_rows: int) -> DataFrame:
+    """Add ``_range`` (monotone in value, ties together) to (keys, value, _n) rows.
+
+    Only groups with more than ``range_rows`` distinct values are sketched and cut.
+    """
+    big = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v")).where(F.col("_v") > range_rows).select(*keys)
     cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    edges = values.groupBy(*keys).agg(
+    edges = values.join(big, keys, "left_semi").groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, cuts, F.lit(2000))).alias("_edges")
     )
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return values.join(edges, keys).withColumn("_range", below).drop("_edges")
+    return values.join(edges, keys, "left").withColumn(
+        "_range", F.when(F.col("_edges").isNull(), 0).otherwise(below)
+    ).drop("_edges")
 
 
 def ordered_values(
-    df: DataFrame, keys: list[str], value: str, descending: bool, ranges: int = RANGES
+    df: DataFrame, keys: list[str], value: str, descending: bool, ranges: int | None = None,
+    range_rows: int | None = None, probs: list[float] | None = None,
 ) -> DataFrame:
-    """One row per distinct (keys, value): ``_n`` copies, ``_before`` rows ordered ahead, ``_total`` rows."""
+    """One row per distinct (keys, value): ``_n`` copies, ``_before`` rows ordered ahead, ``_total`` rows.
+
+    With ``probs`` only the value ranges that hold those quantile positions are ordered.
+    """
     values = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     )
-    cut = _value_ranges(values, keys, value, ranges)
+    cut = _value_ranges(values, keys, value, ranges or RANGES, range_rows or RANGE_ROWS)
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     by_range = Window.partitionBy(*keys).orderBy(order("_range"))
     offsets = (
         cut.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
         .withColumn("_offset", F.sum("_size").over(by_range) - F.col("_size"))
         .withColumn("_total", F.sum("_size").over(Window.partitionBy(*keys)))
-        .drop("_size")
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(order(value))
+    if probs:
+        inside = F.lit(False)
+        for p in probs:
+            for k in _positions(p):
+                inside = inside | ((F.col("_offset") <= k) & (k < F.col("_offset") + F.col("_size")))
+        offsets = offsets.where(inside)
+    in_range = Window.partitionBy(*keys, "_range").orderBy(order(value))
     return (
-        cut.join(offsets, [*keys, "_range"])
-        .withColumn("_before", F.col("_offset") + F.sum("_n").over(inside) - F.col("_n"))
+        cut.join(offsets.drop("_size"), [*keys, "_range"])
+        .withColumn("_before", F.col("_offset") + F.sum("_n").over(in_range) - F.col("_n"))
         .drop("_offset", "_range")
     )
 
 
+def _positions(p: float) -> tuple[Column, Column]:
+    """The two order statistics around quantile p of ``_total`` rows."""
+    pos = (F.col("_total") - 1) * F.lit(float(p))
+    return F.floor(pos), F.ceil(pos)
+
+
 def rank_min(
     df: DataFrame, keys: list[str], value: str, out: str, *, descending: bool = True,
-    bounded: bool | None = None, count_out: str | None = None, ranges: int = RANGES,
+    bounded: bool | None = None, count_out: str | None = None, ranges: int | None = None, range_rows: int | None = None,
 ) -> DataFrame:
     """Rank with ties sharing the lowest rank; NULL values get neither rank nor count."""
     if is_bounded(df, bounded):
@@ -90,7 +112,7 @@ def rank_min(
         ranked = df.withColumn(out, F.when(col.isNotNull(), F.rank().over(w)))
         return ranked.withColumn(count_out, F.when(col.isNotNull(), F.count(col).over(group))) if count_out else ranked
     extra = [F.col("_total").alias(count_out)] if count_out else []
-    ranks = ordered_values(df, keys, value, descending, ranges).select(
+    ranks = ordered_values(df, keys, value, descending, ranges, range_rows).select(
         *keys, value, (F.col("_before") + 1).cast("int").alias(out), *extra
     )
     ranked = df.join(ranks, [*keys, value], "left")
@@ -98,7 +120,8 @@ def rank_min(
 
 
 def quantile_columns(
-    df: DataFrame, keys: list[str], factors: list[str], probs: list[float], ranges: int = RANGES
+    df: DataFrame, keys: list[str], factors: list[str], probs: list[float], ranges: int | None = None,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key: columns ``<factor>_q<i>`` (unbounded plan)."""
     pairs = ", ".join(f"'{f}', `{f}`" for f in factors)
@@ -106,11 +129,11 @@ def quantile_columns(
         *keys, F.expr(f"stack({len(factors)}, {pairs}) as (_factor, _value)")
     )
     gkeys = [*keys, "_factor"]
-    ordered = ordered_values(long, gkeys, "_value", False, ranges)
+    ordered = ordered_values(long, gkeys, "_value", False, ranges, range_rows, probs)
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("_total") - 1) * F.lit(float(p))
-        for part, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+        for part, k in zip(("lo", "hi"), _positions(p)):
             hit = (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
             aggs.append(F.max(F.when(hit, F.col("_value"))).alias(f"_{part}{i}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_frac{i}"))
@@ -143,12 +166,12 @@ def winsorized_zscores(
             *[F.stddev_pop(f"_c_{f}").over(w).alias(f"_s_{f}") for f in factors],
         )
     else:
-        bounds = quantile_columns(df, keys, factors, [lower, upper])
+        bounds = settled(quantile_columns(df, keys, factors, [lower, upper]))
         clip = df.join(bounds, keys).select(
             *df.columns,
             *[_clip(F.col(f), F.col(f"{f}_q0"), F.col(f"{f}_q1")).alias(f"_c_{f}") for f in factors],
         )
-        stats = clip.join(_exact_moments(clip, keys, factors), keys)
+        stats = clip.join(settled(_exact_moments(clip, keys, factors)), keys)
     return stats.select(
         *[F.col(c) for c in df.columns],
         *[_z(F.col(f"_c_{f}"), F.col(f"_m_{f}"), F.col(f"_s_{f}")).alias(prefix + f) for f in factors],
