@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,7 @@ def read_bars(spark: SparkSession, root: str, symbols: list[str] | None = None,
     df = spark.read.schema(_BUCKETED_BARS).parquet(root)
     if symbols:
         wanted = [s.zfill(6) for s in symbols]
-        ids = [r[0] for r in spark.createDataFrame([(s,) for s in wanted], "s string").select(hash_shard(F.col("s"), buckets)).distinct().collect()]
+        ids = sorted({int(hashlib.sha256(s.encode()).hexdigest()[:16], 16) % buckets for s in wanted})
         df = df.where(F.col("bucket").isin(*ids) & F.col("symbol").isin(*wanted))
     return df.select(*S.BARS.names)
 
