@@ -14,6 +14,7 @@ from tidemark.operators.factors import by_symbol, momentum, moving_average
 from tidemark.operators.normalize import validate_rankings
 
 WEIGHT_SLACK = 1e-7
+ENTRY_SALTS = 64
 SIGNAL_COLUMNS = ["trade_date", "symbol", "target_weight", "board", "is_st", "instrument_type", "source_rank"]
 
 
@@ -154,10 +155,15 @@ def hold_buffer_signals(rankings: DataFrame, configs: DataFrame) -> DataFrame:
         & (~F.col("entry_needs_trend") | (F.col("trend_close_ma20") > 0))
         & affordable_lot(F.col("close"), F.col("ticket"), F.col("affordability_buffer"))
     )
+    # First cut inside salted parts, so a date on which most names tie is not sorted in one task;
+    # the first 2 x max of a date are among the first 2 x max of each part.
+    part = Window.partitionBy("config_id", "as_of", "_salt").orderBy("rank", "symbol")
     order = Window.partitionBy("config_id", "as_of").orderBy("rank", "symbol")
+    room = 2 * F.col("max_stock_positions")
     entries = (
-        due.where(may_enter).withColumn("_pos", F.row_number().over(order))
-        .where(F.col("_pos") <= 2 * F.col("max_stock_positions"))
+        due.where(may_enter).withColumn("_salt", F.pmod(F.xxhash64("symbol"), F.lit(ENTRY_SALTS)))
+        .withColumn("_pos", F.row_number().over(part)).where(F.col("_pos") <= room)
+        .withColumn("_pos", F.row_number().over(order)).where(F.col("_pos") <= room)
         .select("config_id", "as_of", "date_no", "symbol", "_pos", "board", "is_st")
     )
     ever = entries.select("config_id", "symbol").distinct()
