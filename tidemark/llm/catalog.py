@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shared_dir
+from .common import kept, shared_dir
+from .decontam import build_index, contamination
 from .mixing import mixed_sizes
 from .warc import warc_round_trip
 
@@ -37,3 +38,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixed_sizes(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", (drawn.copies * drawn["size"]).alias("taken"))
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = kept(build_index(table(spark, sf_dir, "documents")), "index")
+    return contamination(index, table(spark, sf_dir, "benchmark")).drop("mark")
