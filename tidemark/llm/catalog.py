@@ -10,6 +10,7 @@ from .common import kept, shared_dir
 from .decontam import build_index, contamination
 from .mixing import mixed_sizes
 from .warc import warc_round_trip
+from .wavelet import token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,12 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,3 +51,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = kept(build_index(table(spark, sf_dir, "documents")), "index")
     return contamination(index, table(spark, sf_dir, "benchmark")).drop("mark")
+
+
+@query("op4_token_ids")
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"), f"{shared_dir(spark, 'tokens')}/shards", word_tokenizer(), end_id=2)
