@@ -249,7 +249,7 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame, path: str) -> DataFra
     response's length and digest are those of the payload bytes in the archive, a revisit's those of
     its header lines.  One row per page: page_id, payload_bytes, payload_digest, record_type,
     refers_to, and url as archived (line ends percent-encoded).  Empty tables give no rows."""
-    write_warc(archive_records(pages), path)
+    write_warc(archive_records(pages), path, compress=True)
     read = read_warc(spark, path, ["record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload"])
     held = F.col("payload").isNotNull()
     return read.select(
