@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import kept, shared_dir
 from .decontam import build_index, contamination
 from .mixing import mixed_sizes
+from .topk import top_k
 from .warc import warc_round_trip
 from .wavelet import token_ids
 
@@ -56,3 +58,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_ids")
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), f"{shared_dir(spark, 'tokens')}/shards", word_tokenizer(), end_id=2)
+
+
+@query("op8_topk")
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
