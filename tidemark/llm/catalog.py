@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, format_digest
 from .common import kept, shared_dir
 from .decontam import build_index, contamination
+from .langid import fit, held_out, predict
 from .mixing import mixed_sizes
 from .topk import top_k
 from .warc import warc_round_trip
@@ -63,3 +65,18 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_topk")
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op7_chat")
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return format_digest(format_conversations(table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra)))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    models = fit(docs, F.col("doc_id").isNotNull() & ~held)
+    return predict(docs.withColumn("held_out", held), models, keep=["doc_id", "held_out"])
