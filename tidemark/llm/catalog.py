@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_conversations, format_digest
 from .common import kept, shared_dir
 from .decontam import build_index, contamination
+from .jaccard import jaccard_components
 from .langid import fit, held_out, predict
 from .mixing import mixed_sizes
 from .topk import top_k
@@ -80,3 +81,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held_out(F.col("doc_id"), 4, 2)
     models = fit(docs, F.col("doc_id").isNotNull() & ~held)
     return predict(docs.withColumn("held_out", held), models, keep=["doc_id", "held_out"])
+
+
+@query("op6_jaccard")
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("mark")
