@@ -12,6 +12,7 @@ from .common import kept, shared_dir
 from .decontam import build_index, contamination
 from .jaccard import jaccard_components
 from .langid import fit, held_out, predict
+from .mixlm import lm_scores
 from .mixing import mixed_sizes
 from .topk import top_k
 from .warc import warc_round_trip
@@ -86,3 +87,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_jaccard")
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("mark")
+
+
+@query("op5_lm_scores")
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10, 0))
