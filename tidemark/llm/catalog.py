@@ -14,6 +14,7 @@ from .jaccard import jaccard_components
 from .langid import fit, held_out, predict
 from .mixlm import lm_scores
 from .mixing import mixed_sizes
+from .suffix import repeated_spans, span_digest
 from .topk import top_k
 from .warc import warc_round_trip
 from .wavelet import token_ids
@@ -92,3 +93,8 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lm_scores")
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10, 0))
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(repeated_spans(table(spark, sf_dir, "documents")))
