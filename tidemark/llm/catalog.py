@@ -87,7 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_jaccard")
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("mark")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("mark", "group")
 
 
 @query("op5_lm_scores")

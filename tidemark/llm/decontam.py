@@ -238,6 +238,6 @@ def contamination(index: DataFrame, benchmark: DataFrame, *, item_id: str = "ite
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated rows, with all columns; ``mark`` tells rows of one id apart."""
     verdicts = contamination(kept(build_index(docs, doc_id, text), "index"), benchmark, **options)
-    bad = kept(verdicts.where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("mark").alias("_mark")).distinct(), "contaminated")
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_mark"))
+    bad = kept(verdicts.where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct(), "contaminated")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__mark"))
     return docs.join(bad, same, "left_anti")

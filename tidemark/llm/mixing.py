@@ -173,12 +173,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """The mix itself: rows of ``docs``, each repeated as often as it was drawn, with all columns.
     Joined by doc_id, text hash and source; equal rows are numbered so that each takes one draw."""
     drawn = mixed_sizes(docs, doc_id, text, source, **options).where("copies > 0").select("doc_id", "tie", F.col("source").alias("_s"), "copies")
-    equal = Window.partitionBy("_i", "_t", "_s").orderBy("_s")
-    left = docs.withColumns({"_i": F.col(doc_id).cast("long"), "_t": F.xxhash64(F.col(text)), "_s": F.col(source).cast("string")}).withColumn("_k", F.row_number().over(equal))
-    right = drawn.select(F.col("doc_id").alias("_i"), F.col("tie").alias("_t"), "_s", "copies").withColumn("_k", F.row_number().over(equal.orderBy(F.desc("copies"))))
-    same = None
-    right = right.select(*[F.col(c).alias(f"_r{c}") for c in right.columns])
-    for c in ("_i", "_t", "_s", "_k"):
-        test = left[c].eqNullSafe(right[f"_r{c}"])
-        same = test if same is None else same & test
-    return left.join(right, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_rcopies").cast("int")))).select(*docs.columns)
+    key = ["__id", "__tie", "__source"]
+    equal = Window.partitionBy(*key).orderBy(F.lit(1))
+    left = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__tie": F.xxhash64(F.col(text)), "__source": F.col(source).cast("string")}).withColumn("__row", F.row_number().over(equal))
+    right = drawn.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("_s").alias("__source"), "copies").withColumn("__row", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies"))))
+    right = right.toDF(*[f"__r{c}" for c in right.columns])
+    same = F.lit(True)
+    for c in (*key, "__row"):
+        same = same & left[c].eqNullSafe(right[f"__r{c}"])
+    return left.join(right, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__rcopies").cast("int")))).select(*docs.columns)

@@ -27,7 +27,7 @@ from .common import LOWER, SPACES, byte_table, concat_ranges, file_system, kept,
 MAGIC = b"WVMX0001"
 BLOCK_BITS = 1 << 16
 SHARD_TOKENS = 8 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 2_000_000
 
 
 # ---------------------------------------------------------------- the file
@@ -200,23 +200,37 @@ class WordEncoder:
         return self.encoder.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        """Pieces known: sorted hashes, the slot of each, and per slot where its ids are."""
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.at, self.size, self.data = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
-        found: list[np.ndarray] = []
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each, -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.slot[at], -1)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        found, sizes = [], []
         for i in range(0, len(pieces), 2000):
-            words = [p.decode() for p in pieces[i : i + 2000]]
-            ids = np.array(self._ids(f" {MARK} ".join(words)), np.uint32) if self.mark is not None else None
+            words = pieces[i : i + 2000]
+            joined = f" {MARK} ".join(words)
+            ids = np.array(self._ids(joined), np.uint32) if self.mark is not None else None
             cuts = np.flatnonzero(ids == self.mark) if ids is not None else []
-            if len(cuts) == len(words) - 1 and not any(MARK in w for w in words):
-                found += [x[1:] if k else x for k, x in enumerate(np.split(ids, cuts))]
+            if len(cuts) == len(words) - 1 == joined.count(MARK):
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+                found.append(np.delete(ids, cuts))
             else:
-                found += [np.array(self._ids(w), np.uint32) for w in words]
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.slot.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
-        self.at = np.concatenate([self.at, len(self.data) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
+                each = [np.array(self._ids(w), np.uint32) for w in words]
+                sizes.append(np.array([len(x) for x in each]))
+                found += each
+        size = np.concatenate(sizes).astype(np.int64)
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.slot = np.insert(self.slot, where, np.arange(len(self.at), len(self.at) + len(keys), dtype=np.int32))
+        self.at = np.concatenate([self.at, len(self.data) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
         self.data = np.concatenate([self.data, *found])
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,15 +246,15 @@ class WordEncoder:
         starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
         hashes = word_hashes(low, starts, ends)
         unique, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slot) > CACHE_WORDS:
+        if len(self.keys) > CACHE_WORDS:
             self._clear()
-        slots = [self.slot.get(h, -1) for h in unique.tolist()]
-        new = [k for k, s in enumerate(slots) if s < 0]
-        if new:
-            data = low.tobytes()
-            self._learn([int(unique[k]) for k in new], [data[starts[where[k]] : ends[where[k]]] for k in new])
-            slots = [self.slot[h] for h in unique.tolist()]
-        slot = np.array(slots, np.int64)[which]
+        slots = self._known(unique)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            data, a, b = low.tobytes(), starts[where[new]].tolist(), ends[where[new]].tolist()
+            self._learn(unique[new], [data[x:y].decode() for x, y in zip(a, b, strict=True)])
+            slots = self._known(unique)
+        slot = slots[which]
         sizes = self.size[slot] if len(slot) else np.zeros(0, np.int64)
         ids = self.data[concat_ranges(self.at[slot], sizes)] if len(slot) else np.zeros(0, np.uint32)
         before = np.concatenate([[0], np.cumsum(sizes)])
