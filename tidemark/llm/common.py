@@ -43,10 +43,10 @@ def qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(conf).makeQualified(at).toString()
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The table written to the shared folder and read back: computed once, lineage cut."""
     path = f"{shared_dir(df.sparkSession, name)}/table"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

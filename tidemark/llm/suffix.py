@@ -200,7 +200,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     n, folder = n_blocks(spark), f"{shared_dir(spark, 'suffix')}"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
-    shards = kept(_shards(rows), "shards")
+    shards = kept(_shards(rows), "shards", "zstd")
 
     def send_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, _, _, raw, offs in _open(batches):
@@ -212,19 +212,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             prefix = prefix_hash(raw)
             blocks = suffix_blocks(prefix, offs, length)
             state = _answers(f"{folder}/blocks", shard, blocks[2])
-            starts, hashes = _split_strings(prefix, blocks, state, length)
-            whole = state == WHOLE
-            write_file(f"{folder}/found/{shard}", [np.array([whole.sum(), len(starts)], np.int64).tobytes(), blocks[0][whole].tobytes(), blocks[1][whole].tobytes(), starts.tobytes(), hashes.tobytes()])
+            _, hashes = _split_strings(prefix, blocks, state, length)
             yield from _send(shard, n, hashes, None)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, ids, tags, raw, offs in _open(batches):
-            system, at = file_system(f"{folder}/found/{shard}")
-            with system.open_input_stream(at) as f:
-                found = np.frombuffer(f.read(), np.int64)
-            a, b = found[:2]
-            low, high, starts = np.split(found[2 : 2 + 2 * a + b], [a, 2 * a])
-            hit = starts[_answers(f"{folder}/strings", shard, found[2 + 2 * a + b :].view(np.uint64)) == WHOLE]
+            prefix = prefix_hash(raw)
+            blocks = suffix_blocks(prefix, offs, length)
+            state = _answers(f"{folder}/blocks", shard, blocks[2])
+            starts, hashes = _split_strings(prefix, blocks, state, length)
+            low, high = blocks[0][state == WHOLE], blocks[1][state == WHOLE]
+            hit = starts[_answers(f"{folder}/strings", shard, hashes) == WHOLE]
             cover = np.zeros(len(raw) + 1, np.int64)
             np.add.at(cover, low, 1)
             np.add.at(cover, high + length, -1)
