@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .chat import format_conversations, format_digest
-from .common import kept, shared_dir
+from .common import shared_dir
 from .decontam import build_index, contamination
 from .jaccard import jaccard_components
 from .langid import fit, held_out, predict
@@ -43,9 +44,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_warc")
+@query("op1_warc", oracles.WARC)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_round_trip(spark, table(spark, sf_dir, "pages"), f"{shared_dir(spark, 'warc')}/archive")
+    return warc_round_trip(spark, table(spark, sf_dir, "pages"), f"{shared_dir(spark, 'warc')}/archive").drop("url")
 
 
 @query("op2_mixing")
@@ -54,10 +55,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (drawn.copies * drawn["size"]).alias("taken"))
 
 
-@query("op3_decontamination")
+@query("op3_decontamination", oracles.DECONTAMINATION)
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = kept(build_index(table(spark, sf_dir, "documents")), "index")
-    return contamination(index, table(spark, sf_dir, "benchmark")).drop("mark")
+    return contamination(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
 @query("op4_token_ids")
@@ -65,12 +65,12 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), f"{shared_dir(spark, 'tokens')}/shards", word_tokenizer(), end_id=2)
 
 
-@query("op8_topk")
+@query("op8_topk", oracles.TOPK)
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-@query("op7_chat")
+@query("op7_chat", oracles.CHAT)
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -85,7 +85,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.withColumn("held_out", held), models, keep=["doc_id", "held_out"])
 
 
-@query("op6_jaccard")
+@query("op6_jaccard", oracles.JACCARD)
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("mark", "group")
 

@@ -32,7 +32,8 @@ INDEX = "shard string, ids array<bigint>, marks array<bigint>, first binary, wor
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per shard: ids of its documents, first position and number of words of each, and the
     postings.  Lower-cases A-Z; words are runs of letters, digits and non-ASCII.  A null text has no
-    words; ids may be null or repeat.  Nothing is shuffled."""
+    words; ids may be null or repeat.  Nothing is shuffled; the
+    index is stored in the shared folder, so that all searches see the same shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -54,7 +55,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 )
                 number += 1
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text")).mapInArrow(run, INDEX)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
+    return kept(rows.mapInArrow(run, INDEX), "index")
 
 
 def _list(column: pa.Array) -> pa.Array:
@@ -237,7 +239,7 @@ def contamination(index: DataFrame, benchmark: DataFrame, *, item_id: str = "ite
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated rows, with all columns; ``mark`` tells rows of one id apart."""
-    verdicts = contamination(kept(build_index(docs, doc_id, text), "index"), benchmark, **options)
+    verdicts = contamination(build_index(docs, doc_id, text), benchmark, **options)
     bad = kept(verdicts.where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct(), "contaminated")
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__mark"))
     return docs.join(bad, same, "left_anti")
