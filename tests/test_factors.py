@@ -28,7 +28,7 @@ def test_short_history_is_refused(spark):
 
 def test_factor_engine_excludes_illiquid(spark):
     bars = trend_bars(spark, [("000001", 0.04, 8e7), ("000002", 0.01, 4e7), ("000003", 0.02, 5e6)], n=90)
-    ranking, exclusions = W.factor_engine(bars, bounded=True)
+    ranking, exclusions = W.factor_engine(bars)
     got = ranking.orderBy("rank").collect()
     assert [r["symbol"] for r in got] and {r["symbol"] for r in got} == {"000001", "000002"}
     assert all(r["factor_coverage"] == pytest.approx(1.0) for r in got)
@@ -85,17 +85,16 @@ def _factor_rows():
 CFG = W.ScoreConfig((W.FactorSpec("return_factor", 0.5, "higher"), W.FactorSpec("risk_factor", 0.5, "lower")))
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_score_table(spark, bounded):
+def test_score_table(spark):
     table = spark.createDataFrame(_factor_rows(), "as_of string, symbol string, return_factor double, risk_factor double")
-    got = {r["symbol"]: r for r in W.score_table(table, CFG, bounded=bounded).collect()}
+    got = {r["symbol"]: r for r in W.score_table(table, CFG).collect()}
     assert got["000001"]["rank"] == 1 and got["000001"]["score_percentile"] == 100.0 and got["000003"]["score_percentile"] == 0.0
     assert got["000001"]["score_return_factor"] > 0 and got["000001"]["score_risk_factor"] > 0
 
 
 def test_missing_factor_lowers_coverage(spark):
     table = spark.createDataFrame(_factor_rows() + [("d", "000004", None, 0.3)], "as_of string, symbol string, return_factor double, risk_factor double")
-    r = W.score_table(table, CFG, bounded=True).where("symbol = '000004'").first()
+    r = W.score_table(table, CFG).where("symbol = '000004'").first()
     assert r["factor_coverage"] == pytest.approx(0.5) and r["composite_score"] is None and r["rank"] is None
 
 
@@ -115,8 +114,9 @@ def skewed(spark):
     return spark.createDataFrame(rows, "as_of string, symbol string, return_factor double, risk_factor double").cache()
 
 
-def test_unbounded_quantiles_are_exact(spark, skewed):
-    got = {r["as_of"]: r for r in C.quantile_columns(skewed, ["as_of"], ["return_factor", "risk_factor"], [0.05, 0.95, 0.5], ranges=16, range_rows=100).collect()}
+@pytest.mark.parametrize("accuracy", [20, 300, None])
+def test_quantiles_are_exact(spark, skewed, accuracy):
+    got = {r["as_of"]: r for r in C.quantile_columns(skewed, ["as_of"], ["return_factor", "risk_factor"], [0.05, 0.95, 0.5], accuracy=accuracy).collect()}
     pdf = skewed.toPandas()
     for key, part in pdf.groupby("as_of"):
         for f in ("return_factor", "risk_factor"):
@@ -124,39 +124,60 @@ def test_unbounded_quantiles_are_exact(spark, skewed):
                 assert got[key][f"{f}_q{i}"] == pytest.approx(part[f].dropna().quantile(p), rel=1e-12)
 
 
-def test_unbounded_rank_equals_window_rank(spark, skewed):
-    a = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", bounded=True, count_out="n")
-    b = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", bounded=False, count_out="n", ranges=16, range_rows=100)
+def test_split_dates_rank_like_whole_ones(spark, skewed):
+    a = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", count_out="n")
+    b = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", count_out="n", ranges=16, range_rows=100)
+    pdf = skewed.toPandas()
+    want = pdf.groupby("as_of").risk_factor.rank(method="min", ascending=False)
+    rows = {(r["as_of"], r["symbol"]): r["rank"] for r in a.collect()}
+    assert all(rows[k] == (None if np.isnan(w) else w) for k, w in zip(zip(pdf.as_of, pdf.symbol), want))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
 
 
-def test_both_plans_score_alike(spark, skewed, monkeypatch):
+def test_split_dates_score_like_whole_ones(spark, skewed, monkeypatch):
+    a = {(r["as_of"], r["symbol"]): r for r in W.score_table(skewed, CFG).collect()}
     monkeypatch.setattr(C, "RANGES", 16)
     monkeypatch.setattr(C, "RANGE_ROWS", 100)
-    a = {(r["as_of"], r["symbol"]): r for r in W.score_table(skewed, CFG, bounded=True).collect()}
-    b = W.score_table(skewed, CFG, bounded=False).collect()
+    monkeypatch.setattr(C, "ACCURACY", 200)
+    b = W.score_table(skewed, CFG).collect()
     assert len(a) == len(b)
     for r in b:
         other = a[r["as_of"], r["symbol"]]
-        assert r["rank"] == other["rank"]
-        assert (r["composite_score"] is None) == (other["composite_score"] is None)
-        if r["composite_score"] is not None:
-            assert r["composite_score"] == pytest.approx(other["composite_score"], abs=1e-8)
+        assert r["composite_score"] == (None if other["composite_score"] is None else pytest.approx(other["composite_score"], abs=1e-12))
+
+
+@pytest.mark.parametrize("scale", [1e12, 1e-12, 1.0, 1e300])
+def test_any_scale_and_offset(spark, scale):
+    values = [scale * (3 + k) for k in range(40)]
+    table = spark.createDataFrame([("d", str(k), v) for k, v in enumerate(values)], "as_of string, symbol string, f double")
+    z = [r["z_f"] for r in C.winsorized_zscores(table, ["as_of"], ["f"]).orderBy(F.col("symbol").cast("int")).collect()]
+    low, high = np.quantile(np.arange(40) + 3.0, [0.05, 0.95])
+    c = np.clip(np.arange(40) + 3.0, low, high)
+    assert z == pytest.approx(((c - c.mean()) / c.std()).tolist(), abs=1e-9)
+
+
+def test_nan_is_missing(spark):
+    rows = [("d", str(k), float(k)) for k in range(9)] + [("d", "9", float("nan"))]
+    table = spark.createDataFrame(rows, "as_of string, symbol string, f double")
+    got = {r["symbol"]: r["z_f"] for r in C.winsorized_zscores(table, ["as_of"], ["f"]).collect()}
+    c = np.clip(np.arange(9.0), *np.quantile(np.arange(9.0), [0.05, 0.95]))
+    assert got["9"] is None and [got[str(k)] for k in range(9)] == pytest.approx(((c - c.mean()) / c.std()).tolist())
+    ranks = {r["symbol"]: r["rank"] for r in C.rank_min(table, ["as_of"], "f", "rank").collect()}
+    assert ranks["9"] is None and ranks["8"] == 1
 
 
 def test_flat_factor_scores_zero(spark):
     table = spark.createDataFrame([("d", str(i), 2.5, float(i)) for i in range(5)], "as_of string, symbol string, return_factor double, risk_factor double")
-    for bounded in (True, False):
-        z = C.winsorized_zscores(table, ["as_of"], ["return_factor"], bounded=bounded)
-        assert {r["z_return_factor"] for r in z.collect()} == {0.0}
+    z = C.winsorized_zscores(table, ["as_of"], ["return_factor"])
+    assert {r["z_return_factor"] for r in z.collect()} == {0.0}
 
 
 def test_historical_rankings_stale_modes(spark):
     bars = trend_bars(spark, [("000001", 0.04, 8e7), ("000002", 0.01, 8e7), ("000003", 0.02, 8e7)], n=70)
     last = bars.agg(F.max("trade_date")).first()[0]
     bars = bars.where(~((F.col("symbol") == "000001") & (F.col("trade_date") == F.lit(last))))
-    scored = W.historical_rankings(bars, W.CONFIG_V2, stale="score_then_drop", bounded=True).where(F.col("as_of") == F.lit(last))
-    fresh = W.historical_rankings(bars, W.CONFIG_V2, stale="drop_then_score", bounded=True).where(F.col("as_of") == F.lit(last))
+    scored = W.historical_rankings(bars, W.CONFIG_V2, stale="score_then_drop").where(F.col("as_of") == F.lit(last))
+    fresh = W.historical_rankings(bars, W.CONFIG_V2, stale="drop_then_score").where(F.col("as_of") == F.lit(last))
     assert {r["symbol"] for r in scored.collect()} == {r["symbol"] for r in fresh.collect()} == {"000002", "000003"}
     assert sorted(r["rank"] for r in fresh.collect()) == [1, 2]
     assert len({r["rank"] for r in scored.collect()}) == 2 and max(r["rank"] for r in scored.collect()) == 3

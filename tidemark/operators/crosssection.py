@@ -1,205 +1,131 @@
-"""Exact ranks and quantiles inside cross-sections of any size.
+"""Exact ranks and quantiles inside cross-sections of any size, by one plan.
 
-A cross-section (all symbols of one date) is a window partition, which Spark sorts in one
-task.  That is right while a date holds thousands of symbols and wrong when it holds
-hundreds of millions, or when one date holds most rows.  Each operator here therefore has
-two plans with equal results:
+A cross-section (all symbols of one date) may hold a few names or most of the table.  Quantiles and
+moments are aggregates with partial sums in each task, joined back on the key.  Ranks order the rows
+of a date in one window while the date holds at most ``range_rows`` values, by a count made in the
+plan itself; a larger date is cut into value ranges at edges from a mergeable sketch, ordered inside
+a range and shifted by the rows of the ranges before.  Edges decide balance, never results.
 
-* bounded:    one shuffle by the group key, plain window functions;
-* unbounded:  values are collapsed to (value, count), cut at sketch-chosen edges into
-              value ranges, counted per range, and ordered only inside a range.  The
-              sketch decides balance, never results, so both plans are exact.
-
-``bounded=None`` picks by Catalyst's size estimate, which over-estimates after joins, so
-an unknown size ends in the unbounded plan.
+NaN is a missing value and is read as NULL.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BOUNDED_BYTES = 256 << 20
+from tidemark.sources.scratch import settled
+
 RANGES = 128
 RANGE_ROWS = 200_000
+#: Accuracy of the sketch that brackets a quantile: a bracket holds about 4 / ACCURACY of a date's values.
+ACCURACY = 10_000
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan; no job is run."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
+def _known(value: Column) -> Column:
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
 
-def settled(df: DataFrame) -> DataFrame:
-    """A derived table that later steps read several times: checkpointed in the shared folder the
-    cluster names, so it is computed once; returned as it is where no folder is named."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
 
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on keys that may be null; the keys of the left side stay."""
+    other = right.toDF(*[f"_k_{c}" if c in keys else c for c in right.columns])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_k_{k}"]) for k in keys], F.lit(True))
+    return left.join(other, same, how).drop(*[f"_k_{k}" for k in keys])
 
-def is_bounded(df: DataFrame, bounded: bool | None, limit: int = BOUNDED_BYTES) -> bool:
-    return plan_bytes(df) <= limit if bounded is None else bounded
 
-
-def _value_ranges(values: DataFrame, keys: list[str], value: str, ranges: int, range_rows: int) -> DataFrame:
-    """Add ``_range`` (monotone in value, ties together) to (keys, value, _n) rows.
-
-    Only groups with more than ``range_rows`` distinct values are sketched and cut.
-    """
-    big = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v")).where(F.col("_v") > range_rows).select(*keys)
+def rank_min(
+    df: DataFrame, keys: list[str], value: str, out: str, *, descending: bool = True, count_out: str | None = None,
+    ranges: int | None = None, range_rows: int | None = None,
+) -> DataFrame:
+    """Rank with ties sharing the lowest rank; NULL and NaN get neither rank nor count."""
+    ranges, range_rows = ranges or RANGES, range_rows or RANGE_ROWS
+    rows = settled(df.withColumn("_value", _known(F.col(value))))
+    valued = rows.where(F.col("_value").isNotNull()).select(*keys, "_value")
+    big = valued.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v")).where(F.col("_v") > range_rows)
     cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    edges = values.join(big, keys, "left_semi").groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, cuts, F.lit(2000))).alias("_edges")
+    edges = settled(_on(valued, big, keys, "inner").groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_value", cuts, F.lit(2000))).alias("_edges")))
+    below = F.when(F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", lambda e: e < F.col("_value"))))
+    cut = _on(rows, edges, keys).withColumn("_range", below).drop("_edges")
+    order = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_last())
+    group = Window.partitionBy(*keys)
+    sizes = (
+        _on(valued, edges, keys).withColumn("_range", below).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+        .withColumn("_before", F.sum("_size").over(group.orderBy(order("_range"))) - F.col("_size")).withColumn("_total", F.sum("_size").over(group)).drop("_size")
     )
-    below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return values.join(edges, keys, "left").withColumn(
-        "_range", F.when(F.col("_edges").isNull(), 0).otherwise(below)
-    ).drop("_edges")
+    ranked = _on(cut.withColumn("_in", F.rank().over(Window.partitionBy(*keys, "_range").orderBy(order("_value")))), sizes, [*keys, "_range"])
+    known = F.col("_value").isNotNull()
+    names = {out: F.when(known, (F.col("_before") + F.col("_in")).cast("int"))} | ({count_out: F.when(known, F.col("_total"))} if count_out else {})
+    return ranked.select(*[F.col(c) for c in df.columns if c not in names], *[c.alias(n) for n, c in names.items()])
 
 
-def ordered_values(
-    df: DataFrame, keys: list[str], value: str, descending: bool, ranges: int | None = None,
-    range_rows: int | None = None, probs: list[float] | None = None,
-) -> DataFrame:
-    """One row per distinct (keys, value): ``_n`` copies, ``_before`` rows ordered ahead, ``_total`` rows.
+def quantile_columns(df: DataFrame, keys: list[str], factors: list[str], probs: list[float], accuracy: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles per key: columns ``<factor>_q<i>``.
 
-    With ``probs`` only the value ranges that hold those quantile positions are ordered.
+    A sketch brackets each quantile; rows below the bracket are counted, and only the values inside it,
+    each once with its count, are put in order.  The next value on either side of a bracket is kept too,
+    so a bracket that ends one value short changes nothing.
     """
-    values = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    cut = _value_ranges(values, keys, value, ranges or RANGES, range_rows or RANGE_ROWS)
-    order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    by_range = Window.partitionBy(*keys).orderBy(order("_range"))
-    offsets = (
-        cut.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
-        .withColumn("_offset", F.sum("_size").over(by_range) - F.col("_size"))
-        .withColumn("_total", F.sum("_size").over(Window.partitionBy(*keys)))
-    )
-    if probs:
-        inside = F.lit(False)
-        for p in probs:
-            for k in _positions(p):
-                inside = inside | ((F.col("_offset") <= k) & (k < F.col("_offset") + F.col("_size")))
-        offsets = offsets.where(inside)
-    in_range = Window.partitionBy(*keys, "_range").orderBy(order(value))
-    return (
-        cut.join(offsets.drop("_size"), [*keys, "_range"])
-        .withColumn("_before", F.col("_offset") + F.sum("_n").over(in_range) - F.col("_n"))
-        .drop("_offset", "_range")
-    )
-
-
-def _positions(p: float) -> tuple[Column, Column]:
-    """The two order statistics around quantile p of ``_total`` rows."""
-    pos = (F.col("_total") - 1) * F.lit(float(p))
-    return F.floor(pos), F.ceil(pos)
-
+    accuracy = accuracy or ACCURACY
+    margin, last = 2.0 / accuracy, len(probs)
+    ends = F.array(*[F.lit(min(1.0, max(0.0, float(p) + d))) for p in probs for d in (-margin, margin)])
+    rows = df.select(*keys, *[_known(F.col(f)).alias(f"_f{j}") for j, f in enumerate(factors)])
+    sketch = rows.groupBy(*keys).agg(*[x for j in range(len(factors)) for x in (F.percentile_approx(f"_f{j}", ends, F.lit(accuracy)).alias(f"_e{j}"), F.count(f"_f{j}").alias(f"_n{j}"))])
+    sketch = settled(sketch)
+    inside = _on(rows, sketch, keys)
+    sides, entries = [], []
+    for j in range(len(factors)):
+        for i in range(last):
+            low, high, v = F.col(f"_e{j}")[2 * i], F.col(f"_e{j}")[2 * i + 1], F.col(f"_f{j}")
+            at = j * last + i
+            sides += [F.count_if(v < low).alias(f"_b{at}"), F.max(F.when(v < low, v)).alias(f"_p{at}"), F.min(F.when(v > high, v)).alias(f"_x{at}")]
+            entries.append(F.struct(F.lit(at).alias("_at"), F.when((v >= low) & (v <= high), v).alias("_v")))
+    beside = inside.groupBy(*keys).agg(*sides)
+    values = inside.select(*keys, F.inline(F.filter(F.array(*entries), lambda e: e["_v"].isNotNull()))).groupBy(*keys, "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys, "_at").orderBy("_v")
+    values = values.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+    values = _on(_on(values, sketch, keys), beside, keys)
+    picks = []
+    for j in range(len(factors)):
+        for i, p in enumerate(probs):
+            at, pos = j * last + i, (F.col(f"_n{j}") - 1) * F.lit(float(p))
+            for part, k in (("l", F.floor(pos)), ("h", F.ceil(pos))):
+                k = k - F.col(f"_b{at}")
+                hit = (F.col("_at") == at) & (F.col("_from") <= k) & (k < F.col("_to"))
+                picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{part}{at}"))
+    picked = _on(_on(sketch, beside, keys), values.groupBy(*keys).agg(*picks), keys)
+    out = []
+    for j, f in enumerate(factors):
+        for i, p in enumerate(probs):
+            at, pos = j * last + i, (F.col(f"_n{j}") - 1) * F.lit(float(p))
+            side = lambda k, at=at: F.when(k < F.col(f"_b{at}"), F.col(f"_p{at}")).otherwise(F.col(f"_x{at}"))
+            low, high = F.coalesce(F.col(f"_l{at}"), side(F.floor(pos))), F.coalesce(F.col(f"_h{at}"), side(F.ceil(pos)))
+            part = pos - F.floor(pos)
+            out.append(F.when(F.col(f"_n{j}") > 0, low * (1 - part) + high * part).alias(f"{f}_q{i}"))
+    return picked.select(*keys, *out)
 
-def rank_min(
-    df: DataFrame, keys: list[str], value: str, out: str, *, descending: bool = True,
-    bounded: bool | None = None, count_out: str | None = None, ranges: int | None = None, range_rows: int | None = None,
-) -> DataFrame:
-    """Rank with ties sharing the lowest rank; NULL values get neither rank nor count."""
-    if is_bounded(df, bounded):
-        group = Window.partitionBy(*keys)
-        col = F.col(value)
-        w = group.orderBy(col.desc_nulls_last() if descending else col.asc_nulls_last())
-        ranked = df.withColumn(out, F.when(col.isNotNull(), F.rank().over(w)))
-        return ranked.withColumn(count_out, F.when(col.isNotNull(), F.count(col).over(group))) if count_out else ranked
-    extra = [F.col("_total").alias(count_out)] if count_out else []
-    ranks = ordered_values(df, keys, value, descending, ranges, range_rows).select(
-        *keys, value, (F.col("_before") + 1).cast("int").alias(out), *extra
-    )
-    ranked = df.join(ranks, [*keys, value], "left")
-    return ranked.select(*df.columns, out, *([count_out] if count_out else []))
 
+def winsorized_zscores(df: DataFrame, keys: list[str], factors: list[str], lower: float = 0.05, upper: float = 0.95, *, prefix: str = "z_") -> DataFrame:
+    """S1 for several factors at once: clip to quantiles, population z-score, 0 when flat.
 
-def quantile_columns(
-    df: DataFrame, keys: list[str], factors: list[str], probs: list[float], ranges: int | None = None,
-    range_rows: int | None = None,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per key: columns ``<factor>_q<i>`` (unbounded plan)."""
-    pairs = ", ".join(f"'{f}', `{f}`" for f in factors)
-    long = df.select(
-        *keys, F.expr(f"stack({len(factors)}, {pairs}) as (_factor, _value)")
-    )
-    gkeys = [*keys, "_factor"]
-    ordered = ordered_values(long, gkeys, "_value", False, ranges, range_rows, probs)
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        for part, k in zip(("lo", "hi"), _positions(p)):
-            hit = (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
-            aggs.append(F.max(F.when(hit, F.col("_value"))).alias(f"_{part}{i}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"_frac{i}"))
-    per_factor = ordered.groupBy(*gkeys).agg(*aggs)
-    blend = lambda i: F.col(f"_lo{i}") * (1 - F.col(f"_frac{i}")) + F.col(f"_hi{i}") * F.col(f"_frac{i}")
-    wide = [
-        F.max(F.when(F.col("_factor") == f, blend(i))).alias(f"{f}_q{i}")
-        for f in factors for i in range(len(probs))
-    ]
-    return per_factor.groupBy(*keys).agg(*wide)
-
-
-def winsorized_zscores(
-    df: DataFrame, keys: list[str], factors: list[str], lower: float = 0.05, upper: float = 0.95,
-    *, bounded: bool | None = None, prefix: str = "z_",
-) -> DataFrame:
-    """S1 for several factors at once: clip to quantiles, population z-score, 0 when flat."""
+    Moments are centred: the mean first, then the mean squared distance from it, in doubles; values
+    are scaled by the larger bound before they are squared, so neither large nor small ones are lost.
+    """
     if not 0.0 <= lower < upper <= 1.0:
         raise ValueError("need 0 <= lower < upper <= 1")
-    if is_bounded(df, bounded):
-        w = Window.partitionBy(*keys)
-        probs = F.array(F.lit(float(lower)), F.lit(float(upper)))
-        cut = df.select("*", *[F.percentile(f, probs).over(w).alias(f"_q_{f}") for f in factors])
-        clip = cut.select(
-            *df.columns,
-            *[_clip(F.col(f), F.col(f"_q_{f}")[0], F.col(f"_q_{f}")[1]).alias(f"_c_{f}") for f in factors],
-        )
-        stats = clip.select(
-            "*", *[F.avg(f"_c_{f}").over(w).alias(f"_m_{f}") for f in factors],
-            *[F.stddev_pop(f"_c_{f}").over(w).alias(f"_s_{f}") for f in factors],
-        )
-    else:
-        bounds = settled(quantile_columns(df, keys, factors, [lower, upper]))
-        clip = df.join(bounds, keys).select(
-            *df.columns,
-            *[_clip(F.col(f), F.col(f"{f}_q0"), F.col(f"{f}_q1")).alias(f"_c_{f}") for f in factors],
-        )
-        stats = clip.join(settled(_exact_moments(clip, keys, factors)), keys)
-    return stats.select(
-        *[F.col(c) for c in df.columns],
-        *[_z(F.col(f"_c_{f}"), F.col(f"_m_{f}"), F.col(f"_s_{f}")).alias(prefix + f) for f in factors],
-    )
-
-
-def _exact_moments(clip: DataFrame, keys: list[str], factors: list[str]) -> DataFrame:
-    """Mean and population deviation from decimal sums: equal in any merge order, so a
-    recomputed task or a second read of the plan gives the same scores to join on."""
-    wide = lambda c: c.cast("decimal(38,18)")
-    aggs = []
-    for f in factors:
-        c = F.col(f"_c_{f}")
-        aggs += [F.count(c).alias(f"_n_{f}"), F.sum(wide(c)).alias(f"_a_{f}"), F.sum(wide(c * c)).alias(f"_b_{f}"),
-                 (F.min(c) == F.max(c)).alias(f"_flat_{f}")]
-    sums = clip.groupBy(*keys).agg(*aggs)
-    out = []
-    for f in factors:
-        n = F.nullif(F.col(f"_n_{f}").cast("double"), F.lit(0.0))
-        mean = F.col(f"_a_{f}").cast("double") / n
-        var = F.greatest(F.col(f"_b_{f}").cast("double") / n - mean * mean, F.lit(0.0))
-        out += [mean.alias(f"_m_{f}"), F.when(F.col(f"_flat_{f}"), 0.0).otherwise(F.sqrt(var)).alias(f"_s_{f}")]
-    return sums.select(*keys, *out)
-
-
-def _clip(value: Column, low: Column, high: Column) -> Column:
-    return F.when(value.isNotNull(), F.least(F.greatest(value, low), high))
-
-
-def _z(value: Column, mean: Column, std: Column) -> Column:
-    return F.when(value.isNotNull(), F.when(std > 0, (value - mean) / std).otherwise(F.lit(0.0)))
+    rows = settled(df.withColumns({f"_v_{f}": _known(F.col(f)) for f in factors}))
+    narrow = rows.select(*keys, *[F.col(f"_v_{f}").alias(f) for f in factors])
+    bounds = settled(quantile_columns(narrow, keys, factors, [lower, upper]))
+    clipped = lambda frame, name: _on(frame, bounds, keys).select(
+        *frame.columns, *[F.when(F.col(name(f)).isNotNull(), F.least(F.greatest(F.col(name(f)), F.col(f"{f}_q0")), F.col(f"{f}_q1"))).alias(f"_c_{f}") for f in factors],
+        *[F.greatest(F.abs(F.col(f"{f}_q0")), F.abs(F.col(f"{f}_q1"))).alias(f"_u_{f}") for f in factors])
+    scaled = lambda f: F.when(F.col(f"_u_{f}") > 0, F.col(f"_c_{f}") / F.col(f"_u_{f}")).otherwise(F.col(f"_c_{f}"))
+    clip = clipped(narrow, lambda f: f)
+    means = settled(clip.groupBy(*keys).agg(*[x for f in factors for x in (F.avg(scaled(f)).alias(f"_m_{f}"), (F.min(f"_c_{f}") == F.max(f"_c_{f}")).alias(f"_flat_{f}"))]))
+    away = _on(clip, means, keys)
+    spread = settled(_on(means, away.groupBy(*keys).agg(*[F.sqrt(F.avg((scaled(f) - F.col(f"_m_{f}")) * (scaled(f) - F.col(f"_m_{f}")))).alias(f"_s_{f}") for f in factors]), keys))
+    stats = _on(clipped(rows, lambda f: f"_v_{f}"), spread, keys)
+    z = lambda f: F.when(F.col(f"_c_{f}").isNotNull(), F.when(F.col(f"_flat_{f}") | ~(F.col(f"_s_{f}") > 0), 0.0).otherwise((scaled(f) - F.col(f"_m_{f}")) / F.col(f"_s_{f}")))
+    return stats.select(*[F.col(c) for c in df.columns], *[z(f).alias(prefix + f) for f in factors])

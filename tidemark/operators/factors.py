@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.checks import Checked, check_rows
-from tidemark.operators.crosssection import is_bounded, rank_min, settled, winsorized_zscores
+from tidemark.operators.crosssection import rank_min, winsorized_zscores
 from tidemark.schema import BAR_NUMERIC
 
 MIN_BARS = 61
@@ -39,8 +39,8 @@ class ScoreConfig:
     lower: float = 0.05
     upper: float = 0.95
     min_coverage: float = 1.0
-    # Scores equal to this many digits tie, so a rank never depends on summation order.
-    score_digits: int = 9
+    # With a number, scores equal to this many digits tie; ranks are of full scores by default.
+    score_digits: int | None = None
 
     def __post_init__(self):
         if not self.specs or any(s.weight <= 0 for s in self.specs):
@@ -50,6 +50,11 @@ class ScoreConfig:
             raise ValueError("bad winsor bounds or coverage")
 
 
+def _composite(add: Column, have: Column, digits: int | None) -> Column:
+    score = add / F.nullif(have, F.lit(0.0))
+    return score if digits is None else F.round(score, digits)
+
+
 def _config(weights: dict[str, tuple[float, str]]) -> ScoreConfig:
     return ScoreConfig(tuple(FactorSpec(n, w, d) for n, (w, d) in weights.items()))
 
@@ -241,17 +246,14 @@ def market_factors(bars: DataFrame, **gates) -> DataFrame:
 
 def score_table(
     table: DataFrame, config: ScoreConfig = CONFIG_V1, keys: list[str] | None = None,
-    *, bounded: bool | None = None,
 ) -> DataFrame:
     """Contributions, coverage, composite, rank and percentile per cross-section.
 
     The caller guarantees one row per (keys, symbol); ``duplicate_members`` lists breaches.
     """
     keys = keys or ["as_of"]
-    small = is_bounded(table, bounded)
-    table = table if small else settled(table)
     names = [s.name for s in config.specs]
-    zed = winsorized_zscores(table, keys, names, config.lower, config.upper, bounded=small)
+    zed = winsorized_zscores(table, keys, names, config.lower, config.upper)
     scored = zed.select(
         *table.columns, *[(F.col("z_" + s.name) * s.sign).alias("score_" + s.name) for s in config.specs]
     )
@@ -261,11 +263,9 @@ def score_table(
     coverage = have / total
     scored = scored.withColumn("factor_coverage", coverage).withColumn(
         "composite_score",
-        F.when(F.col("factor_coverage") >= config.min_coverage - 1e-12, F.round(add / F.nullif(have, F.lit(0.0)), config.score_digits)),
-    )
-    ranked = rank_min(
-        scored, keys, "composite_score", "rank", bounded=small, count_out="_scored"
+        F.when(F.col("factor_coverage") >= config.min_coverage - 1e-12, _composite(add, have, config.score_digits)),
     )
+    ranked = rank_min(scored, keys, "composite_score", "rank", count_out="_scored")
     pct = F.when(F.col("_scored") == 1, 100.0).otherwise(
         (F.col("_scored") - F.col("rank")) / (F.col("_scored") - 1) * 100.0
     )
@@ -280,7 +280,7 @@ def duplicate_members(table: DataFrame, keys: list[str] | None = None) -> DataFr
 
 
 def factor_engine(
-    bars: DataFrame, config: ScoreConfig = CONFIG_V1, *, bounded: bool | None = None, **gates
+    bars: DataFrame, config: ScoreConfig = CONFIG_V1, **gates
 ) -> tuple[DataFrame, DataFrame]:
     """S3: (ranking, exclusions) over each symbol's latest bar, as one cross-section."""
     latest = latest_bars(factor_panel(bars, **gates))
@@ -288,7 +288,7 @@ def factor_engine(
         F.lit("latest").alias("_run"), "symbol", F.col("trade_date").alias("as_of"), "close",
         "average_amount_20", *FACTORS,
     )
-    ranking = score_table(eligible, config, ["_run"], bounded=bounded).drop("_run")
+    ranking = score_table(eligible, config, ["_run"]).drop("_run")
     shown = F.when(~F.col("reason").startswith("insufficient_history"), F.col("average_amount_20"))
     exclusions = latest.where(F.col("reason") != "eligible").select(
         "symbol", "reason", shown.alias("average_amount_20")
@@ -325,8 +325,7 @@ def carry_forward(panel: DataFrame) -> DataFrame:
 
 def historical_rankings(
     bars: DataFrame, config: ScoreConfig = CONFIG_V1, *, stale: str = "score_then_drop",
-    start: str | None = None, end: str | None = None, metadata: DataFrame | None = None,
-    bounded: bool | None = None, **gates,
+    start: str | None = None, end: str | None = None, metadata: DataFrame | None = None, **gates,
 ) -> DataFrame:
     """The ranking observable on each date, for all dates at once.
 
@@ -347,7 +346,7 @@ def historical_rankings(
     table = dense.where(F.col("reason") == "eligible").select(
         "as_of", "symbol", "bar_date", "close", "average_amount_20", *FACTORS
     )
-    ranked = score_table(table, config, bounded=is_bounded(bars, bounded)).where(
+    ranked = score_table(table, config).where(
         F.col("bar_date") == F.col("as_of")
     ).drop("bar_date")
     return ranked if metadata is None else attach_metadata(ranked, metadata)
@@ -360,11 +359,9 @@ def attach_metadata(ranking: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def strict_rankings(
-    bars: DataFrame, candidates: DataFrame, config: ScoreConfig = CONFIG_V1,
-    *, bounded: bool | None = None, **gates,
+    bars: DataFrame, candidates: DataFrame, config: ScoreConfig = CONFIG_V1, **gates,
 ) -> tuple[DataFrame, DataFrame]:
     """Rank only the (as_of, symbol) pairs observed that day; (ranking, refused dates)."""
-    small = is_bounded(bars, bounded)
     listed = candidates.select("as_of", "symbol").distinct()
     panel = factor_panel(bars.join(listed.select("symbol").distinct(), "symbol", "left_semi"), **gates)
     known = panel.select("symbol", "trade_date", "reason", "close", "average_amount_20", *FACTORS)
@@ -380,7 +377,7 @@ def strict_rankings(
         .select("symbol", F.col("_t").alias("as_of"), "_bar.*")
     )
     eligible = seen.where(F.col("reason") == "eligible").drop("reason")
-    ranked = score_table(eligible, config, bounded=small).where(
+    ranked = score_table(eligible, config).where(
         F.col("trade_date") == F.col("as_of")
     ).drop("trade_date")
     meta = candidates.select(*[c for c in ("as_of", "symbol", "name", "exchange", "board", "is_st") if c in candidates.columns])
@@ -404,7 +401,6 @@ def strict_rankings(
 
 def score_configs(
     table: DataFrame, configs: dict[str, ScoreConfig], keys: list[str] | None = None,
-    *, bounded: bool | None = None,
 ) -> DataFrame:
     """Several weight sets over one panel; z-scores are shared, only weights differ."""
     keys = keys or ["as_of"]
@@ -412,10 +408,8 @@ def score_configs(
     if len(bounds) != 1:
         raise ValueError("configs scored together must share winsor bounds")
     (lower, upper), = bounds
-    small = is_bounded(table, bounded)
-    table = table if small else settled(table)
     names = sorted({s.name for c in configs.values() for s in c.specs})
-    zed = winsorized_zscores(table, keys, names, lower, upper, bounded=small)
+    zed = winsorized_zscores(table, keys, names, lower, upper)
     cases = []
     for cid, cfg in sorted(configs.items()):
         total = sum(s.weight for s in cfg.specs)
@@ -423,9 +417,9 @@ def score_configs(
         add = sum((F.coalesce(F.col("z_" + s.name), F.lit(0.0)) * (s.weight * s.sign) for s in cfg.specs), F.lit(0.0))
         cases.append(F.struct(
             F.lit(cid).alias("config_id"), (have / total).alias("factor_coverage"),
-            F.when(have / total >= cfg.min_coverage - 1e-12, F.round(add / F.nullif(have, F.lit(0.0)), cfg.score_digits)).alias("composite_score"),
+            F.when(have / total >= cfg.min_coverage - 1e-12, _composite(add, have, cfg.score_digits)).alias("composite_score"),
         ))
     exploded = zed.select(*keys, "symbol", F.inline(F.array(*cases)))
-    ranked = rank_min(exploded, ["config_id", *keys], "composite_score", "rank", bounded=small, count_out="_scored")
+    ranked = rank_min(exploded, ["config_id", *keys], "composite_score", "rank", count_out="_scored")
     pct = F.when(F.col("_scored") == 1, 100.0).otherwise((F.col("_scored") - F.col("rank")) / (F.col("_scored") - 1) * 100.0)
     return ranked.withColumn("score_percentile", F.when(F.col("rank").isNotNull(), pct)).drop("_scored")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.crosssection import settled
+from tidemark.sources.scratch import settled
 from tidemark.plans import flows
 from tidemark.plans.catalog_evidence import _REC, _RV, FLOOR, LIMIT, raw_recovery
 from tidemark.plans.catalog_market import GATES

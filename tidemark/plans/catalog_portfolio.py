@@ -9,7 +9,7 @@ from tidemark.operators import asof as J
 from tidemark.operators import normalize as N
 from tidemark.operators import performance as Q
 from tidemark.operators import portfolio as P
-from tidemark.operators.crosssection import settled
+from tidemark.sources.scratch import settled
 from tidemark.plans.oracle_views import with_views
 from tidemark.plans.registry import query, r, rounded
 from tidemark.sources import views as V

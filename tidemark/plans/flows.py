@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rules import TradingRules
 from tidemark.operators.archive import build_lifecycle, selection_summary
-from tidemark.operators.crosssection import settled
+from tidemark.sources.scratch import settled
 from tidemark.operators.evidence import guarded_override
 from tidemark.operators.factors import CONFIG_V1, CONFIG_V2, ScoreConfig, attach_metadata, factor_engine, historical_rankings, strict_rankings
 from tidemark.operators.performance import rolling_blocks, rolling_summary

@@ -56,13 +56,12 @@ VIEWS = {
         (CASE WHEN a THEN '*ST' ELSE '' END) || 'N' || symbol || (CASE WHEN e % 11 = 0 THEN '退' ELSE '' END) AS new_name, b AS is_st_before, a AS is_st_after,
         b <> a AS st_transition, CASE WHEN e % 13 = 0 THEN 'other' ELSE 'szse_official_abbreviation_change' END AS source
         FROM (SELECT *, e % 2 = 0 AS b, CASE WHEN e % 5 = 0 THEN e % 2 = 0 ELSE e % 2 <> 0 END AS a FROM (
-            SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS symbol, CAST(ts AS DATE) AS change_date, min(event_id) AS e FROM events
-            WHERE event_type = 'purchase' GROUP BY 1, 2))""",
+            SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS symbol, CAST(ts AS DATE) AS change_date, min(event_id) AS e FROM events GROUP BY 1, 2))""",
     "verified_events": """SELECT symbol, (CASE WHEN e % 3 = 0 THEN 'SSE' ELSE 'SZSE' END) || (CASE WHEN (e % 2 = 0) = (e % 7 <> 0) THEN '_apply' ELSE '_remove' END) AS cohort,
         d - CAST(e % 4 - 1 AS INTEGER) AS published, d AS effective_date, CASE WHEN e % 2 = 0 THEN 'apply_st' ELSE 'remove_st' END AS action,
         e % 2 <> 0 AS is_st_before, e % 2 = 0 AS is_st_after, CASE WHEN e % 17 = 0 THEN 'ftp://x' ELSE 'http://x' END AS pdf_url,
         CASE WHEN e % 19 = 0 THEN 'bad' ELSE sha256(CAST(e AS VARCHAR)) END AS pdf_sha256
-        FROM (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS symbol, CAST(ts AS DATE) AS d, min(event_id) AS e FROM events WHERE event_type = 'click' GROUP BY 1, 2)""",
+        FROM (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS symbol, CAST(ts AS DATE) AS d, min(event_id) AS e FROM events GROUP BY 1, 2)""",
     # factor panel over bars: seven factors per (symbol, day), by frames written out in SQL
     "returns": """SELECT symbol, trade_date, open, high, low, close, volume, amount, lag(close) OVER w AS previous_close, close / lag(close) OVER w - 1 AS r,
         row_number() OVER w AS bar_no FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)""",
@@ -115,22 +114,23 @@ def with_views(names: list[str], body: str, extra: dict[str, str] | None = None)
 FACTOR_SQL = ["momentum_20", "momentum_60", "trend_ma20_ma60", "volatility_20", "max_drawdown_60", "log_amount_20"]
 
 
-def scored(source: str, key: str, weights: dict[str, tuple[float, int]]) -> dict[str, str]:
-    """Steps bounds -> clipped -> moments -> z -> scored for one cross-section key."""
+def scored(source: str, key: str, weights: dict[str, tuple[float, int]], coverage: float = 1.0) -> dict[str, str]:
+    """Steps bounds -> clipped -> moments -> z -> scored for one cross-section key; NULL is a missing factor."""
     fs = list(weights)
     bounds = ", ".join(f"quantile_cont({f}, 0.05) AS lo_{f}, quantile_cont({f}, 0.95) AS hi_{f}" for f in fs)
-    clip = ", ".join(f"least(greatest({f}, lo_{f}), hi_{f}) AS c_{f}" for f in fs)
+    clip = ", ".join(f"CASE WHEN {f} IS NOT NULL THEN least(greatest({f}, lo_{f}), hi_{f}) END AS c_{f}" for f in fs)
     moment = ", ".join(f"avg(c_{f}) AS m_{f}, stddev_pop(c_{f}) AS s_{f}" for f in fs)
-    z = ", ".join(f"CASE WHEN s_{f} > 0 THEN (c_{f} - m_{f}) / s_{f} ELSE 0 END * {sign} AS score_{f}" for f, (_, sign) in weights.items())
+    z = ", ".join(f"CASE WHEN c_{f} IS NULL THEN NULL WHEN s_{f} > 0 THEN (c_{f} - m_{f}) / s_{f} ELSE 0 END * {sign} AS score_{f}" for f, (_, sign) in weights.items())
     total = sum(w for w, _ in weights.values())
-    mix = " + ".join(f"score_{f} * {w}" for f, (w, _) in weights.items())
+    mix = " + ".join(f"coalesce(score_{f}, 0) * {w}" for f, (w, _) in weights.items())
+    have = " + ".join(f"CASE WHEN score_{f} IS NOT NULL THEN {w} ELSE 0 END" for f, (w, _) in weights.items())
     return {
         "bounds": f"SELECT {key}, {bounds} FROM {source} GROUP BY {key}",
         "clipped": f"SELECT t.*, {clip} FROM {source} t JOIN bounds USING ({key})",
         "moments": f"SELECT {key}, {moment} FROM clipped GROUP BY {key}",
         "zed": f"SELECT c.*, {z} FROM clipped c JOIN moments USING ({key})",
-        "mixed": f"SELECT *, round(({mix}) / {total}, 9) AS composite_score FROM zed",
-        "scored": f"""SELECT *, rank() OVER (PARTITION BY {key} ORDER BY composite_score DESC) AS rank, count(*) OVER (PARTITION BY {key}) AS n FROM mixed""",
+        "mixed": f"SELECT *, CASE WHEN ({have}) / {total} >= {coverage} - 1e-12 THEN round(({mix}) / ({have}), 9) END AS composite_score FROM zed",
+        "scored": f"""SELECT *, CASE WHEN composite_score IS NOT NULL THEN rank() OVER (PARTITION BY {key} ORDER BY composite_score DESC NULLS LAST) END AS rank, count(composite_score) OVER (PARTITION BY {key}) AS n FROM mixed""",
     }
 
 
