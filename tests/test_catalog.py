@@ -13,7 +13,7 @@ from check import TABLES, run  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not mounted")
-SAMPLE = ["validate_bars", "market_factors", "historical_rankings_carried", "facts_latest_at_cutoffs", "fundamental_factors", "select_liquid", "membership_calendar",
+SAMPLE = ["validate_bars", "market_factors", "score_table_nan", "score_table_partial_coverage", "snapshot_uncovered", "fundamental_factors_at_cutoffs", "historical_rankings_carried", "facts_latest_at_cutoffs", "fundamental_factors", "select_liquid", "membership_calendar",
           "hold_buffer_signals", "signal_fills", "rolling_blocks", "content_hash", "reconstruct_candidates", "recovery_detail", "extract_status_events", "reconcile_events"]
 
 

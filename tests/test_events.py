@@ -48,6 +48,7 @@ def test_old_background_date_loses_by_distance(spark):
     ("自2024年6月3日起实施风险警示，撤销风险警示，简称由“甲”变更为“ST甲”，简称由“ST乙”变更为“乙”", "ambiguous_multiple_verified_events"),
     ("自2024年6月3日起撤销风险警示，继续被实施其他风险警示，简称由“ST乙”变更为“乙”", "no_consistent_action_date_pair"), ("自2024年13月3日起实施风险警示，简称由“甲”变更为“ST甲”", "no_explicit_effective_date"),
     ("其他风险警示的起始日为2024年6月3日，实施风险警示，简称由“甲”变更为“ST甲”", "verified"),
+    ("其他风险警示的起始日为２０２４年６月３日，实施风险警示，简称由“甲”变更为“ST甲”", "verified"),
 ])
 def test_statuses(spark, text, status):
     assert parse(spark, text, "2024-06-01")["parse_status"] == status

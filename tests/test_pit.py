@@ -93,8 +93,20 @@ def test_statement_to_facts(spark):
     assert {r["available_at"] for r in got.collect()} == {ts("2024-05-03")}
 
 
+def test_fundamentals_at_cutoffs_equal_single_ones(spark, statements):
+    cuts = ["2024-09-01", "2024-09-20", "2000-01-01"]
+    many = P.fundamental_factors_at_cutoffs(statements, cuts)
+    one = P.fundamental_factors(statements, cuts[0]).unionByName(P.fundamental_factors(statements, cuts[1]))
+    assert sorted(map(str, many.select(one.columns).collect())) == sorted(map(str, one.collect()))
+    wanted = spark.createDataFrame([("000001",), ("000002",)], "symbol string")
+    ok, failed = P.fundamental_snapshot_at_cutoffs(wanted, statements, cuts)
+    assert ok.count() == 2 and failed.count() == 4
+
+
 def test_snapshot_as_of(spark):
     m = spark.createDataFrame([("1", "old", ts("2024-01-05")), ("1", "new", ts("2024-02-05"))], "symbol string, name string, observed_at timestamp")
     got = P.snapshot_as_of(m, ["2023-12-31", "2024-01-20", "2024-03-01"])
     assert rows(got, "as_of", "name") == [(ts("2024-01-20"), "old"), (ts("2024-03-01"), "new")]
     assert rows(P.snapshot_latest(m), "name") == [("new",)]
+    assert rows(P.uncovered_cutoffs(m, ["2023-12-31", "2024-01-20"]), "as_of") == [(ts("2023-12-31"),)]
+    assert P.uncovered_cutoffs(m.limit(0), ["2024-01-20"]).count() == 1

@@ -172,3 +172,5 @@ def test_bad_rules_are_refused():
         P.PortfolioRules(entry_rank_max=20, keep_rank_max=10)
     with pytest.raises(ValueError):
         P.PortfolioRules(stock_weight_per_position=0.9)
+    with pytest.raises(ValueError):
+        P.PortfolioRules(max_stock_positions=5, stock_weight_per_position=0.25)

@@ -18,6 +18,10 @@ def test_bars_round_trip_and_upsert(spark, tmp_path):
     got = IO.read_bars(spark, root).where("symbol = '000001'")
     assert got.count() == 6 and got.where(F.col("trade_date") == F.lit(first)).first()["close"] == 51.0
     assert IO.read_bars(spark, root).where("symbol = '600000'").count() == 5
+    with pytest.raises(ValueError, match="4 buckets"):
+        IO.read_bars(spark, root, buckets=8)
+    with pytest.raises(ValueError, match="4 buckets"):
+        IO.upsert_bars(spark, bars_from(spark, [("000001", first, 50, 51, 7)]), root, buckets=8)
     with pytest.raises(DataQualityError):
         IO.upsert_bars(spark, bars_from(spark, [("1", first, -1, 1, 1)]), root, buckets=4)
 
@@ -33,11 +37,29 @@ def test_facts_upsert_keeps_revisions(spark, tmp_path):
         IO.upsert_facts(spark, mk(0.3, "2024-04-30"), root)
 
 
+def test_upsert_rewrites_only_what_it_touches(spark, tmp_path):
+    root = tmp_path / "bars"
+    mk = lambda *days: bars_from(spark, [("000001", day(d), 50, 51, 7) for d in days])
+    IO.write_bars(mk("2024-01-02", "2024-02-02"), str(root), buckets=4)
+    files = lambda: {str(p) for p in root.rglob("*.parquet")}
+    before = files()
+    IO.upsert_bars(spark, mk("2024-02-05"), str(root))
+    gone = before - files()
+    assert len(gone) == 1 and "month=2024-02" in gone.pop() and IO.read_bars(spark, str(root)).count() == 3
+
+
 def test_append_snapshot_needs_every_exchange(spark, tmp_path):
     root = str(tmp_path / "master")
     m = spark.createDataFrame([(f"00000{i}", "n", x, "b", day("2000-01-01"), None, 1.0, 1.0, False, True, ts("2026-10-12T08:00")) for i, x in enumerate(S.REQUIRED_EXCHANGES)], S.MASTER)
     IO.append_snapshot(m, root)
+    IO.append_snapshot(m, root)
     assert IO.read_snapshots(spark, root).count() == 3
+    with pytest.raises(DataQualityError):
+        IO.append_snapshot(m.withColumn("name", F.lit("other")), root)
+    with pytest.raises(DataQualityError):
+        IO.append_snapshot(m.unionByName(m.limit(1).withColumns({"symbol": F.lit("9"), "exchange": F.lit("XXX")})), root)
+    IO.append_snapshot(m.withColumn("observed_at", F.lit("2026-10-12 09:00:00").cast("timestamp")), root)
+    assert IO.read_snapshots(spark, root).count() == 6
     with pytest.raises(DataQualityError):
         IO.append_snapshot(m.where("exchange <> 'BSE'"), root)
 
@@ -90,13 +112,15 @@ def test_append_immutable(spark, tmp_path):
 
 
 def test_checkpoint_folder_is_read_from_the_session(spark, tmp_path):
-    from tidemark.operators.crosssection import settled
+    from tidemark.sources.scratch import settled, shared_dir
 
-    df = spark.range(3)
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert (settled(df) is df) == (named is None) and settled(df).count() == 3
-    assert IO.checkpoint_dir(spark, str(tmp_path / "ck")) == (named or str(tmp_path / "ck"))
-    assert IO.cut_lineage(df).count() == 3
+    at = shared_dir(spark, "x")
+    assert at.startswith(named) if named else at.startswith("file:///")
+    assert at != shared_dir(spark, "x")
+    kept = settled(spark.range(3))
+    assert kept.count() == 3 and "/settled-" in kept.inputFiles()[0]
+    assert settled(spark.createDataFrame([], "a long, b string")).columns == ["a", "b"]
 
 
 def test_ledger_stream(spark, tmp_path):

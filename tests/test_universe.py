@@ -16,9 +16,9 @@ def master(spark):
 
 @pytest.fixture(scope="module")
 def spot(spark):
-    raw = spark.createDataFrame([(s, "n", 10.0, a, 1.0, 1e9, 5e8) for s, a in (("1", 1e8), ("2", 3e8), ("300001", 5e8), ("600001", 8e8), ("920001", 2e9))],
-                                "`代码` string, `名称` string, `最新价` double, `成交额` double, `换手率` double, `总市值` double, `流通市值` double")
-    return N.normalize_spot(raw)
+    raw = spark.createDataFrame([(s, "n", 10.0, a, 1.0, 1e9, 5e8, k) for k, (s, a) in enumerate((("1", 1e8), ("2", 3e8), ("300001", 5e8), ("600001", 8e8), ("920001", 2e9)))],
+                                "`代码` string, `名称` string, `最新价` double, `成交额` double, `换手率` double, `总市值` double, `流通市值` double, seq long")
+    return N.normalize_spot(raw, order="seq")
 
 
 def test_select_liquid(spark, master, spot):

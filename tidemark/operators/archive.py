@@ -13,11 +13,6 @@ from tidemark.operators.universe import period_overlap
 MIN_SUCCESS = 0.95
 
 
-def counts_text(pairs: Column) -> Column:
-    """``name=count`` pairs in name order; the number of names is a small fixed vocabulary."""
-    return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["k"], F.lit("="), p["n"].cast("string"))), ",")
-
-
 def shard_lifecycle(lifecycle: DataFrame, shard_count: int, start: str, end: str) -> DataFrame:
     """TX1 + F13: members of a period with their shard number (all shards at once)."""
     return period_overlap(lifecycle, start, end).withColumn("shard", hash_shard(F.col("symbol"), shard_count))

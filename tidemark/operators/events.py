@@ -27,7 +27,7 @@ class ExtractPatterns:
 
     names: tuple[str, ...] = (
         "(?:股票|证券)?简称(?:将)?由[“\"]([^”\"]{1,20})[”\"](?:变更为|变为)[“\"]([^”\"]{1,20})[”\"]",
-        "(?:股票|证券)?简称(?:将)?由([*A-Za-z0-9一-鿿]{2,16})(?:变更为|变为)([*A-Za-z0-9一-鿿]{2,16})",
+        "(?:股票|证券)?简称(?:将)?由([*A-Za-z0-9\\u4e00-\\u9fff]{2,16})(?:变更为|变为)([*A-Za-z0-9\\u4e00-\\u9fff]{2,16})",
     )
     dates: tuple[str, ...] = (
         "(?:(20[0-9]{2})年)?([0-9]{1,2})月([0-9]{1,2})日(?:开市|开盘|交易)?起",
@@ -53,6 +53,11 @@ def squeeze(text: Column) -> Column:
     )
 
 
+def ascii_digits(text: Column) -> Column:
+    """Full-width digits as ASCII ones, which patterns and numbers read alike."""
+    return F.translate(text, "０１２３４５６７８９", "0123456789")
+
+
 def _spans(hits: str, gaps: str) -> str:
     """SQL: (start, end, hit) of every match, from the matches and the pieces between them."""
     return f"""aggregate(
@@ -89,7 +94,7 @@ def extract_status_events(announcements: DataFrame, patterns: ExtractPatterns =
     ``announcement_time`` (local); all columns are kept.
     """
     p = patterns
-    df = announcements.withColumn("_text", squeeze(F.coalesce("text", F.lit(""))))
+    df = announcements.withColumn("_text", ascii_digits(squeeze(F.coalesce("text", F.lit("")))))
     # Each pattern scans a text twice (matches, and the pieces between); groups are read from the
     # short matches afterwards, which is the same as no pattern looks around its match.
     nothing = F.array().cast("array<string>")

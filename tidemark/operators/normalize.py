@@ -71,8 +71,8 @@ def normalize_benchmark(raw: DataFrame) -> Checked:
                                              "close_not_positive": F.col("close") > 0}, unique=["trade_date"])
 
 
-def normalize_spot(raw: DataFrame, *, layout: str = "full", order: str | None = None) -> DataFrame:
-    """``full`` or ``short`` snapshot layout; the last copy of a symbol by ``order`` wins."""
+def normalize_spot(raw: DataFrame, *, order: str, layout: str = "full") -> DataFrame:
+    """``full`` or ``short`` snapshot layout; the last copy of a symbol by the column ``order`` wins."""
     short = layout == "short"
     symbol = extract_symbol(F.col("`代码`"), at_end=True) if short else pad_symbol(F.col("`代码`"))
     blank = F.lit(None).cast("double")
@@ -82,7 +82,7 @@ def normalize_spot(raw: DataFrame, *, layout: str = "full", order: str | None =
         (blank if short else number("换手率")).alias("turnover_pct"),
         (blank if short else number("总市值")).alias("market_cap"),
         (blank if short else number("流通市值")).alias("float_market_cap"),
-        (F.col(order) if order else F.monotonically_increasing_id()).alias("_order"),
+        F.col(order).alias("_order"),
     ).where(F.col("symbol").isNotNull())
     last = latest_per_key(rows, ["symbol"], ["_order"])
     return last.where((F.col("last") > 0) & (F.col("amount") >= 0)).select(*SPOT.names)
@@ -188,21 +188,22 @@ def validate_states(raw: DataFrame) -> Checked:
     }, unique=["symbol", "trade_date"])
 
 
-def normalize_listings(raw: DataFrame, exchange: str) -> DataFrame:
-    """A current list of either layout to lifecycle rows, first copy of a symbol kept."""
+def normalize_listings(raw: DataFrame, exchange: str, order: str) -> DataFrame:
+    """A current list of either layout to lifecycle rows, the first copy of a symbol by the column ``order`` kept."""
     sse = exchange == "SSE"
     pick = lambda a, b: need_column(raw.columns, (a, b) if sse else (b, a))
     code, name, listed = pick("证券代码", "A股代码"), pick("证券简称", "A股简称"), pick("上市日期", "A股上市日期")
     board = None if sse else first_column(raw.columns, ("板块",))
     rows = raw.select(
         extract_symbol(F.col(f"`{code}`")).alias("symbol"), F.col(f"`{name}`").cast("string").alias("name"),
-        F.lit(exchange).alias("exchange"), day(listed).alias("list_date"),
+        F.lit(exchange).alias("exchange"), day(listed).alias("list_date"), F.col(order).alias("_order"),
         *([F.col(f"`{board}`").cast("string").alias("board")] if board else []),
     )
     if not board:
         rows = rows.withColumn("board", infer_board(F.col("symbol"), F.col("exchange"), STAR_PREFIXES_NARROW))
     kept = rows.where(F.col("symbol").isNotNull() & F.col("list_date").isNotNull()).withColumn("currently_listed", F.lit(True))
-    return kept.dropDuplicates(["symbol"])
+    first = kept.groupBy("symbol").agg(F.min_by(F.struct(*[c for c in kept.columns if c not in ("symbol", "_order")]), "_order").alias("_r"))
+    return first.select("symbol", "_r.*")
 
 
 def normalize_delisted(raw: DataFrame, exchange: str, order: str | None = None) -> DataFrame:

@@ -108,29 +108,29 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom)
 
 
-def fundamental_factors(facts: DataFrame, as_of: str) -> DataFrame:
-    """T4: five ratios at each symbol's latest visible revenue period.
+def _fundamentals(visible: DataFrame) -> DataFrame:
+    """Five ratios at the latest revenue period of each (as_of, symbol) of visible facts.
 
     Facts of one symbol and period fold into one row of items by a single aggregate; the prior
     year is met by an equi join on the shifted period, so no group is collected.
     """
-    visible = facts_visible_as_of(facts, as_of)
     values = [
         F.coalesce(*[F.max(F.when(F.col("metric") == m, F.col("value"))) for m in names]).alias(item)
         for item, names in METRIC_ALIASES.items()
     ]
     has_revenue = F.bool_or(F.col("metric").isin(*METRIC_ALIASES["revenue"])).alias("_revenue")
     known = [m for names in METRIC_ALIASES.values() for m in names]
-    periods = visible.where(F.col("metric").isin(*known)).groupBy("symbol", "period_end").agg(*values, has_revenue)
-    anchor = periods.where("_revenue").groupBy("symbol").agg(
+    keys = ["as_of", "symbol"]
+    periods = visible.where(F.col("metric").isin(*known)).groupBy(*keys, "period_end").agg(*values, has_revenue)
+    anchor = periods.where("_revenue").groupBy(*keys).agg(
         F.max(F.struct("period_end", *METRIC_ALIASES)).alias("_a")
-    ).select("symbol", "_a.*").withColumn("_prior", F.add_months("period_end", -12).cast("timestamp"))
+    ).select(*keys, "_a.*").withColumn("_prior", F.add_months("period_end", -12).cast("timestamp"))
     before = periods.select(
-        "symbol", F.col("period_end").alias("_prior"), F.col("revenue").alias("_rev0"), F.col("net_profit").alias("_np0")
+        *keys, F.col("period_end").alias("_prior"), F.col("revenue").alias("_rev0"), F.col("net_profit").alias("_np0")
     )
-    joined = anchor.join(before, ["symbol", "_prior"], "left")
+    joined = anchor.join(before, [*keys, "_prior"], "left")
     out = joined.select(
-        "symbol", _stamp(as_of).alias("fundamental_as_of"), F.col("period_end").alias("fundamental_period_end"),
+        "symbol", F.col("as_of").alias("fundamental_as_of"), F.col("period_end").alias("fundamental_period_end"),
         _growth(F.col("revenue"), F.col("_rev0")).alias("revenue_yoy"),
         _growth(F.col("net_profit"), F.col("_np0")).alias("net_profit_yoy"),
         _ratio(F.col("net_profit"), F.col("revenue")).alias("net_margin"),
@@ -141,6 +141,25 @@ def fundamental_factors(facts: DataFrame, as_of: str) -> DataFrame:
     return out.withColumn("fundamental_coverage", have / len(FUNDAMENTALS))
 
 
+def fundamental_factors(facts: DataFrame, as_of: str) -> DataFrame:
+    """T4: five ratios at each symbol's latest visible revenue period."""
+    return _fundamentals(facts_visible_as_of(facts, as_of).withColumn("as_of", _stamp(as_of)))
+
+
+def fundamental_factors_at_cutoffs(facts: DataFrame, cutoffs: list[str]) -> DataFrame:
+    """T4 for many cutoffs: one row per (cutoff, symbol), in one pass over the facts."""
+    return _fundamentals(facts_visible_at_cutoffs(facts, cutoffs))
+
+
+def fundamental_snapshot_at_cutoffs(requested: DataFrame, facts: DataFrame, cutoffs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """T5 for many cutoffs: (rows, failures), both with ``fundamental_as_of``."""
+    wanted = requested.select("symbol").distinct()
+    factors = fundamental_factors_at_cutoffs(facts.join(wanted, "symbol", "left_semi"), cutoffs)
+    asked = wanted.withColumn("fundamental_as_of", F.explode(_cutoff_array(cutoffs)))
+    failures = asked.join(factors.select("fundamental_as_of", "symbol"), ["fundamental_as_of", "symbol"], "left_anti")
+    return factors, failures.withColumn("error", F.lit("no_visible_fundamental_factors"))
+
+
 def fundamental_snapshot(requested: DataFrame, facts: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """T5: (rows of the requested symbols, failures of those without visible facts)."""
     wanted = requested.select("symbol").distinct()
@@ -182,8 +201,17 @@ def snapshot_latest(master: DataFrame) -> DataFrame:
     return master.join(F.broadcast(newest), "observed_at").select(*master.columns)
 
 
+def uncovered_cutoffs(master: DataFrame, cutoffs: list[str]) -> DataFrame:
+    """IO13: (rule, as_of) of the cutoffs before the first snapshot; a caller that must not go on refuses when there are any."""
+    spark = master.sparkSession
+    first = master.agg(F.min("observed_at").alias("_first"))
+    asked = spark.createDataFrame([(c,) for c in cutoffs], "as_of string").withColumn("as_of", F.col("as_of").cast("timestamp"))
+    return asked.join(F.broadcast(first), F.col("_first").isNull() | (F.col("as_of") < F.col("_first"))).select(F.lit("no_snapshot").alias("rule"), "as_of")
+
+
 def snapshot_as_of(master: DataFrame, cutoffs: list[str]) -> DataFrame:
-    """IO13: newest snapshot observed at or before each cutoff; a cutoff without one has no rows.
+    """IO13: newest snapshot observed at or before each cutoff; a cutoff without one has no rows
+    here and is listed by ``uncovered_cutoffs``.
 
     Snapshot times are few; they are matched to cutoffs first, then one equi join reads rows.
     """

@@ -12,6 +12,7 @@ from tidemark.functions.symbols import etf_board
 from tidemark.operators.asof import next_tradable_bar, panel_as_of
 from tidemark.operators.factors import by_symbol, momentum, moving_average
 from tidemark.operators.normalize import validate_rankings
+from tidemark.sources.scratch import settled
 
 WEIGHT_SLACK = 1e-7
 ENTRY_SALTS = 64
@@ -45,6 +46,8 @@ class PortfolioRules:
             raise ValueError("cash, positions and cadence must be positive")
         if not 0 < self.stock_weight_per_position <= self.max_total_stock_weight <= 1:
             raise ValueError("bad stock weights")
+        if self.max_stock_positions * self.stock_weight_per_position > self.max_total_stock_weight + 1e-12:
+            raise ValueError("the stock slots together exceed the total stock weight")
         if not 0 <= self.min_cash_weight < 1 or not 0 < self.entry_rank_max <= self.keep_rank_max:
             raise ValueError("bad cash weight or rank bounds")
         if not 0 <= self.etf_target_weight <= self.etf_max_weight <= 1 or self.affordability_buffer < 0:
@@ -146,9 +149,10 @@ def hold_buffer_signals(rankings: DataFrame, configs: DataFrame) -> DataFrame:
     one Catalyst fold per config; ranks of the output rows are joined back afterwards.
     """
     base = validate_rankings(rankings).select("as_of", "symbol", "rank", "board", "is_st", "close", "momentum_20", "trend_close_ma20")
-    cfg = F.broadcast(configs)
-    rebalance = rebalance_days(rankings, configs)
-    due = base.join(rebalance, "as_of").join(cfg, "config_id")
+    cfg = configs
+    rebalance = settled(rebalance_days(rankings, configs))
+    wanted = F.col("rank") <= F.greatest("entry_rank_max", "keep_rank_max")
+    due = settled(base.join(rebalance, "as_of").join(cfg, "config_id").where(wanted))
     may_enter = (
         (F.col("rank") <= F.col("entry_rank_max"))
         & (~F.col("entry_needs_momentum") | (F.col("momentum_20") > 0))
@@ -250,7 +254,7 @@ def etf_rotation(bars: DataFrame, rebalance: DataFrame, stock_signals: DataFrame
     )
     days = (
         rebalance.select("config_id", "as_of").distinct().join(best, "as_of", "left")
-        .join(used, ["config_id", "as_of"], "left").join(F.broadcast(configs), "config_id").where("etf_enabled")
+        .join(used, ["config_id", "as_of"], "left").join(configs, "config_id").where("etf_enabled")
         .withColumn("_used", F.coalesce("_used", F.lit(0.0)))
     )
     unused = F.greatest(F.lit(0.0), F.col("max_total_stock_weight") - F.col("_used"))
@@ -283,7 +287,7 @@ def combine_signals(stock: DataFrame, etf: DataFrame, keys: list[str] | None = N
 
 def portfolio_sweep(rankings: DataFrame, etf_bars: DataFrame, configs: DataFrame) -> DataFrame:
     """P5: P3 + P4 + U1 for every config in one plan."""
-    stock = hold_buffer_signals(rankings, configs)
+    stock = settled(hold_buffer_signals(rankings, configs))
     return combine_signals(stock, etf_rotation(etf_bars, rebalance_days(rankings, configs), stock, configs))[0]
 
 
@@ -333,15 +337,17 @@ def target_weight_equity(
     A holding period runs from the first market day after a signal date to the next signal date's
     own following day.  Inside it the growth is 1 - sum(w) + sum(w * close / entry close), where
     the entry is the close of the signal date (or the last one before); periods are chained by
-    products.  Optional cost is turnover x bps at each signal.
+    products.  Optional cost is turnover x bps at each signal.  Bars, days and daily growth are read
+    several times and settled once each.
     """
     keys = keys or ["portfolio_id"]
+    bars = settled(bars.select("symbol", "trade_date", "close"))
     active = signals.select(*keys, "trade_date", "symbol", "target_weight").where(F.col("target_weight") > 0)
     marks = signals.select(*keys, "trade_date").distinct().withColumn(
         "_next", F.lead("trade_date").over(Window.partitionBy(*keys).orderBy("trade_date"))
     )
     market = bars.select("trade_date").distinct()
-    days = _days_of_periods(marks, market, keys)
+    days = settled(_days_of_periods(marks, settled(market), keys))
     held = active.withColumnRenamed("trade_date", "signal_date").join(days, [*keys, "signal_date"])
     from tidemark.operators.asof import last_before
 
@@ -355,11 +361,11 @@ def target_weight_equity(
     ).join(entry, ["symbol", "signal_date"], "left")
     ratio = F.coalesce(F.try_divide(F.col("_mark.close"), F.col("_entry")), F.lit(1.0))
     inside = marked.groupBy(*keys, "signal_date", "trade_date").agg(
-        F.sum(F.col("target_weight") * (ratio - 1.0)).alias("_gain")
+        F.round(F.sum(F.col("target_weight") * (ratio - 1.0)), 14).alias("_gain")  # a sum's order must not make a return
     )
-    daily = days.join(inside, [*keys, "signal_date", "trade_date"], "left").withColumn(
+    daily = settled(days.join(inside, [*keys, "signal_date", "trade_date"], "left").withColumn(
         "_growth", 1.0 + F.coalesce("_gain", F.lit(0.0))
-    )
+    ))
     period = daily.groupBy(*keys, "signal_date").agg(F.max_by("_growth", "trade_date").alias("_whole"))
     if cost_bps:
         turnover = weight_turnover(signals, keys)

@@ -14,7 +14,7 @@ from tidemark.sources import views as V
 
 _ANN = """ann AS (SELECT *, CASE n_chars % 6 WHEN 0 THEN 'risk_warning_remove_candidate' WHEN 1 THEN 'risk_warning_apply_candidate' WHEN 2 THEN 'delisting_related' WHEN 3 THEN 'risk_warning_remove_candidate' WHEN 4 THEN 'risk_warning_apply_candidate' ELSE 'other_risk_disclosure' END AS event_candidate
     FROM (SELECT doc_id, n_chars, CASE doc_id % 4 WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '300' ELSE '900' END || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') AS symbol, CASE n_chars % 6 WHEN 0 THEN '关于撤销退市风险警示的公告' WHEN 1 THEN '关于股票交易被实施其他风险警示的公告'
-        WHEN 2 THEN '终止上市提示' WHEN 3 THEN '撤销公司股票*ST标识' WHEN 4 THEN '实施风险警示' ELSE '' END || substr(text, 1, 40) AS title, TIMESTAMP '2024-01-01 08:00:00' + INTERVAL 1 HOUR * doc_id AS local_time,
+        WHEN 2 THEN '终止上市提示' WHEN 3 THEN '撤销公司股票*ST标识' WHEN 4 THEN '实施风险警示' ELSE '' END || text AS title, TIMESTAMP '2024-01-01 08:00:00' + INTERVAL 1 HOUR * doc_id AS local_time,
         CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS id, lang AS org, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'http://files/finalpage/' || CAST(doc_id AS VARCHAR) || '.PDF' END AS pdf_url FROM documents) WHERE doc_id % 41 <> 0 AND left(symbol, 1) IN ('0','3','6'))"""
 
 
@@ -41,9 +41,9 @@ def _(spark, sf):
     return A.event_counts(announcements(spark, sf))
 
 
-@query("classify_title", f"WITH {_ANN} SELECT announcement_id, event_candidate FROM (SELECT id AS announcement_id, event_candidate FROM ann WHERE id <> '')")
+@query("classify_title", f"WITH {_ANN} SELECT announcement_id, event_candidate FROM (SELECT id AS announcement_id, event_candidate FROM ann)")
 def _(spark, sf):
-    return announcements(spark, sf).where(F.col("announcement_id") != "").select("announcement_id", "event_candidate")
+    return announcements(spark, sf).select("announcement_id", "event_candidate")
 
 
 @query("cohort_sample", f"""WITH {_ANN} SELECT cohort, symbol, announcement_id FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY sha256(k)) AS rn FROM (
@@ -75,7 +75,8 @@ _TXT = """docs AS (SELECT doc_id, n_chars % 8 AS form, '甲' || CAST(n_chars % 7
     CASE form WHEN 0 THEN stated WHEN 1 THEN nearest WHEN 6 THEN nearest END AS effective_date, CASE WHEN (form = 0 AND stated IS NOT NULL) OR (form = 6 AND nearest IS NOT NULL) THEN a WHEN form = 1 AND nearest IS NOT NULL THEN b END AS before_name, CASE WHEN (form = 0 AND stated IS NOT NULL) OR (form = 6 AND nearest IS NOT NULL) THEN b WHEN form = 1 AND nearest IS NOT NULL THEN a END AS after_name,
     CASE WHEN (form = 0 AND stated IS NOT NULL) OR (form = 6 AND nearest IS NOT NULL) THEN 'apply_st' WHEN form = 1 AND nearest IS NOT NULL THEN 'remove_st' END AS action FROM dated""")
 def _(spark, sf):
-    return X.extract_status_events(V.announcement_texts(spark, sf)).select("doc_id", "parse_status", "effective_date", "before_name", "after_name", "action")
+    texts = V.announcement_texts(spark, sf).repartition(spark.sparkContext.defaultParallelism)  # one small file is one task
+    return X.extract_status_events(texts).select("doc_id", "parse_status", "effective_date", "before_name", "after_name", "action")
 
 
 @query("parser_rates", f"""WITH {_TXT} SELECT CASE WHEN doc_id % 2 = 0 THEN 'SSE_apply' ELSE 'SZSE_apply' END AS cohort, count(*) AS sample_count, count(*) FILTER (WHERE v) AS verified_count, {r('avg(CAST(v AS INTEGER))')} AS verified_rate

@@ -211,9 +211,9 @@ def _(spark, sf):
 
 @query("archive_calendar", with_views(["archive_amounts", "archive_states", "order_calendar"], """SELECT coalesce(a.d, s.d, c.d) AS trade_date, a.d IS NOT NULL AS in_amounts, s.d IS NOT NULL AS in_states, CASE WHEN c.d IS NULL THEN 'not_in_calendar' WHEN a.d IS NULL AND s.d IS NULL THEN 'missing_amount_and_state'
     WHEN a.d IS NULL THEN 'missing_amount' WHEN s.d IS NULL THEN 'missing_state' ELSE 'present' END AS status FROM (SELECT DISTINCT trade_date AS d FROM archive_amounts) a FULL JOIN (SELECT DISTINCT trade_date AS d FROM archive_states) s ON a.d = s.d
-    FULL JOIN (SELECT DISTINCT trade_date AS d FROM order_calendar WHERE day(trade_date) = 1) c ON c.d = coalesce(a.d, s.d)"""))
+    FULL JOIN (SELECT DISTINCT trade_date AS d FROM order_calendar) c ON c.d = coalesce(a.d, s.d)"""))
 def _(spark, sf):
-    cal = V.order_calendar(spark, sf).where(F.day("trade_date") == 1)
+    cal = V.order_calendar(spark, sf)
     return K.archive_calendar(V.archive_amounts(spark, sf), V.archive_states(spark, sf), cal)
 
 
@@ -531,12 +531,12 @@ def _(spark, sf):
     return rounded(N.validate_amounts(gappy_amounts(spark, sf)).clean, 2)
 
 
-@query("normalize_listings", """SELECT DISTINCT lpad(CAST(c_custkey % 1000 + 600000 AS VARCHAR), 6, '0') AS symbol, 'SSE' AS exchange, DATE '2020-01-01' + CAST(c_custkey % 1000 AS INTEGER) AS list_date, '上证主板' AS board, true AS currently_listed FROM customer""")
+@query("normalize_listings", """SELECT lpad(CAST(c_custkey % 1000 + 600000 AS VARCHAR), 6, '0') AS symbol, arg_min(c_mktsegment, c_custkey) AS name, 'SSE' AS exchange, DATE '2020-01-01' + CAST(any_value(c_custkey % 1000) AS INTEGER) AS list_date, '上证主板' AS board, true AS currently_listed FROM customer GROUP BY 1""")
 def _(spark, sf):
     k = F.col("c_custkey") % 1000
     raw = V.table(spark, sf, "customer").select(
-        F.concat(F.lit("code "), (k + 600000).cast("string")).alias("A股代码"), F.col("c_mktsegment").alias("证券简称"), F.date_add(F.lit("2020-01-01").cast("date"), k.cast("int")).cast("string").alias(" 上市日期 "))
-    return N.normalize_listings(raw, "SSE").select("symbol", "exchange", "list_date", "board", "currently_listed")
+        F.concat(F.lit("code "), (k + 600000).cast("string")).alias("A股代码"), F.col("c_mktsegment").alias("证券简称"), F.date_add(F.lit("2020-01-01").cast("date"), k.cast("int")).cast("string").alias(" 上市日期 "), "c_custkey")
+    return N.normalize_listings(raw, "SSE", "c_custkey").select("symbol", "name", "exchange", "list_date", "board", "currently_listed")
 
 
 @query("normalize_delisted", """SELECT symbol, DATE '2020-01-01' AS list_date, max(d) AS delist_date FROM (SELECT lpad(CAST((c_custkey % 5) * 100000 + c_custkey % 300 AS VARCHAR), 6, '0') AS symbol, DATE '2021-01-01' + CAST(c_custkey AS INTEGER) AS d FROM customer)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import after_close_gate, data_quality_label, gate_open
@@ -19,6 +21,8 @@ from tidemark.sources import tables as IO
 from tidemark.sources import views as V
 
 MIN_AMOUNT = 35000.0
+# Two engines add in different orders: for the comparison, scores equal to nine digits tie in both.
+CHECKED_V1, CHECKED_V2 = (replace(c, score_digits=9) for c in (W.CONFIG_V1, W.CONFIG_V2))
 GATES = {"min_average_amount": MIN_AMOUNT}
 _ELIGIBLE = f"bar_no >= 61 AND average_amount_20 >= {MIN_AMOUNT}"
 
@@ -231,15 +235,38 @@ _PCT = "CASE WHEN n = 1 THEN 100.0 ELSE (n - rank) * 100.0 / (n - 1) END"
 @query("score_table", with_views(["panel"], f"SELECT symbol, {_SCORES}, {r('composite_score', 5)} AS composite_score, CAST(rank AS INTEGER) AS rank, {r(_PCT, 5)} AS score_percentile FROM scored",
                                  {**_LATEST, **scored("latest", "run", V1)}))
 def score_latest(spark, sf):
-    ranking, _ = W.factor_engine(V.bars(spark, sf), W.CONFIG_V1, **GATES)
+    ranking, _ = W.factor_engine(V.bars(spark, sf), CHECKED_V1, **GATES)
     return rounded(ranking.select("symbol", *["score_" + f for f in FACTOR_SQL], "composite_score", "rank", "score_percentile"), 5)
 
 
+_HOLES = {**_LATEST, "holes": "SELECT * REPLACE (CASE WHEN CAST(symbol AS INTEGER) % 7 <> 0 THEN log_amount_20 END AS log_amount_20, CASE WHEN CAST(symbol AS INTEGER) % 5 <> 0 THEN momentum_20 END AS momentum_20) FROM latest"}
+_MISSING_SQL = f"SELECT symbol, {r('score_momentum_20', 5)} AS score_momentum_20, {r('score_log_amount_20', 5)} AS score_log_amount_20, {r('composite_score', 5)} AS composite_score, CAST(rank AS INTEGER) AS rank FROM scored"
+
+
+def _with_missing(spark, sf, coverage):
+    """The latest cross-section with NaN for one factor of some names and NULL for another's."""
+    number = F.col("symbol").cast("int")
+    latest = W.market_factors(V.bars(spark, sf), **GATES).withColumns({
+        "run": F.lit(1), "log_amount_20": F.when(number % 7 != 0, F.col("log_amount_20")).otherwise(F.lit(float("nan"))), "momentum_20": F.when(number % 5 != 0, F.col("momentum_20"))})
+    s = W.score_table(latest, replace(CHECKED_V1, min_coverage=coverage), ["run"])
+    return rounded(s.select("symbol", "score_momentum_20", "score_log_amount_20", "composite_score", "rank"), 5)
+
+
+@query("score_table_nan", with_views(["panel"], _MISSING_SQL, {**_HOLES, **scored("holes", "run", V1)}))
+def _(spark, sf):
+    return _with_missing(spark, sf, 1.0)
+
+
+@query("score_table_partial_coverage", with_views(["panel"], _MISSING_SQL, {**_HOLES, **scored("holes", "run", V1, 0.7)}))
+def _(spark, sf):
+    return _with_missing(spark, sf, 0.7)
+
+
 @query("factor_engine_exclusions", with_views(["panel"], f"""SELECT symbol, CASE WHEN bar_no < 61 THEN 'insufficient_history:' || CAST(bar_no AS VARCHAR) || '<61' ELSE 'below_min_average_amount_20' END AS reason,
     {r('CASE WHEN bar_no >= 61 THEN average_amount_20 END', 4)} AS average_amount_20
     FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM panel) WHERE rn = 1 AND NOT ({_ELIGIBLE})"""))
 def _(spark, sf):
-    return rounded(W.factor_engine(V.bars(spark, sf), W.CONFIG_V1, **GATES)[1], 4)
+    return rounded(W.factor_engine(V.bars(spark, sf), CHECKED_V1, **GATES)[1], 4)
 
 
 @query("winsorized_zscore", with_views(["panel"], f"SELECT as_of, symbol, {r('score_momentum_20', 5)} AS z_momentum_20, {r('score_log_amount_20', 5)} AS z_log_amount_20 FROM zed",
@@ -256,7 +283,7 @@ _DATED = {"dated": f"SELECT *, trade_date AS as_of FROM panel WHERE {_ELIGIBLE}"
 @query("historical_rankings", with_views(["panel"], f"SELECT as_of, symbol, {r('composite_score', 5)} AS composite_score, CAST(rank AS INTEGER) AS rank, {r(_PCT, 5)} AS score_percentile FROM scored",
                                          {**_DATED, **scored("dated", "as_of", V2)}))
 def _(spark, sf):
-    h = W.historical_rankings(V.bars(spark, sf), W.CONFIG_V2, stale="drop_then_score", **GATES)
+    h = W.historical_rankings(V.bars(spark, sf), CHECKED_V2, stale="drop_then_score", **GATES)
     return rounded(h.select("as_of", "symbol", "composite_score", "rank", "score_percentile"), 5)
 
 
@@ -271,7 +298,7 @@ _CARRIED = {
 @query("historical_rankings_carried", with_views(["panel"], f"SELECT as_of, symbol, {r('composite_score', 5)} AS composite_score, CAST(rank AS INTEGER) AS rank FROM scored WHERE trade_date = as_of",
                                                  {**_CARRIED, **scored("dated", "as_of", V2)}))
 def _(spark, sf):
-    h = W.historical_rankings(V.bars(spark, sf), W.CONFIG_V2, stale="score_then_drop", **GATES)
+    h = W.historical_rankings(V.bars(spark, sf), CHECKED_V2, stale="score_then_drop", **GATES)
     return rounded(h.select("as_of", "symbol", "composite_score", "rank"), 5)
 
 
@@ -288,7 +315,7 @@ _CANDS = {"cands": "SELECT a.trade_date AS as_of, a.symbol, l.board FROM archive
                                      {**_CANDS, "seen": "SELECT c.as_of, c.board, p.* FROM cands c ASOF JOIN panel p ON c.symbol = p.symbol AND c.as_of >= p.trade_date",
                                       "dated": f"SELECT * FROM seen WHERE {_ELIGIBLE}", **scored("dated", "as_of", V2)}))
 def _(spark, sf):
-    ranked, _ = W.strict_rankings(V.bars(spark, sf), quarter_candidates(spark, sf), W.CONFIG_V2, **GATES)
+    ranked, _ = W.strict_rankings(V.bars(spark, sf), quarter_candidates(spark, sf), CHECKED_V2, **GATES)
     return rounded(ranked.select("as_of", "symbol", "board", "composite_score", "rank"), 5)
 
 
@@ -296,7 +323,7 @@ def _(spark, sf):
     SELECT as_of, count(trade_date) AS h, count(*) FILTER (WHERE {_ELIGIBLE}) AS e, count(*) FILTER (WHERE {_ELIGIBLE} AND trade_date = as_of) AS s FROM seen GROUP BY as_of) WHERE s = 0""",
     {**_CANDS, "seen": "SELECT c.as_of, p.* FROM cands c ASOF LEFT JOIN panel p ON c.symbol = p.symbol AND c.as_of >= p.trade_date"}))
 def _(spark, sf):
-    return W.strict_rankings(V.bars(spark, sf), quarter_candidates(spark, sf), W.CONFIG_V2, **GATES)[1]
+    return W.strict_rankings(V.bars(spark, sf), quarter_candidates(spark, sf), CHECKED_V2, **GATES)[1]
 
 
 @query("score_configs", with_views(["panel"], f"""SELECT * FROM (SELECT 'v1' AS config_id, symbol, {r('c1', 5)} AS composite_score, CAST(rank() OVER (ORDER BY c1 DESC) AS INTEGER) AS rank FROM mixes
@@ -305,21 +332,21 @@ def _(spark, sf):
      "mixes": "SELECT symbol, " + ", ".join("(" + " + ".join(f"score_{f} * {w}" for f, (w, _) in cfg.items()) + f") AS c{i}" for i, cfg in ((1, V1), (2, V2))) + " FROM zed"}))
 def _(spark, sf):
     latest = W.market_factors(V.bars(spark, sf), **GATES).withColumn("run", F.lit(1))
-    s = W.score_configs(latest, {"v1": W.CONFIG_V1, "v2": W.CONFIG_V2}, ["run"])
+    s = W.score_configs(latest, {"v1": CHECKED_V1, "v2": CHECKED_V2}, ["run"])
     return rounded(s.select("config_id", "symbol", "composite_score", "rank"), 5)
 
 
 @query("attach_metadata", with_views(["panel", "master"], "SELECT s.symbol, CAST(rank AS INTEGER) AS rank, m.name, m.exchange, m.board, m.is_st FROM scored s LEFT JOIN master m USING (symbol)",
                                      {**_LATEST, **scored("latest", "run", V1)}))
 def _(spark, sf):
-    ranking, _ = W.factor_engine(V.bars(spark, sf), W.CONFIG_V1, **GATES)
+    ranking, _ = W.factor_engine(V.bars(spark, sf), CHECKED_V1, **GATES)
     return W.attach_metadata(ranking.select("symbol", "rank"), V.master(spark, sf))
 
 
 @query("top_n_selected", with_views(["panel"], f"SELECT symbol, {r('composite_score', 5)} AS composite_score, CAST(rank AS INTEGER) AS rank FROM scored ORDER BY composite_score DESC, symbol LIMIT 10",
                                     {**_LATEST, **scored("latest", "run", V1)}))
 def _(spark, sf):
-    ranking, _ = W.factor_engine(V.bars(spark, sf), W.CONFIG_V1, **GATES)
+    ranking, _ = W.factor_engine(V.bars(spark, sf), CHECKED_V1, **GATES)
     top = U.top_k(ranking.where(F.col("rank").isNotNull()), 10, [F.col("composite_score").desc(), F.col("symbol").asc()])
     return rounded(top.select("symbol", "composite_score", "rank"), 5)
 
@@ -381,9 +408,9 @@ def _(spark, sf):
 
 
 @query("spot_coverage", with_views(["master"], """SELECT count(*) AS listed, count(s.symbol) AS covered, round(count(s.symbol) / count(*), 6) + 0.0 AS coverage, count(s.symbol) / count(*) >= 0.80 AS passed
-    FROM master m LEFT JOIN (SELECT DISTINCT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.05) s USING (symbol) WHERE m.is_listed AND m.exchange IN ('SSE','SZSE')"""))
+    FROM master m LEFT JOIN (SELECT DISTINCT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol FROM lineitem) s USING (symbol) WHERE m.is_listed AND m.exchange IN ('SSE','SZSE')"""))
 def _(spark, sf):
-    snap = V.table(spark, sf, "lineitem").where((F.col("l_quantity") == 50) & (F.col("l_discount") == 0.05)).select(V.code("l_suppkey").alias("symbol"))
+    snap = V.table(spark, sf, "lineitem").select(V.code("l_suppkey").alias("symbol"))
     return rounded(U.spot_coverage(V.master(spark, sf), snap))
 
 

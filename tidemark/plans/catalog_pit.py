@@ -101,6 +101,16 @@ def _(spark, sf):
     return rounded(dated(P.fundamental_factors(V.facts(spark, sf), CUTOFF).drop("fundamental_as_of")))
 
 
+_BY_CUT = lambda q: q.replace("PARTITION BY symbol", "PARTITION BY as_of, symbol").replace("SELECT symbol, CAST(period_end", "SELECT as_of, symbol, CAST(period_end").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3").replace("SELECT a.symbol", "SELECT a.as_of, a.symbol").replace("a.symbol = b.symbol", "a.as_of = b.as_of AND a.symbol = b.symbol")
+_FUND_AT = {k: _BY_CUT(q) for k, q in _FUND.items()} | {"visible": f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY as_of, symbol, metric, period_end ORDER BY available_at DESC, source DESC) AS rn
+    FROM facts JOIN {_CUTS} ON available_at <= as_of AND period_end <= as_of) WHERE rn = 1"""}
+
+
+@query("fundamental_factors_at_cutoffs", with_views(["facts"], f"SELECT CAST(as_of AS DATE) AS fundamental_as_of, symbol, fundamental_period_end, {', '.join(f'{r(c)} AS {c}' for c in _F5)}, {r(_COVER)} AS fundamental_coverage FROM ratios", _FUND_AT))
+def _(spark, sf):
+    return rounded(dated(P.fundamental_factors_at_cutoffs(V.facts(spark, sf), CUTOFFS)))
+
+
 def _requested(spark, sf):
     return V.table(spark, sf, "customer").select(V.code(F.floor(F.col("c_custkey") / 10)).alias("symbol"))
 
@@ -160,6 +170,12 @@ def _(spark, sf):
     return dated(P.snapshot_latest(V.master_history(spark, sf)).select("symbol", "is_st", "observed_at"))
 
 
+@query("snapshot_uncovered", with_views(["master_history"], """SELECT 'no_snapshot' AS rule, as_of FROM (VALUES (DATE '2000-01-01'), (DATE '2024-12-31'), (DATE '2001-12-31')) c(as_of)
+    WHERE as_of < (SELECT min(observed_at) FROM master_history)"""))
+def _(spark, sf):
+    return P.uncovered_cutoffs(V.master_history(spark, sf), ["2000-01-01", "2024-12-31", "2001-12-31"]).withColumn("as_of", F.col("as_of").cast("date"))
+
+
 @query("snapshot_as_of", with_views(["master_history"], """SELECT as_of, m.symbol, m.is_st, CAST(m.observed_at AS DATE) AS observed_at FROM (SELECT as_of, max(observed_at) AS o FROM (VALUES (DATE '2024-01-01'), (DATE '2024-12-31'), (DATE '2025-03-31'), (DATE '2026-12-31')) c(as_of)
     JOIN (SELECT DISTINCT observed_at FROM master_history) ON observed_at <= as_of GROUP BY 1) JOIN master_history m ON m.observed_at = o"""))
 def _(spark, sf):

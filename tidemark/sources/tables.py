@@ -15,12 +15,12 @@ from tidemark.operators.archive import merge_shards
 from tidemark.operators.checks import Checked, DataQualityError, latest_per_key
 from tidemark.operators.evidence import append_plan
 from tidemark.operators.factors import validate_bars
-from tidemark.operators.normalize import FACT_KEY, validate_facts
+from tidemark.operators.normalize import FACT_KEY, validate_facts, validate_master
 from tidemark.operators.pit import merge_facts
 from tidemark.operators.reconstruct import Reconstruction
 
 BUCKETS = 64
-_BUCKETED_BARS = T.StructType([*S.BARS.fields, T.StructField("bucket", T.IntegerType())])
+_BUCKETED_BARS = T.StructType([*S.BARS.fields, T.StructField("bucket", T.IntegerType()), T.StructField("month", T.StringType())])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -28,43 +28,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared folder the cluster names; a fallback is only set where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    chosen = named or fallback
-    if chosen:
-        spark.sparkContext.setCheckpointDir(chosen)
-    return chosen
-
-
-def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
-    """Reliable checkpoint of a table several later steps read; unchanged where no folder is known."""
-    return df.checkpoint(eager=False) if checkpoint_dir(df.sparkSession, fallback) else df
+_PARTS = ["bucket", "month"]
 
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", hash_shard(F.col("symbol"), buckets))
+    return df.withColumns({"bucket": hash_shard(F.col("symbol"), buckets), "month": F.date_format("trade_date", "yyyy-MM")})
 
 
 def _write_buckets(df: DataFrame, path: str, mode: str) -> None:
-    """One folder per bucket. The rebalance hint lets AQE split a bucket that holds most rows."""
+    """One folder per bucket and month. The rebalance hint lets AQE split a folder that holds most rows."""
     (
-        df.hint("rebalance", "bucket").write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        df.hint("rebalance", *_PARTS).write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(path)
     )
 
 
+def stored_buckets(spark: SparkSession, root: str, buckets: int | None = None) -> int:
+    """The bucket count that was stored with the table; another one asked for is an error."""
+    stored = int(spark.read.text(f"{root}/_buckets").first()[0])
+    if buckets is not None and buckets != stored:
+        raise ValueError(f"{root} has {stored} buckets, not {buckets}")
+    return stored
+
+
 def write_bars(bars: DataFrame, root: str, buckets: int = BUCKETS) -> None:
-    """IO2: validate (fail closed), then write by symbol bucket."""
+    """IO2: validate (fail closed), then write by symbol bucket and month; the bucket count is stored beside."""
     _write_buckets(_bucketed(validate_bars(bars).require(), buckets), root, "overwrite")
+    bars.sparkSession.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_buckets")
 
 
-def read_bars(spark: SparkSession, root: str, symbols: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def read_bars(spark: SparkSession, root: str, symbols: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """IO1: bars; a symbol list prunes bucket folders and pushes down to Parquet."""
     df = spark.read.schema(_BUCKETED_BARS).parquet(root)
+    count = stored_buckets(spark, root, buckets)
     if symbols:
         wanted = [s.zfill(6) for s in symbols]
-        ids = sorted({int(hashlib.sha256(s.encode()).hexdigest()[:16], 16) % buckets for s in wanted})
+        ids = sorted({int(hashlib.sha256(s.encode()).hexdigest()[:16], 16) % count for s in wanted})
         df = df.where(F.col("bucket").isin(*ids) & F.col("symbol").isin(*wanted))
     return df.select(*S.BARS.names)
 
@@ -75,16 +74,15 @@ def merge_bars(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return latest_per_key(both, ["symbol", "trade_date"], ["_batch"]).drop("_batch")
 
 
-def upsert_bars(spark: SparkSession, incoming: DataFrame, root: str, buckets: int = BUCKETS) -> None:
-    """IO3: rewrite only the buckets that the incoming bars touch (dynamic partition overwrite)."""
-    fresh = validate_bars(incoming).require()
+def upsert_bars(spark: SparkSession, incoming: DataFrame, root: str, buckets: int | None = None) -> None:
+    """IO3: rewrite only the bucket and month folders that the incoming bars touch (dynamic partition overwrite)."""
     if not _exists(spark, root):
-        _write_buckets(_bucketed(fresh, buckets), root, "overwrite")
+        write_bars(incoming, root, buckets or BUCKETS)
         return
-    new = _bucketed(fresh, buckets)
-    old = spark.read.schema(_BUCKETED_BARS).parquet(root).join(new.select("bucket").distinct(), "bucket", "left_semi")
+    new = _bucketed(validate_bars(incoming).require(), count := stored_buckets(spark, root, buckets))
+    old = spark.read.schema(_BUCKETED_BARS).parquet(root).join(new.select(*_PARTS).distinct(), _PARTS, "left_semi")
     names = S.BARS.names
-    _write_buckets(_bucketed(merge_bars(old.select(*names), new.select(*names)), buckets), root, "overwrite")
+    _write_buckets(_bucketed(merge_bars(old.select(*names), new.select(*names)), count), root, "overwrite")
 
 
 def upsert_facts(spark: SparkSession, incoming: DataFrame, root: str) -> Checked:
@@ -139,12 +137,25 @@ def write_backtest_report(equity: DataFrame, trades: DataFrame, summary: DataFra
 
 
 def append_snapshot(master: DataFrame, root: str) -> None:
-    """IO11: append a complete master snapshot; refuse one that lacks an exchange."""
+    """IO11: add a valid, complete master snapshot under its time; refuse one that lacks an exchange.
+    The same snapshot again changes nothing; another one of the same time is refused."""
+    validate_master(master).require()
     need = F.array(*[F.lit(e) for e in S.REQUIRED_EXCHANGES])
     gaps = master.agg(F.array_except(need, F.collect_set("exchange")).alias("missing")).first()["missing"]
     if gaps:
         raise DataQualityError(f"refusing an incomplete master, missing {sorted(gaps)}")
-    master.withColumn("observed_dt", F.to_date("observed_at")).write.mode("append").partitionBy("observed_dt").parquet(root)
+    stamped = master.select(*S.MASTER.names).withColumn("observed_dt", F.date_format("observed_at", "yyyyMMddHHmmssSSS"))
+    spark = master.sparkSession
+    if _exists(spark, root):
+        stored = spark.read.schema(stamped.schema).parquet(root)
+        old = stored.join(stamped.select("observed_dt").distinct(), "observed_dt", "left_semi").select(*stamped.columns)
+        new = stamped.join(old.select("observed_dt").distinct(), "observed_dt", "left_semi").select(*stamped.columns)
+        if not old.exceptAll(new).isEmpty() or not new.exceptAll(old).isEmpty():
+            raise DataQualityError("refusing a changed master under a stored snapshot time")
+        stamped = stamped.join(old.select("observed_dt").distinct(), "observed_dt", "left_anti")
+        if stamped.isEmpty():
+            return
+    stamped.write.mode("append").partitionBy("observed_dt").parquet(root)
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:

@@ -239,7 +239,7 @@ def raw_states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_changes(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "events").where(F.col("event_type") == "purchase").groupBy(code("user_id").alias("symbol"), F.to_date("ts").alias("change_date")).agg(
+    g = table(spark, sf, "events").groupBy(code("user_id").alias("symbol"), F.to_date("ts").alias("change_date")).agg(
         F.min("event_id").alias("e")
     )
     e = F.col("e")
@@ -254,7 +254,7 @@ def name_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verified_events(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "events").where(F.col("event_type") == "click").groupBy(code("user_id").alias("symbol"), F.to_date("ts").alias("d")).agg(F.min("event_id").alias("e"))
+    g = table(spark, sf, "events").groupBy(code("user_id").alias("symbol"), F.to_date("ts").alias("d")).agg(F.min("event_id").alias("e"))
     e = F.col("e")
     after = e % 2 == 0
     return g.select(
@@ -275,7 +275,7 @@ def raw_announcements(spark: SparkSession, sf: str) -> DataFrame:
     millis = F.lit(1704067200000) + k * 3600000
     return table(spark, sf, "documents").select(
         F.concat(head, F.lpad((k % 1000).cast("string"), 3, "0")).alias("secCode"), F.col("source").alias("secName"),
-        F.concat(title, F.substring("text", 1, 40)).alias("announcementTitle"), F.when(k % 41 == 0, "").otherwise(millis.cast("string")).alias("announcementTime"),
+        F.concat(title, F.col("text")).alias("announcementTitle"), F.when(k % 41 == 0, "").otherwise(millis.cast("string")).alias("announcementTime"),
         F.when(k % 3 == 0, "").otherwise(k.cast("string")).alias("announcementId"), F.col("lang").alias("orgId"),
         F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("/finalpage/"), k.cast("string"), F.lit(".PDF"))).alias("adjunctUrl"), F.lit("PDF").alias("adjunctType"),
     )
