@@ -21,6 +21,7 @@ from .common import mix, text_slices
 
 ORDER = 4
 SPACE = 32
+PART_BYTES = 1 << 19
 UNKNOWN = "und"
 #: Bound of the labelled sample that the models are fitted on: documents per language, characters per document.
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 20_000
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            for i, j, raw, offs in text_slices(batch, "text"):
+            for i, j, raw, offs in text_slices(batch, "text", PART_BYTES):
                 sym, bounds, _ = symbols(raw, offs)
                 sizes = bounds[:, 1] - bounds[:, 0]
                 spots = np.concatenate([np.arange(a, b) for a, b in bounds]) if len(bounds) else np.zeros(0, np.int64)
@@ -190,7 +191,7 @@ def predict(docs: DataFrame, models: Models, *, text: str = "text", keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [models.entropies(raw, offs) for _, _, raw, offs in text_slices(batch, "_text")]
+            parts = [models.entropies(raw, offs) for _, _, raw, offs in text_slices(batch, "_text", PART_BYTES)]
             if not parts:
                 continue
             bits, sizes, letters = (np.concatenate(x) for x in zip(*parts, strict=True))

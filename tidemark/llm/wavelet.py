@@ -26,8 +26,9 @@ from .common import LOWER, SPACES, byte_table, concat_ranges, file_system, kept,
 
 MAGIC = b"WVMX0001"
 BLOCK_BITS = 1 << 16
-SHARD_TOKENS = 8 << 20
-CACHE_WORDS = 2_000_000
+SHARD_TOKENS = 4 << 20
+CACHE_WORDS = 600_000
+PART_BYTES = 1 << 19
 
 
 # ---------------------------------------------------------------- the file
@@ -93,19 +94,17 @@ class WaveletFile:
     def decode(self) -> np.ndarray:
         """All ids in order."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
-        spots = []
-        for plane in self.head["planes"]:
+        values, get = np.zeros(self.tokens, kind), zstandard.ZstdDecompressor().decompress
+        for level in range(self.bits - 1, -1, -1):
+            plane, zeros = self.head["planes"][level], self.head["planes"][level]["zeros"]
             first, last = (plane["blocks"][0][0], sum(plane["blocks"][-1])) if plane["blocks"] else (0, 0)
-            data, get = self.file.read_at(last - first, first), zstandard.ZstdDecompressor().decompress
+            data = self.file.read_at(last - first, first)
             raw = b"".join(get(data[a - first : a - first + n]) for a, n in plane["blocks"])
-            spots.append(np.unpackbits(np.frombuffer(raw, np.uint8), count=self.tokens).view(bool))
-        values = np.zeros(self.tokens, kind)
-        for level in range(self.bits - 1, -1, -1):
-            bit, zeros = spots[level], self.head["planes"][level]["zeros"]
+            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.tokens).view(bool)
             out = np.empty_like(values)
             out[np.flatnonzero(~bit)] = values[:zeros]
             out[np.flatnonzero(bit)] = values[zeros:] | kind(1 << (self.bits - 1 - level))
-            values, spots[level] = out, None
+            values = out
         return values.astype(np.uint32)
 
     def _bits_of(self, level: int, block: int) -> np.ndarray:
@@ -292,7 +291,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int, d
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([held], pa.int64())], ["path", "part", "number", "documents", "tokens"])
 
         for batch in batches:
-            for i, j, raw, offs in text_slices(batch, "text"):
+            for i, j, raw, offs in text_slices(batch, "text", PART_BYTES):
                 found, n = code.encode(raw, offs)
                 out = np.full(len(found) + len(n), end_id, np.uint32)
                 keep = np.ones(len(out), bool)
