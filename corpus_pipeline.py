@@ -16,10 +16,19 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.wavelet import token_ids
 
 
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows per Arrow batch: whole texts of any length go to the workers, so a batch holds few of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no language: texts that are null or without letters, and texts further from all
     learned languages than any held-back labelled text by a margin.  Models are learned from the rows
     with a ``lang``; without any, only texts without letters go."""
+    small_batches(spark)
     models = fit(docs, F.lit(True))
     plain = docs.toDF(*[f"__{k}" for k in range(len(docs.columns))])  # extra columns may have any name
     text = plain.columns[docs.columns.index("text")]
@@ -32,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of linked documents stays: that of the smallest doc_id (null last), then of
     the smallest text hash; of equal rows, one.  Rows without words stay.  Only the keys of rows that go
     are joined to the documents."""
+    small_batches(spark)
     found = kept(jaccard_components(docs), "components").where("n_shingles > 0")
     stays = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = found.join(stays, "group").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("mark") == F.col("stays.mark"))).alias("stays"))
@@ -48,16 +58,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which at least one word in 20 stands in a benchmark phrase."""
+    small_batches(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weigh 1, 2, 3 in turn; each document stands as often as the mix draws it."""
+    small_batches(spark)
     return mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in wavelet-matrix files; returns doc_id, start, n_tokens and ids_crc32 read back from them."""
+    small_batches(spark)
     return token_ids(docs, f"{shared_dir(spark, 'tokens')}/shards", word_tokenizer(), end_id=2)
 
 

@@ -209,32 +209,40 @@ def contamination(index: DataFrame, benchmark: DataFrame, *, item_id: str = "ite
                     pa.array([sorted({phrases.item[w] for w in cut(which, r)}) for r in rows], pa.list_(pa.string())),
                 ], ["shard", "row", "doc_id", "mark", "n_words", "firsts", "lasts", "items"])
 
-        parts.append(index.mapInArrow(run, HITS))
-    hits = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
-        hits = hits.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("firsts", "lasts", "items")])
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = batch.to_pydict()
-            n_hit, shas, n_items = [], [], []
-            for firsts, lasts, items in zip(b["firsts"], b["lasts"], b["items"], strict=True):
-                n, end = 0, -1
-                for f, t in sorted(zip(firsts, lasts, strict=True)):
-                    n, end = n + max(0, t - max(f - 1, end)), max(end, t)
-                ids = sorted(set(items))
-                n_hit.append(n)
-                n_items.append(len(ids))
-                shas.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-            bad = [h > 0 and one_in * h >= w for h, w in zip(n_hit, b["n_words"], strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(b["doc_id"], pa.int64()), pa.array(b["mark"], pa.int64()), pa.array(b["n_words"], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()),
-                pa.array(shas, pa.string()), pa.array(bad, pa.bool_()),
-            ], ["doc_id", "mark", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return hits.mapInArrow(digest, "doc_id long, mark long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        def judged(batches: Iterator[pa.RecordBatch], run=run) -> Iterator[pa.RecordBatch]:
+            return _verdicts(run(batches), one_in)
+
+        parts.append((run, judged))
+    if len(parts) == 1:
+        return index.mapInArrow(parts[0][1], VERDICT)
+    hits = None
+    for run, _ in parts:
+        more = index.mapInArrow(run, HITS)
+        hits = more if hits is None else hits.unionByName(more)
+    hits = hits.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("firsts", "lasts", "items")])
+    return hits.mapInArrow(lambda batches: _verdicts(batches, one_in), VERDICT)
+
+
+VERDICT = "doc_id long, mark long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        b = batch.to_pydict()
+        n_hit, shas, n_items = [], [], []
+        for firsts, lasts, items in zip(b["firsts"], b["lasts"], b["items"], strict=True):
+            n, end = 0, -1
+            for f, t in sorted(zip(firsts, lasts, strict=True)):
+                n, end = n + max(0, t - max(f - 1, end)), max(end, t)
+            ids = sorted(set(items))
+            n_hit.append(n)
+            n_items.append(len(ids))
+            shas.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+        bad = [h > 0 and one_in * h >= w for h, w in zip(n_hit, b["n_words"], strict=True)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(b["doc_id"], pa.int64()), pa.array(b["mark"], pa.int64()), pa.array(b["n_words"], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()),
+            pa.array(shas, pa.string()), pa.array(bad, pa.bool_()),
+        ], ["doc_id", "mark", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
