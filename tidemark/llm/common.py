@@ -50,6 +50,16 @@ def kept(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame | str) -> None:
+    """Delete scratch tables (or a folder of ``shared_dir``) that no later step reads."""
+    spark = SparkSession.active()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        for path in {t} if isinstance(t, str) else {f.rpartition("/")[0] for f in t.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def n_blocks(spark: SparkSession) -> int:
     """Blocks that a block exchange deals to: grows with the session's shuffle partitions."""
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -171,14 +171,18 @@ def mixed_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, each repeated as often as it was drawn, with all columns.
-    Joined by doc_id, text hash and source; equal rows are numbered so that each takes one draw."""
-    drawn = mixed_sizes(docs, doc_id, text, source, **options).where("copies > 0").select("doc_id", "tie", F.col("source").alias("_s"), "copies")
-    key = ["__id", "__tie", "__source"]
-    equal = Window.partitionBy(*key).orderBy(F.lit(1))
-    left = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__tie": F.xxhash64(F.col(text)), "__source": F.col(source).cast("string")}).withColumn("__row", F.row_number().over(equal))
-    right = drawn.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("_s").alias("__source"), "copies").withColumn("__row", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies"))))
-    right = right.toDF(*[f"__r{c}" for c in right.columns])
-    same = F.lit(True)
-    for c in (*key, "__row"):
+
+    Joined by a hash of doc_id, text hash and source, and by these themselves, so the texts are shuffled
+    once.  Rows equal in all three are numbered, and the first ones take the larger draws.
+    """
+    key, most = ["__id", "__tie", "__source"], int(np.ceil(options.get("most", 3.0)))
+    drawn = mixed_sizes(docs, doc_id, text, source, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"), "copies")
+    right = drawn.groupBy(*key).agg(*[F.count_if(F.col("copies") >= k).alias(f"__g{k}") for k in range(1, most + 1)]).withColumn("__key", F.xxhash64(*key))
+    right = right.toDF(*[c if c.startswith("__g") else f"__r{c}" for c in right.columns])
+    left = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__tie": F.xxhash64(F.col(text)), "__source": F.col(source).cast("string")}).withColumn("__key", F.xxhash64(*key))
+    same = left["__key"] == right["__r__key"]
+    for c in key:
         same = same & left[c].eqNullSafe(right[f"__r{c}"])
-    return left.join(right, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__rcopies").cast("int")))).select(*docs.columns)
+    rows = left.join(right, same).withColumn("__row", F.row_number().over(Window.partitionBy("__key", *key).orderBy(F.lit(1))))
+    copies = sum((F.when(F.col("__row") <= F.col(f"__g{k}"), 1).otherwise(0) for k in range(1, most + 1)), F.lit(0))
+    return rows.withColumn("__n", copies).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
