@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORD, LOWER, binary, concat_ranges, groups_of, kept, text_slices, word_bounds, word_hashes
+from .common import LETTER_WORD, LOWER, binary, concat_ranges, drop, groups_of, kept, text_slices, word_bounds, word_hashes
 
 #: Words of a phrase; positions left free between documents, so that no match crosses them.
 WINDOW = 13
@@ -247,7 +247,9 @@ def _verdicts(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[pa.Rec
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated rows, with all columns; ``mark`` tells rows of one id apart."""
-    verdicts = contamination(build_index(docs, doc_id, text), benchmark, **options)
+    index = build_index(docs, doc_id, text)
+    verdicts = contamination(index, benchmark, **options)
     bad = kept(verdicts.where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct(), "contaminated")
+    drop(index)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__mark"))
     return docs.join(bad, same, "left_anti")
