@@ -17,6 +17,8 @@ from tidemark.llm.wavelet import token_ids
 
 
 BATCH_ROWS = "1000"
+#: Near duplicates of a corpus: documents that share 80 % of their runs of five words.  op6's query has limits of its own.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -42,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the smallest text hash; of equal rows, one.  Rows without words stay.  Only the keys of rows that go
     are joined to the documents."""
     small_batches(spark)
-    found = kept(jaccard_components(docs), "components").where("n_shingles > 0")
+    found = kept(jaccard_components(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT), "components").where("n_shingles > 0")
     stays = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = found.join(stays, "group").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("mark") == F.col("stays.mark"))).alias("stays"))
     gone = kept(member.where("NOT stays").select("__id", "__mark").distinct(), "gone")
