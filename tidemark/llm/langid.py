@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, text_slices
@@ -26,6 +26,9 @@ UNKNOWN = "und"
 #: Bound of the labelled sample that the models are fitted on: documents per language, characters per document.
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 20_000
 CALIBRATE_ONE_IN = 4
+#: Labelled rows from which a language spares some for its limit of rejection; one with fewer learns from all and rejects nothing.
+CALIBRATE_LEAST = 8
+LETTER = r"\p{L}"
 #: Bits per symbol beyond the worst held-back text of a language from which a text is rejected.
 REJECT_BITS = 2.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -136,23 +139,31 @@ class Models:
 
 
 def _sample(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, sample_docs: int, sample_chars: int) -> DataFrame:
-    """About ``sample_docs`` labelled rows per language that hold at most ``sample_chars`` characters,
-    spread by a hash of id and text."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
+    """About ``sample_docs`` different labelled rows with letters per language (all, where it has no more), spread
+    by a hash of id and text.  A longer text gives a piece of ``sample_chars`` characters from a place of its hash.
+    ``fold`` 0 is held back: every fourth row of a language that has at least CALIBRATE_LEAST."""
+    said = F.col(text).cast("string")
+    key = lambda use: F.xxhash64(F.lit(use), F.col(doc_id), said)
+    rows = docs.where(learn & F.col(lang).isNotNull() & said.rlike(LETTER)).select(F.col(lang).cast("string").alias("lang"), said.alias("text"), key("sample").alias("key"), key("piece").alias("piece"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key")).collect()}
     if not counts:
-        return rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.lit(0).alias("fold")).limit(0)
+        return rows.select("lang", "text", F.lit(0).alias("fold")).limit(0)
     rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_docs / n))])
-    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30))
-    return rows.where((spot < rates[F.col(lang).cast("string")] * F.lit(float(1 << 30))) & (F.length(text) <= sample_chars)).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.lit("fold"), F.col(doc_id)), F.lit(CALIBRATE_ONE_IN)).cast("int").alias("fold"))
+    rows = rows.where(F.pmod("key", F.lit(1 << 30)) < rates[F.col("lang")] * F.lit(float(1 << 30)))
+    piece = lambda start: F.substring("text", start, F.lit(sample_chars))
+    some = piece((F.pmod("piece", F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1) + 1).cast("int"))
+    rows = rows.withColumn("text", F.when(some.rlike(LETTER), some).otherwise(piece(F.regexp_instr("text", F.lit(LETTER))))).dropDuplicates(["lang", "key"])
+    of = Window.partitionBy("lang")
+    held = (F.count(F.lit(1)).over(of) >= CALIBRATE_LEAST) & (F.row_number().over(of.orderBy("key")) % CALIBRATE_ONE_IN == 0)
+    return rows.select("lang", "text", F.when(held, 0).otherwise(1).alias("fold"))
 
 
 def fit(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Models:
     """Models from a bounded sample of labelled rows: at most about ``sample_docs`` per language of at
-    most ``sample_chars`` characters, whole texts.  Gram counts are summed by Spark; their number is
-    bounded by the sample.  One part in CALIBRATE_ONE_IN is held back to set the limits of rejection:
-    per language the highest cross-entropy there, and REJECT_BITS."""
+    most ``sample_chars`` characters, pieces of longer texts.  Gram counts are summed by Spark; their
+    number is bounded by the sample.  Every language with a labelled letter is learned.  Where one has
+    enough rows, one in CALIBRATE_ONE_IN is held back to set its limit of rejection: the highest
+    cross-entropy there, and REJECT_BITS."""
     sample = _sample(docs, learn, doc_id, text, lang, sample_docs, sample_chars)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
