@@ -19,28 +19,19 @@ def clock_gated(rows: DataFrame, day: str = "evidence_date", observed: str = "ob
     return rows.withColumn("clock", after_close_gate(F.col(day), F.col(observed)))
 
 
-def first_observations(rows: DataFrame, keys: list[str], observed: str = "observed_at", delay: str = "2 days") -> DataFrame:
-    """Streaming: one row per key inside the watermark; state is dropped behind it.
-
-    Rows later than the delay are dropped by Spark, so the ledger job only uses this when asked.
-    """
-    return rows.withWatermark(observed, delay).dropDuplicatesWithinWatermark(keys)
-
-
 def ingest_ledger_stream(
     spark: SparkSession, source: str, schema: StructType, ledger: str, rejects: str, checkpoint: str,
-    *, keys: list[str] | None = None, hash_column: str = "content_hash", dedup_delay: str | None = None,
+    *, keys: list[str] | None = None, hash_column: str = "content_hash",
 ) -> StreamingQuery:
     """ST1: new day files pass the clock gate, then an immutable append; others go to a reject table.
 
     Every row ends in the ledger, in the rejects, or equals a stored row: repeats are settled by
-    the append itself, without stream state.  ``dedup_delay`` adds a watermark that thins repeats
-    earlier.  A replayed micro-batch is harmless: its inserts come back as ``idempotent`` and its
-    rejects carry the batch number and overwrite their own folder.
+    the append itself, without stream state or a watermark, however late they are.  A replayed
+    micro-batch is harmless: its inserts come back as ``idempotent`` and its rejects carry the batch
+    number and overwrite their own folder.
     """
     keys = keys or ["evidence_date"]
     rows = clock_gated(spark.readStream.schema(schema).parquet(source))
-    unique = first_observations(rows, [*keys, hash_column], delay=dedup_delay) if dedup_delay else rows
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -58,7 +49,7 @@ def ingest_ledger_stream(
         closed.unionByName(clash.select(*closed.columns)).unionByName(later.select(*closed.columns)).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
         fresh.write.mode("append").parquet(ledger)
 
-    return unique.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert_bars_stream(spark: SparkSession, source: str, root: str, checkpoint: str) -> StreamingQuery:
