@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .align import alignment_digest
 from .chat import format_conversations, format_digest
-from .common import shared_dir
+from .common import kept, shared_dir
 from .decontam import build_index, contamination
 from .jaccard import jaccard_components
 from .langid import fit, held_out, predict
+from .licenses import license_digest
 from .mixlm import lm_scores
 from .mixing import mixed_sizes
+from .spelling import document_words, spelling_variants
 from .suffix import repeated_spans, span_digest
 from .topk import top_k
 from .warc import warc_round_trip
@@ -98,3 +101,20 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(repeated_spans(table(spark, sf_dir, "documents")))
+
+
+@query("op11_spelling", oracles.SPELLING)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(kept(document_words(table(spark, sf_dir, "documents")), "words"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_licenses", oracles.LICENSES)
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(table(spark, sf_dir, "documents"))

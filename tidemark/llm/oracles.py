@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import BASE, pattern_of, rules
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LETTERS, _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
 
@@ -36,3 +38,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 TOPK = """WITH v AS (SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings WHERE len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)) WHERE rank <= 10"""
+
+_CRC_STEP = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+SPELLING = f"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: {_CRC_STEP}) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[A-Za-zÀ-ÿ]{{7,}}')) AS w FROM documents) GROUP BY ALL),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda k: CAST('0x' || x[2 * k + 1 : 2 * k + 2] AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h
+    FROM (SELECT *, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w) AS x FROM runs), tab),
+words AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN w[: h % len(w)] || w[h % len(w) + 2 :] ELSE w END AS w, n FROM hashed) WHERE len(w) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+cut AS (SELECT w, n, k, w[: k] || w[k + 2 :] AS v FROM (SELECT w, n, unnest(range(len(w))) AS k FROM words)),
+near AS (SELECT a.w, a.n, b.w AS v, b.n AS m FROM cut a JOIN cut b ON a.k = b.k AND a.v = b.v AND a.w <> b.w UNION SELECT c.w, c.n, s.w, s.n FROM cut c JOIN words s ON c.v = s.w UNION SELECT s.w, s.n, c.w, c.n FROM cut c JOIN words s ON c.v = s.w),
+best AS (SELECT w, n, count(*) AS n_near, first(v ORDER BY m DESC, v) AS v, max(m) AS m FROM near GROUP BY 1, 2),
+forms AS (SELECT words.w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * words.n THEN v END AS form, CASE WHEN m >= 10 * words.n THEN m END AS form_n FROM words LEFT JOIN best USING (w)),
+chain AS (SELECT w, w AS stop, form AS next FROM forms UNION ALL SELECT chain.w, forms.w, forms.form FROM chain JOIN forms ON chain.next = forms.w)
+SELECT forms.w AS word, n, n_near, form, form_n, stop AS root FROM forms JOIN chain ON forms.w = chain.w AND chain.next IS NULL"""
+
+_BASE_RULES = [r.rule for r in rules() if any(r.pattern == pattern_of(p) and r.label == label for p, label in BASE.items())]
+_RULES = ", ".join(f"({r.rule}, '{r.label}', {r.level}, {r.score}, '{r.pattern}')" for r in rules())
+_COUNT = "(len({0}) - len(replace({0}, ' ', ''))) // 2"
+LICENSES = f"""WITH rules(rule, label, level, score, pattern) AS (VALUES {_RULES}),
+d AS (SELECT row_number() OVER () AS i, doc_id, len(w) AS n_words, ' ' || array_to_string(w, '  ') || ' ' AS s FROM (SELECT doc_id, regexp_extract_all({_LOW}, '{_LETTERS}') AS w FROM documents)),
+marked AS (SELECT i, rule, label, level, score, string_split(m, chr(1)) AS p FROM (SELECT i, rules.*, regexp_replace(s, pattern, chr(1) || '\\0' || chr(2), 'g') AS m FROM d, rules) WHERE contains(m, chr(1))),
+spans AS (SELECT i, rule, label, level, CAST(score AS DOUBLE) AS score, a, a + {_COUNT.format("x")} - 1 AS b FROM (
+    SELECT *, list_sum(list_transform(p[: k], lambda q: {_COUNT.format("q")})) AS a, string_split(p[k + 1], chr(2))[1] AS x FROM (SELECT *, unnest(range(1, len(p))) AS k FROM marked))),
+kept AS (SELECT * FROM spans x WHERE NOT EXISTS (SELECT 1 FROM spans y WHERE y.i = x.i AND y.a <= x.a AND y.b >= x.b AND (y.level > x.level OR y.level = x.level AND (y.b - y.a > x.b - x.a OR y.a = x.a AND y.b = x.b AND y.rule < x.rule)))),
+base AS (SELECT i, count(*) AS n_base, CAST(min(a) AS BIGINT) AS first_word, CAST(max(a) AS BIGINT) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spans WHERE rule IN ({", ".join(map(str, _BASE_RULES))}) GROUP BY 1),
+both_kinds AS (SELECT i, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT i, label, score FROM kept UNION ALL SELECT i, label, score FROM spans WHERE rule IN ({", ".join(map(str, _BASE_RULES))})) GROUP BY 1)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN base USING (i) LEFT JOIN both_kinds USING (i)"""
