@@ -236,7 +236,7 @@ class _Chunk:
                 seq[at[some]] = np.array([b"%d%s" % (v, mark) for v in values.tolist()] + [None], object)[:-1][place[some]]
         ends = np.cumsum(self.n_a + self.n_b).tolist()
         listed = seq.tolist()
-        return [b"".join(listed[x:y])[:-1] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        return [b"".join(listed[x:y])[:-1] for x, y in zip([0, *ends][:-1], ends, strict=True)]
 
     def of_text(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of A, ids of B, group ends in A, group ends in B) of text k."""
