@@ -114,9 +114,9 @@ def skewed(spark):
     return spark.createDataFrame(rows, "as_of string, symbol string, return_factor double, risk_factor double").cache()
 
 
-@pytest.mark.parametrize("accuracy", [20, 300, None])
-def test_quantiles_are_exact(spark, skewed, accuracy):
-    got = {r["as_of"]: r for r in C.quantile_columns(skewed, ["as_of"], ["return_factor", "risk_factor"], [0.05, 0.95, 0.5], accuracy=accuracy).collect()}
+@pytest.mark.parametrize("steps", [1, 300, None])
+def test_quantiles_are_exact(spark, skewed, steps):
+    got = {r["as_of"]: r for r in C.quantile_columns(skewed, ["as_of"], ["return_factor", "risk_factor"], [0.05, 0.95, 0.5], steps=steps).collect()}
     pdf = skewed.toPandas()
     for key, part in pdf.groupby("as_of"):
         for f in ("return_factor", "risk_factor"):
@@ -126,7 +126,7 @@ def test_quantiles_are_exact(spark, skewed, accuracy):
 
 def test_split_dates_rank_like_whole_ones(spark, skewed):
     a = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", count_out="n")
-    b = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", count_out="n", ranges=16, range_rows=100)
+    b = C.rank_min(skewed, ["as_of"], "risk_factor", "rank", count_out="n", steps=2000)
     pdf = skewed.toPandas()
     want = pdf.groupby("as_of").risk_factor.rank(method="min", ascending=False)
     rows = {(r["as_of"], r["symbol"]): r["rank"] for r in a.collect()}
@@ -136,9 +136,7 @@ def test_split_dates_rank_like_whole_ones(spark, skewed):
 
 def test_split_dates_score_like_whole_ones(spark, skewed, monkeypatch):
     a = {(r["as_of"], r["symbol"]): r for r in W.score_table(skewed, CFG).collect()}
-    monkeypatch.setattr(C, "RANGES", 16)
-    monkeypatch.setattr(C, "RANGE_ROWS", 100)
-    monkeypatch.setattr(C, "ACCURACY", 200)
+    monkeypatch.setattr(C, "STEPS", 1)
     b = W.score_table(skewed, CFG).collect()
     assert len(a) == len(b)
     for r in b:
@@ -166,6 +164,31 @@ def test_nan_is_missing(spark):
     assert ranks["9"] is None and ranks["8"] == 1
 
 
+def test_zeros_signs_and_infinities(spark):
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.0, -1.0, 1e308, -1e308, float("inf"), float("-inf"), 2.0, -2.0, None]
+    table = spark.createDataFrame([(k % 2 or None, str(k), v) for k, v in enumerate(values * 2)], "as_of int, symbol string, f double")
+    got = {r["symbol"]: (r["rank"], r["n"]) for r in C.rank_min(table, ["as_of"], "f", "rank", descending=False, count_out="n").collect()}
+    for odd in (0, 1):
+        own = [v for k, v in enumerate(values * 2) if k % 2 == odd and v is not None]
+        assert all(got[str(k)] == (1 + sum(x < v for x in own), len(own)) for k, v in enumerate(values * 2) if k % 2 == odd and v is not None)
+    assert got["12"] == (None, None)
+    q = C.quantile_columns(table, ["as_of"], ["f"], [0.0, 0.5, 1.0]).where("as_of = 1").first()
+    assert (q.f_q0, q.f_q1, q.f_q2) == (float("-inf"), 0.0, float("inf")) or q.f_q1 == pytest.approx(np.median([v for k, v in enumerate(values * 2) if k % 2 and v is not None]))
+
+
+def test_duplicate_members_are_refused(spark):
+    table = spark.createDataFrame([*_factor_rows(), ("d", "000001", 0.2, 0.2)], "as_of string, symbol string, return_factor double, risk_factor double")
+    with pytest.raises(ValueError, match="000001"):
+        W.score_table(table, CFG)
+
+
+def test_one_scratch_table_a_call(spark, skewed, monkeypatch):
+    made = []
+    monkeypatch.setattr(W, "settled", lambda df: made.append(df) or df)
+    W.score_table(skewed, CFG).collect()
+    assert len(made) == 1
+
+
 def test_flat_factor_scores_zero(spark):
     table = spark.createDataFrame([("d", str(i), 2.5, float(i)) for i in range(5)], "as_of string, symbol string, return_factor double, risk_factor double")
     z = C.winsorized_zscores(table, ["as_of"], ["return_factor"])

@@ -1,10 +1,11 @@
 """Exact ranks and quantiles inside cross-sections of any size, by one plan.
 
-A cross-section (all symbols of one date) may hold a few names or most of the table.  Quantiles and
-moments are aggregates with partial sums in each task, joined back on the key.  Ranks order the rows
-of a date in one window while the date holds at most ``range_rows`` values, by a count made in the
-plan itself; a larger date is cut into value ranges at edges from a mergeable sketch, ordered inside
-a range and shifted by the rows of the ranges before.  Edges decide balance, never results.
+A cross-section (all symbols of one date) may hold a few names or most of the table.  Values are
+counted by narrow ranges of their size, a step of the logarithm for either sign: small histograms that add
+up across tasks.  A quantile is selected by counting: the histogram names the range that holds its
+place, and only the different values of that range are put in order.  Ranks are ordered inside a range
+and shifted by the counts of the ranges before.  No whole cross-section is ever sorted or gathered, and
+nothing is written; a caller whose table is costly settles it first.
 
 NaN is a missing value and is read as NULL.
 """
@@ -16,12 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import settled
-
-RANGES = 128
-RANGE_ROWS = 200_000
-#: Accuracy of the sketch that brackets a quantile: a bracket holds about 4 / ACCURACY of a date's values.
-ACCURACY = 10_000
+#: Ranges per doubling of a value.  They decide balance, never results.
+STEPS = 32
+_ZERO, _LARGEST = 2000, 4000
 
 
 def _known(value: Column) -> Column:
@@ -36,96 +34,79 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -
     return left.join(other, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def rank_min(
-    df: DataFrame, keys: list[str], value: str, out: str, *, descending: bool = True, count_out: str | None = None,
-    ranges: int | None = None, range_rows: int | None = None,
-) -> DataFrame:
+def _range(value: Column, steps: int) -> Column:
+    """Number of a value's range, never falling as values rise; NULL for NULL."""
+    size = F.abs(value)
+    step = F.when(size < float("inf"), F.floor(F.log2(size) * steps) + _ZERO * steps).otherwise(_LARGEST * steps)
+    return F.when(value > 0, step).when(value < 0, -step).when(value == 0, F.lit(0).cast("long"))
+
+
+def rank_min(df: DataFrame, keys: list[str], value: str, out: str, *, descending: bool = True, count_out: str | None = None, steps: int | None = None) -> DataFrame:
     """Rank with ties sharing the lowest rank; NULL and NaN get neither rank nor count."""
-    ranges, range_rows = ranges or RANGES, range_rows or RANGE_ROWS
-    rows = settled(df.withColumn("_value", _known(F.col(value))))
-    valued = rows.where(F.col("_value").isNotNull()).select(*keys, "_value")
-    big = valued.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v")).where(F.col("_v") > range_rows)
-    cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    edges = settled(_on(valued, big, keys, "inner").groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_value", cuts, F.lit(2000))).alias("_edges")))
-    below = F.when(F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", lambda e: e < F.col("_value"))))
-    cut = _on(rows, edges, keys).withColumn("_range", below).drop("_edges")
     order = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_last())
+    rows = df.withColumn("_value", _known(F.col(value))).withColumn("_range", _range(F.col("_value"), steps or STEPS))
     group = Window.partitionBy(*keys)
-    sizes = (
-        _on(valued, edges, keys).withColumn("_range", below).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_before", F.sum("_size").over(group.orderBy(order("_range"))) - F.col("_size")).withColumn("_total", F.sum("_size").over(group)).drop("_size")
-    )
-    ranked = _on(cut.withColumn("_in", F.rank().over(Window.partitionBy(*keys, "_range").orderBy(order("_value")))), sizes, [*keys, "_range"])
+    sizes = rows.where(F.col("_range").isNotNull()).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.withColumn("_before", F.sum("_size").over(group.orderBy(order("_range"))) - F.col("_size")).withColumn("_total", F.sum("_size").over(group)).drop("_size")
+    ranked = _on(rows.withColumn("_in", F.rank().over(Window.partitionBy(*keys, "_range").orderBy(order("_value")))), sizes, [*keys, "_range"])
     known = F.col("_value").isNotNull()
     names = {out: F.when(known, (F.col("_before") + F.col("_in")).cast("int"))} | ({count_out: F.when(known, F.col("_total"))} if count_out else {})
     return ranked.select(*[F.col(c) for c in df.columns if c not in names], *[c.alias(n) for n, c in names.items()])
 
 
-def quantile_columns(df: DataFrame, keys: list[str], factors: list[str], probs: list[float], accuracy: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles per key: columns ``<factor>_q<i>``.
+def quantile_columns(df: DataFrame, keys: list[str], factors: list[str], probs: list[float], steps: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles per key: columns ``<factor>_q<i>`` (NULL without values).
 
-    A sketch brackets each quantile; rows below the bracket are counted, and only the values inside it,
-    each once with its count, are put in order.  The next value on either side of a bracket is kept too,
-    so a bracket that ends one value short changes nothing.
+    One pass counts the values by range, one reads the ranges that hold a wanted place.  The second
+    finds them by the ranges' own least and largest values.
     """
-    accuracy = accuracy or ACCURACY
-    margin, last = 2.0 / accuracy, len(probs)
-    ends = F.array(*[F.lit(min(1.0, max(0.0, float(p) + d))) for p in probs for d in (-margin, margin)])
+    value = lambda j: F.col(f"_f{j}")
     rows = df.select(*keys, *[_known(F.col(f)).alias(f"_f{j}") for j, f in enumerate(factors)])
-    sketch = rows.groupBy(*keys).agg(*[x for j in range(len(factors)) for x in (F.percentile_approx(f"_f{j}", ends, F.lit(accuracy)).alias(f"_e{j}"), F.count(f"_f{j}").alias(f"_n{j}"))])
-    sketch = settled(sketch)
-    inside = _on(rows, sketch, keys)
-    sides, entries = [], []
-    for j in range(len(factors)):
-        for i in range(last):
-            low, high, v = F.col(f"_e{j}")[2 * i], F.col(f"_e{j}")[2 * i + 1], F.col(f"_f{j}")
-            at = j * last + i
-            sides += [F.count_if(v < low).alias(f"_b{at}"), F.max(F.when(v < low, v)).alias(f"_p{at}"), F.min(F.when(v > high, v)).alias(f"_x{at}")]
-            entries.append(F.struct(F.lit(at).alias("_at"), F.when((v >= low) & (v <= high), v).alias("_v")))
-    beside = inside.groupBy(*keys).agg(*sides)
-    values = inside.select(*keys, F.inline(F.filter(F.array(*entries), lambda e: e["_v"].isNotNull()))).groupBy(*keys, "_at", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "_at").orderBy("_v")
-    values = values.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
-    values = _on(_on(values, sketch, keys), beside, keys)
-    picks = []
-    for j in range(len(factors)):
-        for i, p in enumerate(probs):
-            at, pos = j * last + i, (F.col(f"_n{j}") - 1) * F.lit(float(p))
-            for part, k in (("l", F.floor(pos)), ("h", F.ceil(pos))):
-                k = k - F.col(f"_b{at}")
-                hit = (F.col("_at") == at) & (F.col("_from") <= k) & (k < F.col("_to"))
-                picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{part}{at}"))
-    picked = _on(_on(sketch, beside, keys), values.groupBy(*keys).agg(*picks), keys)
-    out = []
-    for j, f in enumerate(factors):
-        for i, p in enumerate(probs):
-            at, pos = j * last + i, (F.col(f"_n{j}") - 1) * F.lit(float(p))
-            side = lambda k, at=at: F.when(k < F.col(f"_b{at}"), F.col(f"_p{at}")).otherwise(F.col(f"_x{at}"))
-            low, high = F.coalesce(F.col(f"_l{at}"), side(F.floor(pos))), F.coalesce(F.col(f"_h{at}"), side(F.ceil(pos)))
-            part = pos - F.floor(pos)
-            out.append(F.when(F.col(f"_n{j}") > 0, low * (1 - part) + high * part).alias(f"{f}_q{i}"))
-    return picked.select(*keys, *out)
+    listed = F.array(*[F.struct(F.lit(j).alias("_j"), value(j).alias("_v")) for j in range(len(factors))])
+    counted = rows.select(*keys, F.inline(listed)).where("_v IS NOT NULL").groupBy(*keys, "_j", _range(F.col("_v"), steps or STEPS).alias("_range")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    of = Window.partitionBy(*keys, "_j")
+    counted = counted.withColumns({"_to": F.sum("_c").over(of.orderBy("_range")), "_n": F.sum("_c").over(of)}).withColumn("_from", F.col("_to") - F.col("_c"))
+    places = [(i, part, (F.col("_n") - 1) * F.lit(float(p))) for i, p in enumerate(probs) for part in ("l", "h")]
+    place = {(i, part): (F.floor(pos) if part == "l" else F.ceil(pos)) for i, part, pos in places}
+    inside = lambda k: (F.col("_from") <= k) & (k < F.col("_to"))
+    wanted = counted.where(reduce(lambda a, b: a | b, [inside(k) for k in place.values()]))
+    spots = wanted.groupBy(*keys).agg(F.collect_list(F.struct("_j", "_least", "_most", "_from", "_n")).alias("_spots"))  # at most 2 x probs x factors
+    values = F.array(*[value(j) for j in range(len(factors))])
+    hit = lambda s: (values[s["_j"]] >= s["_least"]) & (values[s["_j"]] <= s["_most"])
+    found = _on(rows, spots, keys, "inner").select(*keys, F.inline(F.transform(F.filter("_spots", hit), lambda s: F.struct(s["_j"].alias("_j"), s["_from"].alias("_first"), s["_n"].alias("_n"), values[s["_j"]].alias("_v")))))
+    found = found.groupBy(*keys, "_j", "_first", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    found = found.withColumn("_to", F.col("_first") + F.sum("_c").over(Window.partitionBy(*keys, "_j", "_first").orderBy("_v"))).withColumn("_from", F.col("_to") - F.col("_c"))
+    picked = found.groupBy(*keys, "_j").agg(F.max("_n").alias("_n"), *[F.max(F.when(inside(k), F.col("_v"))).alias(f"_{part}{i}") for (i, part), k in place.items()])
+    share = lambda i, p: (F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p)))
+    exact = [F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}")).otherwise(F.col(f"_l{i}") * (1 - share(i, p)) + F.col(f"_h{i}") * share(i, p)).alias(f"_q{i}") for i, p in enumerate(probs)]
+    picked = picked.select(*keys, "_j", *exact)
+    by_factor = [F.max(F.when(F.col("_j") == j, F.col(f"_q{i}"))).alias(f"{f}_q{i}") for j, f in enumerate(factors) for i in range(len(probs))]
+    missing = rows.select(*keys).distinct()
+    return _on(missing, picked.groupBy(*keys).agg(*by_factor), keys)
 
 
 def winsorized_zscores(df: DataFrame, keys: list[str], factors: list[str], lower: float = 0.05, upper: float = 0.95, *, prefix: str = "z_") -> DataFrame:
     """S1 for several factors at once: clip to quantiles, population z-score, 0 when flat.
 
-    Moments are centred: the mean first, then the mean squared distance from it, in doubles; values
-    are scaled by the larger bound before they are squared, so neither large nor small ones are lost.
+    Moments are taken of the clipped value's place between the bounds, -1 to 1, so neither large nor
+    small values are lost, and mean and square come from one aggregate.
     """
     if not 0.0 <= lower < upper <= 1.0:
         raise ValueError("need 0 <= lower < upper <= 1")
-    rows = settled(df.withColumns({f"_v_{f}": _known(F.col(f)) for f in factors}))
+    rows = df.withColumns({f"_v_{f}": _known(F.col(f)) for f in factors})
     narrow = rows.select(*keys, *[F.col(f"_v_{f}").alias(f) for f in factors])
-    bounds = settled(quantile_columns(narrow, keys, factors, [lower, upper]))
-    clipped = lambda frame, name: _on(frame, bounds, keys).select(
-        *frame.columns, *[F.when(F.col(name(f)).isNotNull(), F.least(F.greatest(F.col(name(f)), F.col(f"{f}_q0")), F.col(f"{f}_q1"))).alias(f"_c_{f}") for f in factors],
-        *[F.greatest(F.abs(F.col(f"{f}_q0")), F.abs(F.col(f"{f}_q1"))).alias(f"_u_{f}") for f in factors])
-    scaled = lambda f: F.when(F.col(f"_u_{f}") > 0, F.col(f"_c_{f}") / F.col(f"_u_{f}")).otherwise(F.col(f"_c_{f}"))
-    clip = clipped(narrow, lambda f: f)
-    means = settled(clip.groupBy(*keys).agg(*[x for f in factors for x in (F.avg(scaled(f)).alias(f"_m_{f}"), (F.min(f"_c_{f}") == F.max(f"_c_{f}")).alias(f"_flat_{f}"))]))
-    away = _on(clip, means, keys)
-    spread = settled(_on(means, away.groupBy(*keys).agg(*[F.sqrt(F.avg((scaled(f) - F.col(f"_m_{f}")) * (scaled(f) - F.col(f"_m_{f}")))).alias(f"_s_{f}") for f in factors]), keys))
-    stats = _on(clipped(rows, lambda f: f"_v_{f}"), spread, keys)
-    z = lambda f: F.when(F.col(f"_c_{f}").isNotNull(), F.when(F.col(f"_flat_{f}") | ~(F.col(f"_s_{f}") > 0), 0.0).otherwise((scaled(f) - F.col(f"_m_{f}")) / F.col(f"_s_{f}")))
-    return stats.select(*[F.col(c) for c in df.columns], *[z(f).alias(prefix + f) for f in factors])
+    low, high = (lambda f: F.col(f"{f}_q0")), (lambda f: F.col(f"{f}_q1"))
+
+    def place(value: Column, f: str) -> Column:
+        half = high(f) / 2 - low(f) / 2
+        clipped = F.least(F.greatest(value, low(f)), high(f))
+        return F.when(value.isNotNull(), F.when(half > 0, (clipped - (low(f) / 2 + high(f) / 2)) / half).otherwise(0.0))
+
+    bounds = quantile_columns(narrow, keys, factors, [lower, upper])
+    placed = _on(narrow, bounds, keys).select(*keys, *[place(F.col(f), f).alias(f) for f in factors])
+    moments = placed.groupBy(*keys).agg(*[x for f in factors for x in (F.avg(f).alias(f"_m_{f}"), F.avg(F.col(f) * F.col(f)).alias(f"_p_{f}"), (F.min(f) == F.max(f)).alias(f"_flat_{f}"))])
+    stats = _on(bounds, moments, keys)
+    spread = lambda f: F.sqrt(F.col(f"_p_{f}") - F.col(f"_m_{f}") * F.col(f"_m_{f}"))
+    z = lambda f: F.when(F.col(f"_v_{f}").isNotNull(), F.when(F.col(f"_flat_{f}") | ~(spread(f) > 0), 0.0).otherwise((place(F.col(f"_v_{f}"), f) - F.col(f"_m_{f}")) / spread(f)))
+    return _on(rows, stats, keys).select(*[F.col(c) for c in df.columns], *[z(f).alias(prefix + f) for f in factors])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.checks import Checked, check_rows
 from tidemark.operators.crosssection import rank_min, winsorized_zscores
 from tidemark.schema import BAR_NUMERIC
+from tidemark.sources.scratch import settled
 
 MIN_BARS = 61
 TRADING_DAYS = 252.0
@@ -249,13 +250,21 @@ def score_table(
 ) -> DataFrame:
     """Contributions, coverage, composite, rank and percentile per cross-section.
 
-    The caller guarantees one row per (keys, symbol); ``duplicate_members`` lists breaches.
+    The table is settled once.  A member that stands twice in a cross-section is refused.
     """
-    keys = keys or ["as_of"]
+    keys, rows = keys or ["as_of"], settled(table)
+    twice = duplicate_members(rows, keys).take(3)
+    if twice:
+        raise ValueError(f"symbols stand twice in a cross-section: {[tuple(r) for r in twice]}")
+    return _scored(rows, config, keys)
+
+
+def _scored(rows: DataFrame, config: ScoreConfig, keys: list[str]) -> DataFrame:
+    """``score_table`` of rows that are cheap to read and unique per (keys, symbol)."""
     names = [s.name for s in config.specs]
-    zed = winsorized_zscores(table, keys, names, config.lower, config.upper)
+    zed = winsorized_zscores(rows, keys, names, config.lower, config.upper)
     scored = zed.select(
-        *table.columns, *[(F.col("z_" + s.name) * s.sign).alias("score_" + s.name) for s in config.specs]
+        *rows.columns, *[(F.col("z_" + s.name) * s.sign).alias("score_" + s.name) for s in config.specs]
     )
     total = sum(s.weight for s in config.specs)
     have = sum((F.when(F.col("score_" + s.name).isNotNull(), s.weight).otherwise(0.0) for s in config.specs), F.lit(0.0))
@@ -288,7 +297,7 @@ def factor_engine(
         F.lit("latest").alias("_run"), "symbol", F.col("trade_date").alias("as_of"), "close",
         "average_amount_20", *FACTORS,
     )
-    ranking = score_table(eligible, config, ["_run"]).drop("_run")
+    ranking = _scored(settled(eligible), config, ["_run"]).drop("_run")
     shown = F.when(~F.col("reason").startswith("insufficient_history"), F.col("average_amount_20"))
     exclusions = latest.where(F.col("reason") != "eligible").select(
         "symbol", "reason", shown.alias("average_amount_20")
@@ -302,25 +311,27 @@ def calendar_index(bars: DataFrame) -> DataFrame:
     return days.withColumn("day_no", F.row_number().over(Window.orderBy("trade_date")) - 1)
 
 
+def carry_spans(panel: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Each bar with the numbers of the days on which it is its symbol's last one: ``day_no`` (its own) and
+    ``_from`` to ``_until``, cut to the days from ``start`` to ``end``; bars without such a day are left out."""
+    days = calendar_index(panel)
+    within = (F.col("trade_date") >= F.lit(start).cast("date") if start else F.lit(True)) & (F.col("trade_date") <= F.lit(end).cast("date") if end else F.lit(True))
+    ends = days.agg(F.min(F.when(within, F.col("day_no"))).alias("_low"), F.max(F.when(within, F.col("day_no"))).alias("_high"))
+    w = Window.partitionBy("symbol").orderBy("day_no")
+    spans = panel.join(days, "trade_date").withColumn("_next", F.lead("day_no").over(w)).join(F.broadcast(ends))
+    spans = spans.withColumn("_from", F.greatest("day_no", "_low")).withColumn("_until", F.least(F.coalesce(F.col("_next") - 1, F.col("_high")), "_high"))
+    return spans.where(F.col("_from") <= F.col("_until")).drop("_next", "_low", "_high")
+
+
 def carry_forward(panel: DataFrame) -> DataFrame:
     """Every date on or after a symbol's first bar, with the last bar known then (``as_of``).
 
     Each bar is valid until the symbol's next bar; the dates in between are generated from day
     numbers, so the output is written once and no dates-by-symbols product is joined.
     """
-    days = calendar_index(panel)
-    last = days.agg(F.max("day_no").alias("_last"))
-    w = Window.partitionBy("symbol").orderBy("day_no")
-    spans = (
-        panel.join(days, "trade_date").withColumn("_next", F.lead("day_no").over(w))
-        .join(F.broadcast(last))
-        .withColumn("_until", F.coalesce(F.col("_next") - 1, F.col("_last")))
-    )
-    dense = spans.withColumn("_day", F.explode(F.sequence("day_no", "_until"))).withColumnRenamed(
-        "trade_date", "bar_date"
-    )
-    named = days.select(F.col("day_no").alias("_day"), F.col("trade_date").alias("as_of"))
-    return dense.join(named, "_day").drop("_day", "_next", "_until", "_last", "day_no")
+    dense = carry_spans(panel).withColumn("_day", F.explode(F.sequence("_from", "_until"))).withColumnRenamed("trade_date", "bar_date")
+    named = calendar_index(panel).select(F.col("day_no").alias("_day"), F.col("trade_date").alias("as_of"))
+    return dense.join(named, "_day").drop("_day", "_from", "_until", "day_no")
 
 
 def historical_rankings(
@@ -331,24 +342,27 @@ def historical_rankings(
 
     ``score_then_drop`` scores stale symbols too and removes them afterwards, so ranks may have
     gaps; ``drop_then_score`` ranks only symbols with a bar on the date.
+
+    The panel is settled once, bar by bar: the days to which a bar is carried are generated anew by
+    each step that reads them, and a carried row has only what its score needs.
     """
     panel = factor_panel(bars, **gates)
+    kept = ["symbol", "close", "average_amount_20", *FACTORS]
     if stale == "score_then_drop":
-        dense = carry_forward(panel)
+        spans = settled(carry_spans(panel, start, end).where(F.col("reason") == "eligible").select("day_no", "_from", "_until", "trade_date", *kept))
+        own = F.col("_day") == F.col("day_no")
+        needed = {s.name for s in config.specs}
+        dense = spans.withColumn("_day", F.explode(F.sequence("_from", "_until")))
+        table = dense.select("_day", *[(F.col(c) if c in needed else F.when(own, F.col(c))).alias(c) for c in kept], F.when(own, F.col("trade_date")).alias("as_of"))
+        ranked = _scored(table, config, ["_day"]).where(F.col("as_of").isNotNull()).drop("_day")
+        ranked = ranked.select("as_of", *[c for c in ranked.columns if c != "as_of"])
     elif stale == "drop_then_score":
-        dense = panel.withColumn("bar_date", F.col("trade_date")).withColumnRenamed("trade_date", "as_of")
+        table = panel.where(F.col("reason") == "eligible").select(F.col("trade_date").alias("as_of"), *kept)
+        for edge, inside in ((start, F.col("as_of") >= F.lit(start).cast("date")), (end, F.col("as_of") <= F.lit(end).cast("date"))):
+            table = table.where(inside) if edge else table
+        ranked = _scored(settled(table), config, ["as_of"])
     else:
         raise ValueError("stale must be score_then_drop or drop_then_score")
-    if start:
-        dense = dense.where(F.col("as_of") >= F.lit(start).cast("date"))
-    if end:
-        dense = dense.where(F.col("as_of") <= F.lit(end).cast("date"))
-    table = dense.where(F.col("reason") == "eligible").select(
-        "as_of", "symbol", "bar_date", "close", "average_amount_20", *FACTORS
-    )
-    ranked = score_table(table, config).where(
-        F.col("bar_date") == F.col("as_of")
-    ).drop("bar_date")
     return ranked if metadata is None else attach_metadata(ranked, metadata)
 
 
@@ -377,7 +391,7 @@ def strict_rankings(
         .select("symbol", F.col("_t").alias("as_of"), "_bar.*")
     )
     eligible = seen.where(F.col("reason") == "eligible").drop("reason")
-    ranked = score_table(eligible, config).where(
+    ranked = _scored(settled(eligible), config, ["as_of"]).where(
         F.col("trade_date") == F.col("as_of")
     ).drop("trade_date")
     meta = candidates.select(*[c for c in ("as_of", "symbol", "name", "exchange", "board", "is_st") if c in candidates.columns])
@@ -409,7 +423,7 @@ def score_configs(
         raise ValueError("configs scored together must share winsor bounds")
     (lower, upper), = bounds
     names = sorted({s.name for c in configs.values() for s in c.specs})
-    zed = winsorized_zscores(table, keys, names, lower, upper)
+    zed = winsorized_zscores(settled(table), keys, names, lower, upper)
     cases = []
     for cid, cfg in sorted(configs.items()):
         total = sum(s.weight for s in cfg.specs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.checks import Checked
@@ -34,53 +34,80 @@ def facts_latest_as_of(facts: DataFrame, as_of: str) -> DataFrame:
     ).select("symbol", "metric", "_r.value", "_r.period_end", "_r.available_at", "_r.source")
 
 
-def _cutoff_array(cutoffs: list[str]) -> Column:
-    return F.array(*[_stamp(c) for c in sorted(set(cutoffs))])
+Cutoffs = list[str] | DataFrame
 
 
-def facts_visible_at_cutoffs(facts: DataFrame, cutoffs: list[str]) -> DataFrame:
-    """T1 for many cutoffs in one pass.
+def cutoff_table(spark: SparkSession, cutoffs: Cutoffs) -> DataFrame:
+    """(as_of, no): the different cutoffs in order, numbered from 0.  ``cutoffs`` is a list of stamps or a
+    table whose first column holds them; they are data of the plan, whose size doesn't depend on them.
+    The cutoffs of a run are one calendar, which is what its unkeyed window holds."""
+    if isinstance(cutoffs, DataFrame):
+        stamps = cutoffs.select(F.col(cutoffs.columns[0]).cast("timestamp").alias("as_of")).where("as_of IS NOT NULL").distinct()
+    else:
+        stamps = spark.createDataFrame([(c,) for c in sorted(set(cutoffs))], "as_of string").select(F.col("as_of").cast("timestamp"))
+    return stamps.withColumn("no", (F.row_number().over(Window.orderBy("as_of")) - 1).cast("int"))
 
-    A fact enters at the first cutoff at or after its dates; revisions entering at the same
-    cutoff collapse map-side; a revision then stays visible until the next one of its period
-    enters.  Only the rows of the answer are generated, nothing is joined to the cutoff list.
+
+def _enter(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Facts with ``_first``, the number of the first cutoff at or after both of their dates; later ones go.
+
+    Each day between the first and the last cutoff knows the cutoffs of its own and the number of the next
+    day's first one, so a fact meets its cutoff by an equi join on its day.
     """
-    entered = _enter(facts, cutoffs).groupBy("symbol", "metric", "period_end", "_first").agg(
-        F.max(F.struct(*REVISION)).alias("_r")
-    )
-    w = Window.partitionBy("symbol", "metric", "period_end").orderBy("_first")
-    spans = entered.withColumn("_until", F.lead("_first").over(w))
-    return _spread(spans, cutoffs).select(
-        "as_of", "symbol", "metric", "_r.value", "period_end", "_r.available_at", "_r.source"
-    )
+    own = cutoffs.groupBy(F.to_date("as_of").alias("_day")).agg(F.array_sort(F.collect_list(F.struct("as_of", "no"))).alias("_own"))
+    calendar = Window.orderBy("_day")
+    ends = own.withColumn("_after", F.lead(F.col("_own")[0]["no"]).over(calendar)).withColumn("_start", F.coalesce(F.date_add(F.lag("_day").over(calendar), 1), F.col("_day")))
+    days = ends.select(F.col("_day").alias("_end"), "_own", "_after", F.explode(F.sequence("_start", "_day")).alias("_day"))
+    on_day = F.try_element_at(F.filter("_own", lambda c: c["as_of"] >= F.col("_moment")), F.lit(1))["no"]
+    days = days.select("_day", F.when(F.col("_day") == F.col("_end"), F.col("_own")).alias("_own"), F.when(F.col("_day") == F.col("_end"), F.col("_after")).otherwise(F.col("_own")[0]["no"]).alias("_next"))
+    lowest = cutoffs.agg(F.min("as_of").alias("_lowest"))
+    dated = facts.withColumn("_moment", F.greatest("available_at", "period_end")).where(F.col("available_at").isNotNull() & F.col("period_end").isNotNull()).withColumn("_day", F.to_date("_moment"))
+    found = dated.join(days, "_day", "left").join(F.broadcast(lowest))
+    first = F.when(F.col("_moment") <= F.col("_lowest"), 0).otherwise(F.coalesce(on_day, "_next"))
+    return found.withColumn("_first", first).where("_first IS NOT NULL").select(*facts.columns, "_first")
 
 
-def facts_latest_at_cutoffs(facts: DataFrame, cutoffs: list[str]) -> DataFrame:
-    """T2 for many cutoffs: a running maximum over at most one row per cutoff and metric."""
-    entered = _enter(facts, cutoffs).groupBy("symbol", "metric", "_first").agg(
-        F.max(F.struct("period_end", *REVISION)).alias("_r")
-    )
+def _until(spans: DataFrame, keys: list[str], cutoffs: DataFrame) -> DataFrame:
+    """``_last``: the number of the last cutoff before the next span of the same key begins."""
+    end = cutoffs.agg(F.max("no").alias("_end"))
+    later = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_first"))
+    return spans.withColumn("_last", later - 1).join(F.broadcast(end)).withColumn("_last", F.coalesce("_last", "_end")).drop("_end")
+
+
+def _spread(spans: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """A row per cutoff of each span: only rows of the answer are made."""
+    return spans.withColumn("no", F.explode(F.sequence("_first", "_last"))).join(cutoffs, "no").drop("no", "_first", "_last")
+
+
+def _visible_spans(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    entered = _enter(facts, cutoffs).groupBy("symbol", "metric", "period_end", "_first").agg(F.max(F.struct(*REVISION)).alias("_r"))
+    spans = _until(entered, ["symbol", "metric", "period_end"], cutoffs)
+    return spans.select("symbol", "metric", "_r.value", "period_end", "_r.available_at", "_r.source", "_first", "_last")
+
+
+def _latest_spans(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    entered = _enter(facts, cutoffs).groupBy("symbol", "metric", "_first").agg(F.max(F.struct("period_end", *REVISION)).alias("_r"))
     w = Window.partitionBy("symbol", "metric").orderBy("_first")
     running = entered.withColumn("_r", F.max("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = running.withColumn("_until", F.lead("_first").over(w))
-    return _spread(spans, cutoffs).select(
-        "as_of", "symbol", "metric", "_r.value", "_r.period_end", "_r.available_at", "_r.source"
-    )
+    spans = _until(running, ["symbol", "metric"], cutoffs)
+    return spans.select("symbol", "metric", "_r.value", "_r.period_end", "_r.available_at", "_r.source", "_first", "_last")
 
 
-def _enter(facts: DataFrame, cutoffs: list[str]) -> DataFrame:
-    from_day = F.greatest("available_at", "period_end")
-    first = F.try_element_at(F.filter(_cutoff_array(cutoffs), lambda c: c >= from_day), F.lit(1))
-    last = max(cutoffs)
-    return facts.where(from_day <= _stamp(last)).withColumn("_first", first)
+def facts_visible_at_cutoffs(facts: DataFrame, cutoffs: Cutoffs) -> DataFrame:
+    """T1 for many cutoffs in one pass.
 
+    A fact enters at the first cutoff at or after its dates; revisions entering at the same
+    cutoff collapse map-side; a revision then stays visible until the next one of its period
+    enters.  Only the rows of the answer are generated.
+    """
+    table = cutoff_table(facts.sparkSession, cutoffs)
+    return _spread(_visible_spans(facts, table), table).select("as_of", "symbol", "metric", "value", "period_end", "available_at", "source")
 
-def _spread(spans: DataFrame, cutoffs: list[str]) -> DataFrame:
-    inside = F.filter(
-        _cutoff_array(cutoffs),
-        lambda c: (c >= F.col("_first")) & (F.col("_until").isNull() | (c < F.col("_until"))),
-    )
-    return spans.withColumn("as_of", F.explode(inside))
+
+def facts_latest_at_cutoffs(facts: DataFrame, cutoffs: Cutoffs) -> DataFrame:
+    """T2 for many cutoffs: a running maximum over at most one row per cutoff and metric."""
+    table = cutoff_table(facts.sparkSession, cutoffs)
+    return _spread(_latest_spans(facts, table), table).select("as_of", "symbol", "metric", "value", "period_end", "available_at", "source")
 
 
 def pivot_facts(latest: DataFrame, metrics: list[str]) -> DataFrame:
@@ -146,16 +173,27 @@ def fundamental_factors(facts: DataFrame, as_of: str) -> DataFrame:
     return _fundamentals(facts_visible_as_of(facts, as_of).withColumn("as_of", _stamp(as_of)))
 
 
-def fundamental_factors_at_cutoffs(facts: DataFrame, cutoffs: list[str]) -> DataFrame:
-    """T4 for many cutoffs: one row per (cutoff, symbol), in one pass over the facts."""
-    return _fundamentals(facts_visible_at_cutoffs(facts, cutoffs))
+def fundamental_factors_at_cutoffs(facts: DataFrame, cutoffs: Cutoffs) -> DataFrame:
+    """T4 for many cutoffs: one row per (cutoff, symbol), in one pass over the facts.
 
+    The ratios of a symbol change only at cutoffs at which a fact of it enters: they are computed there
+    and stay until its next such cutoff.
+    """
+    table = cutoff_table(facts.sparkSession, cutoffs)
+    known = [m for names in METRIC_ALIASES.values() for m in names]
+    spans = _visible_spans(facts.where(F.col("metric").isin(*known)), table)
+    changes = spans.groupBy("symbol").agg(F.array_sort(F.collect_set("_first")).alias("_changes"))  # at most one per cutoff
+    seen = spans.join(changes, "symbol").withColumn("as_of", F.explode(F.filter("_changes", lambda c: (c >= F.col("_first")) & (c <= F.col("_last")))))
+    ratios = _fundamentals(seen.drop("_first", "_last", "_changes")).withColumnRenamed("fundamental_as_of", "_first")
+    out = _spread(_until(ratios, ["symbol"], table), table).withColumnRenamed("as_of", "fundamental_as_of")
+    return out.select("symbol", "fundamental_as_of", *[c for c in out.columns if c not in ("symbol", "fundamental_as_of")])
 
-def fundamental_snapshot_at_cutoffs(requested: DataFrame, facts: DataFrame, cutoffs: list[str]) -> tuple[DataFrame, DataFrame]:
+
+def fundamental_snapshot_at_cutoffs(requested: DataFrame, facts: DataFrame, cutoffs: Cutoffs) -> tuple[DataFrame, DataFrame]:
     """T5 for many cutoffs: (rows, failures), both with ``fundamental_as_of``."""
-    wanted = requested.select("symbol").distinct()
+    wanted, table = requested.select("symbol").distinct(), cutoff_table(facts.sparkSession, cutoffs)
     factors = fundamental_factors_at_cutoffs(facts.join(wanted, "symbol", "left_semi"), cutoffs)
-    asked = wanted.withColumn("fundamental_as_of", F.explode(_cutoff_array(cutoffs)))
+    asked = _spread(wanted.withColumn("_first", F.lit(0)).join(F.broadcast(table.agg(F.max("no").alias("_last")))), table).withColumnRenamed("as_of", "fundamental_as_of")
     failures = asked.join(factors.select("fundamental_as_of", "symbol"), ["fundamental_as_of", "symbol"], "left_anti")
     return factors, failures.withColumn("error", F.lit("no_visible_fundamental_factors"))
 
@@ -201,25 +239,22 @@ def snapshot_latest(master: DataFrame) -> DataFrame:
     return master.join(F.broadcast(newest), "observed_at").select(*master.columns)
 
 
-def uncovered_cutoffs(master: DataFrame, cutoffs: list[str]) -> DataFrame:
+def uncovered_cutoffs(master: DataFrame, cutoffs: Cutoffs) -> DataFrame:
     """IO13: (rule, as_of) of the cutoffs before the first snapshot; a caller that must not go on refuses when there are any."""
-    spark = master.sparkSession
     first = master.agg(F.min("observed_at").alias("_first"))
-    asked = spark.createDataFrame([(c,) for c in cutoffs], "as_of string").withColumn("as_of", F.col("as_of").cast("timestamp"))
+    asked = cutoff_table(master.sparkSession, cutoffs)
     return asked.join(F.broadcast(first), F.col("_first").isNull() | (F.col("as_of") < F.col("_first"))).select(F.lit("no_snapshot").alias("rule"), "as_of")
 
 
-def snapshot_as_of(master: DataFrame, cutoffs: list[str]) -> DataFrame:
+def snapshot_as_of(master: DataFrame, cutoffs: Cutoffs) -> DataFrame:
     """IO13: newest snapshot observed at or before each cutoff; a cutoff without one has no rows
     here and is listed by ``uncovered_cutoffs``.
 
-    Snapshot times are few; they are matched to cutoffs first, then one equi join reads rows.
+    Snapshot times are few; cutoffs and times are read in one order, then one equi join reads rows.
     """
     times = master.select("observed_at").distinct()
-    first = F.try_element_at(F.filter(_cutoff_array(cutoffs), lambda c: c >= F.col("observed_at")), F.lit(1))
-    entered = times.withColumn("_first", first).where(F.col("_first").isNotNull()).groupBy("_first").agg(
-        F.max("observed_at").alias("observed_at")
-    )
-    spans = entered.withColumn("_until", F.lead("_first").over(Window.orderBy("_first")))
-    chosen = _spread(spans, cutoffs).select("as_of", "observed_at")
-    return master.join(chosen, "observed_at").select("as_of", *master.columns)
+    marks = times.select(F.col("observed_at").alias("_t"), F.lit(0).alias("_ask"), F.col("observed_at")).unionByName(
+        cutoff_table(master.sparkSession, cutoffs).select(F.col("as_of").alias("_t"), F.lit(1).alias("_ask"), F.lit(None).cast("timestamp").alias("observed_at")))
+    w = Window.orderBy("_t", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = marks.withColumn("observed_at", F.last("observed_at", ignorenulls=True).over(w)).where("_ask = 1 AND observed_at IS NOT NULL")
+    return master.join(chosen.select(F.col("_t").alias("as_of"), "observed_at"), "observed_at").select("as_of", *master.columns)

@@ -19,6 +19,7 @@ from tidemark.plans.oracle_views import FACTOR_SQL, V1, V2, scored, with_views
 from tidemark.plans.registry import query, r, rounded
 from tidemark.sources import tables as IO
 from tidemark.sources import views as V
+from tidemark.sources.scratch import settled
 
 MIN_AMOUNT = 35000.0
 # Two engines add in different orders: for the comparison, scores equal to nine digits tie in both.
@@ -273,7 +274,7 @@ def _(spark, sf):
                                        {"dated": f"SELECT *, trade_date AS as_of FROM panel WHERE {_ELIGIBLE}", **scored("dated", "as_of", {"momentum_20": (1, 1), "log_amount_20": (1, 1)})}))
 def _(spark, sf):
     p = W.factor_panel(V.bars(spark, sf), **GATES).where(F.col("reason") == "eligible").withColumnRenamed("trade_date", "as_of")
-    z = winsorized_zscores(p.select("as_of", "symbol", "momentum_20", "log_amount_20"), ["as_of"], ["momentum_20", "log_amount_20"])
+    z = winsorized_zscores(settled(p.select("as_of", "symbol", "momentum_20", "log_amount_20")), ["as_of"], ["momentum_20", "log_amount_20"])
     return rounded(z.select("as_of", "symbol", "z_momentum_20", "z_log_amount_20"), 5)
 
 
