@@ -62,6 +62,22 @@ def test_hold_buffer_matches_model_on_random_portfolios(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 100_000])
+def test_holdings_go_from_batch_to_batch(spark, rows_a_batch):
+    rng, data = random.Random(12), []
+    for d in business_days("2026-01-05", 15):
+        for n in range(1, 41):  # most names tie at the keep rank
+            data.append((d, f"{n:06d}", "主板", rng.choice([1, 2, 10, 10, 10, 10]), False, rng.choice([5.0, 20.0]), rng.uniform(-1, 2), rng.uniform(-1, 2)))
+    configs = [P.PortfolioRules("a", rebalance_every=1, minimum_holding=2), P.PortfolioRules("b", rebalance_every=3)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        got = rows(P.hold_buffer_signals(ranking(spark, data), P.config_table(spark, configs)), "config_id", "trade_date", "symbol", "target_weight", "board", "source_rank")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted([x for c in configs for x in model(data, c)], key=lambda t: tuple(map(str, t)))
+
+
 def test_unaffordable_name_is_skipped(spark):
     d = day("2026-01-05")
     data = [(d, f"00000{i}", "主板", i, False, c, 0.1, 0.1) for i, c in enumerate([1400.0, 12.0, 10.0, 8.0], 1)]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,10 +145,11 @@ def weight_cap_check(signals: DataFrame, cap: float = 1.0, slack: float = WEIGHT
 def hold_buffer_signals(rankings: DataFrame, configs: DataFrame) -> DataFrame:
     """Low-turnover selection per config: keep inside the buffer, fill free slots in rank order.
 
-    What a date's holdings depend on is small and bounded by parameters: the first
-    2 x max positions names that may enter (at most half of them can be held already), and the
-    keep test of names that ever could have entered.  Those facts per rebalance date go through
-    one Catalyst fold per config; ranks of the output rows are joined back afterwards.
+    What a date's holdings depend on are the first 2 x max positions names that may enter (at most
+    half of them can be held already), and the keep test of names that are held.  Those facts are rows in
+    order of date; one pass per config reads them, keeps the current holdings and nothing else, and gives
+    a date's signals out as soon as the date ends.  Ties at a rank bound make more rows to pass over, not
+    more to hold.  Ranks of the output rows are joined back afterwards.
     """
     base = validate_rankings(rankings).select("as_of", "symbol", "rank", "board", "is_st", "close", "momentum_20", "trend_close_ma20")
     cfg = configs
@@ -173,53 +176,76 @@ def hold_buffer_signals(rankings: DataFrame, configs: DataFrame) -> DataFrame:
     ever = entries.select("config_id", "symbol").distinct()
     keepers = (
         due.where(F.col("rank") <= F.col("keep_rank_max")).join(ever, ["config_id", "symbol"], "left_semi")
-        .select("config_id", "as_of", "symbol", (~F.col("keep_needs_trend") | (F.col("trend_close_ma20") > 0)).alias("_ok"))
+        .select("config_id", "as_of", "date_no", "symbol", (~F.col("keep_needs_trend") | (F.col("trend_close_ma20") > 0)).alias("_ok"))
         .where("_ok")
     )
-    entry_rows = entries.groupBy("config_id", "as_of").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "symbol", "board", "is_st"))).alias("entries")
-    )
-    keep_rows = keepers.groupBy("config_id", "as_of").agg(F.collect_list("symbol").alias("keepers"))
-    days = (
-        rebalance.join(entry_rows, ["config_id", "as_of"], "left")
-        .join(keep_rows, ["config_id", "as_of"], "left")
-        .groupBy("config_id").agg(F.array_sort(F.collect_list(F.struct("date_no", "as_of", "entries", "keepers"))).alias("_days"))
-        .join(cfg.select("config_id", "max_stock_positions", "minimum_holding", "stock_weight_per_position"), "config_id")
-    )
-    folded = days.select("config_id", "stock_weight_per_position", F.explode(F.expr(_FOLD)).alias("_row")).select(
-        "config_id", F.col("_row.trade_date"), F.col("_row.symbol"),
-        F.when(F.col("_row.active"), F.col("stock_weight_per_position")).otherwise(0.0).alias("target_weight"),
-        F.col("_row.board"), F.col("_row.is_st"), F.lit("stock").alias("instrument_type"), F.col("_row.active").alias("_active"),
+    limits = cfg.select("config_id", "max_stock_positions", "minimum_holding", "stock_weight_per_position")
+    day, nothing = ["config_id", "as_of", "date_no"], F.lit(None)
+    facts = (
+        rebalance.select(*day, F.lit(_DAY).alias("kind"), F.lit(0).alias("_pos"), F.lit("").alias("symbol"), nothing.cast("string").alias("board"), nothing.cast("boolean").alias("is_st"))
+        .unionByName(keepers.select(*day, F.lit(_KEEPER).alias("kind"), F.lit(0).alias("_pos"), "symbol", nothing.cast("string").alias("board"), nothing.cast("boolean").alias("is_st")))
+        .unionByName(entries.select(*day, F.lit(_ENTRY).alias("kind"), "_pos", "symbol", "board", "is_st"))
+        .join(F.broadcast(limits), "config_id").select(*_FACTS)
     )
+    folded = facts.repartition("config_id").sortWithinPartitions("config_id", "date_no", "kind", "_pos", "symbol").mapInArrow(_fold_holdings, _FOLDED).select(
+        "config_id", "trade_date", "symbol", "target_weight", "board", "is_st", F.lit("stock").alias("instrument_type"), (F.col("target_weight") > 0).alias("_active"))
     ranks = base.select(F.col("as_of").alias("trade_date"), "symbol", F.col("rank").cast("int").alias("_rank"))
     return folded.join(ranks, ["trade_date", "symbol"], "left").select(
         "config_id", *SIGNAL_COLUMNS[:-1], F.when(F.col("_active"), F.col("_rank")).alias("source_rank")
     )
 
 
-# State: held = (symbol, board, is_st, entry date_no), rows = the signals written so far.
-# Kept names come in symbol order and are cut to the limit; entries then follow in rank order.
-# A name that fails the keep test but enters again on the same date keeps its entry date.
-_HELD = "array<struct<symbol:string,board:string,is_st:boolean,entry:int>>"
-_ROWS = "array<struct<trade_date:date,symbol:string,board:string,is_st:boolean,active:boolean>>"
-_KEPT = """slice(filter(acc.held, h -> d.date_no - h.entry < minimum_holding
-              OR array_contains(coalesce(d.keepers, array()), h.symbol)), 1, max_stock_positions)"""
-_ADDED = f"""transform(
-    filter(coalesce(d.entries, array()), e -> NOT exists({_KEPT}, k -> k.symbol = e.symbol)),
-    e -> coalesce(
-        try_element_at(filter(acc.held, h -> h.symbol = e.symbol), 1),
-        named_struct('symbol', e.symbol, 'board', e.board, 'is_st', e.is_st, 'entry', d.date_no)))"""
-_NEXT = f"array_sort(slice(concat({_KEPT}, {_ADDED}), 1, max_stock_positions))"
-_STEP = f"""named_struct(
-    'held', {_NEXT},
-    'rows', concat(acc.rows,
-        transform(filter(acc.held, h -> NOT exists({_NEXT}, n -> n.symbol = h.symbol)),
-            h -> named_struct('trade_date', d.as_of, 'symbol', h.symbol, 'board', h.board, 'is_st', h.is_st, 'active', false)),
-        transform({_NEXT},
-            n -> named_struct('trade_date', d.as_of, 'symbol', n.symbol, 'board', n.board, 'is_st', n.is_st, 'active', true))))"""
-_FOLD = f"""aggregate(_days,
-    named_struct('held', cast(array() as {_HELD}), 'rows', cast(array() as {_ROWS})),
-    (acc, d) -> {_STEP}, acc -> acc.rows)"""
+_DAY, _KEEPER, _ENTRY = 0, 1, 2
+_FACTS = ["config_id", "as_of", "date_no", "kind", "symbol", "board", "is_st", "max_stock_positions", "minimum_holding", "stock_weight_per_position"]
+_FOLDED = "config_id string, trade_date date, symbol string, target_weight double, board string, is_st boolean"
+
+
+def _fold_holdings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_FACTS`` in order of config, date and kind; state: the config's holdings, symbol -> (board, is_st, entry date_no).
+
+    Kept names come in symbol order and are cut to the limit; entries then follow in rank order.  A name
+    that fails the keep test but enters again on the same date keeps its entry date.
+    """
+    schema = pa.schema([("config_id", pa.string()), ("trade_date", pa.date32()), ("symbol", pa.string()), ("target_weight", pa.float64()), ("board", pa.string()), ("is_st", pa.bool_())])
+    config, held, day, kept, picked = None, {}, None, set(), None
+
+    def start_entries() -> dict:
+        """What stays of the holdings, once all keep tests of the date are read."""
+        stay = sorted(s for s, h in held.items() if day["date_no"] - h[2] < day["minimum_holding"] or s in kept)
+        return {s: held[s] for s in stay[: day["max_stock_positions"]]}
+
+    def close_day(out: list) -> dict:
+        chosen = start_entries() if picked is None else picked
+        out += [(config, day["as_of"], s, 0.0, *held[s][:2]) for s in held if s not in chosen]
+        out += [(config, day["as_of"], s, day["stock_weight_per_position"], *h[:2]) for s, h in sorted(chosen.items())]
+        return chosen
+
+    def as_batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        out: list = []
+        for row in batch.to_pylist():
+            if row["kind"] == _DAY:
+                if day is not None:
+                    held = close_day(out)
+                if row["config_id"] != config:
+                    config, held = row["config_id"], {}
+                day, kept, picked = row, set(), None
+            elif row["kind"] == _KEEPER:
+                if row["symbol"] in held:
+                    kept.add(row["symbol"])
+            else:
+                picked = start_entries() if picked is None else picked
+                if row["symbol"] not in picked and len(picked) < day["max_stock_positions"]:
+                    picked[row["symbol"]] = held.get(row["symbol"]) or (row["board"], row["is_st"], day["date_no"])
+        if out:
+            yield as_batch(out)
+    out = []
+    if day is not None:
+        close_day(out)
+    if out:
+        yield as_batch(out)
 
 
 def etf_snapshot(bars: DataFrame, dates: DataFrame) -> DataFrame:

@@ -139,12 +139,8 @@ class Recovery(NamedTuple):
     violations: DataFrame
 
 
-def recover_amounts(raw: DataFrame, states: DataFrame) -> Recovery:
-    """E8 + J13 + A25: recovered rows of symbols that pass every check, all symbols at once.
-
-    ``raw`` has text columns symbol, date, code, amount, tradestatus, isST.  One breach rejects the
-    whole symbol; unresolved days are rankable state days without a recovered amount.
-    """
+def _overlap(raw: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sent rows by day, sent and independent rows of each day with ``_mismatch``)."""
     bit = lambda c: F.when(F.col(c).cast("string") == "1", True).when(F.col(c).cast("string") == "0", False)
     code = pad_symbol(F.element_at(F.split(F.col("code"), r"\."), -1))
     rows = raw.select(
@@ -161,13 +157,28 @@ def recover_amounts(raw: DataFrame, states: DataFrame) -> Recovery:
     mismatch = F.col("_n").isNotNull() & F.col("is_st").isNotNull() & (
         (F.col("_trade") != F.col("trade_status")) | (F.col("_st") != F.col("is_st"))
     )
+    return per_key, both.withColumn("_mismatch", mismatch)
+
+
+def status_overlap(raw: DataFrame, states: DataFrame) -> DataFrame:
+    """(symbol, mismatches) of the symbols whose sent flags differ from the independent ones on days that both have."""
+    return _overlap(raw, states)[1].where("_mismatch").groupBy("symbol").agg(F.count(F.lit(1)).alias("mismatches"))
+
+
+def recover_amounts(raw: DataFrame, states: DataFrame) -> Recovery:
+    """E8 + J13 + A25: recovered rows of symbols that pass every check, all symbols at once.
+
+    ``raw`` has text columns symbol, date, code, amount, tradestatus, isST.  One breach rejects the
+    whole symbol; unresolved days are rankable state days without a recovered amount.
+    """
+    per_key, both = _overlap(raw, states)
     can_rank = rankable(F.col("is_st"), F.col("trade_status"), F.col("close"))
     open_day = can_rank & F.col("amount").isNull()
     summary = both.groupBy("symbol").agg(
         F.count("_n").alias("returned_dates"), F.count_if(F.col("amount").isNotNull()).alias("recovered_rows"),
         F.count_if(F.col("is_st").isNotNull()).alias("state_dates"), F.count_if(can_rank).alias("rankable_dates"), F.count_if(open_day).alias("unresolved_dates"),
         F.bool_or((F.col("_n") > 1) | (F.col("_n").isNotNull() & F.col("trade_date").isNull())).alias("_dates"), F.bool_or("_bad_code").alias("_code"),
-        F.bool_or("_bad_flag").alias("_flag"), F.bool_or("_negative").alias("_neg"), F.count_if(mismatch).alias("mismatches"),
+        F.bool_or("_bad_flag").alias("_flag"), F.bool_or("_negative").alias("_neg"), F.count_if("_mismatch").alias("mismatches"),
     ).where(F.col("returned_dates") > 0)
     reason = _first_reason([
         (F.col("state_dates") == 0, "missing_independent_state"), (F.col("_dates"), "invalid_or_duplicate_dates"), (F.col("_code"), "symbol_mismatch"),

@@ -43,5 +43,5 @@ def _(spark, sf):
     life = V.lifecycle(spark, sf)
     gone = life.where(~F.col("currently_listed"))
     fixes = gone.select("symbol", F.col("delist_date").alias("expected"), F.date_sub("delist_date", 3).alias("new"), F.date_sub("delist_date", 10).alias("published"))
-    done = flows.reconstruct_history(life.where("currently_listed"), gone, fixes, V.archive_amounts(spark, sf), V.archive_states(spark, sf), raw_recovery(spark, sf), limit=LIMIT, min_amount=FLOOR)
+    done = flows.reconstruct_history(life.where("currently_listed"), gone, fixes, V.gap_amounts(spark, sf), V.gap_states(spark, sf), raw_recovery(spark, sf), limit=LIMIT, min_amount=FLOOR)
     return rounded(done.candidates.select("trade_date", "symbol", "amount", "rank_by_amount"), 2)

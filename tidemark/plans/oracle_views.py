@@ -47,8 +47,10 @@ VIEWS = {
         SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, CAST(date_trunc('quarter', CAST(l_shipdate AS DATE) + {SHIFT}) AS DATE) AS trade_date,
             count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty, max(l_quantity) AS top, max(l_extendedprice / l_quantity) AS px,
             CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM lineitem GROUP BY 1, 2)""",
-    "archive_amounts": "SELECT symbol, trade_date, amount FROM quarters WHERE NOT (qno % 7 = 3 AND top < 48)",
-    "archive_states": """SELECT symbol, trade_date, n % 5 = 0 AS is_st, qty % 7 <> 0 AS trade_status, px AS close FROM quarters
+    "archive_amounts": "SELECT symbol, trade_date, amount FROM quarters",
+    "archive_states": "SELECT symbol, trade_date, n % 5 = 0 AS is_st, qty % 7 <> 0 AS trade_status, px AS close FROM quarters",
+    "gap_amounts": "SELECT symbol, trade_date, amount FROM quarters WHERE NOT (qno % 7 = 3 AND top < 48)",
+    "gap_states": """SELECT symbol, trade_date, n % 5 = 0 AS is_st, qty % 7 <> 0 AS trade_status, px AS close FROM quarters
         WHERE NOT (qno % 5 = 0 AND top < 48)""",
     "states_daily": """SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS symbol, CAST(ts AS DATE) AS trade_date, bool_or(event_type = 'error') AS is_st,
         bool_or(event_type <> 'signup') AS trade_status, max(value) AS close FROM events GROUP BY 1, 2""",
@@ -89,7 +91,7 @@ VIEWS = {
 }
 
 NEEDS = {
-    "master_history": ["master"], "spot": ["bars"], "archive_amounts": ["quarters"], "archive_states": ["quarters"], "returns": ["bars"],
+    "master_history": ["master"], "spot": ["bars"], "archive_amounts": ["quarters"], "archive_states": ["quarters"], "gap_amounts": ["quarters"], "gap_states": ["quarters"], "returns": ["bars"],
     "drawdowns": ["bars"], "panel": ["returns", "drawdowns"],
     "rankings": ["bars", "lifecycle"], "chosen": ["rankings"], "steps": ["rankings"], "signals": ["chosen", "steps"],
 }

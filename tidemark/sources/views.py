@@ -202,15 +202,27 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def archive_amounts(spark: SparkSession, sf: str) -> DataFrame:
-    """Quarter-grain archive; in every seventh quarter thinly traded names have no amount."""
-    return _quarters(spark, sf).where(~((F.col("qno") % 7 == 3) & (F.col("top") < 48))).select("symbol", "trade_date", "amount")
+    """Quarter-grain archive of all names."""
+    return _quarters(spark, sf).select("symbol", "trade_date", "amount")
 
 
 def archive_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Quarter-grain states; in every fifth quarter thinly traded names have no state."""
-    return _quarters(spark, sf).where(~((F.col("qno") % 5 == 0) & (F.col("top") < 48))).select(
-        "symbol", "trade_date", (F.col("n") % 5 == 0).alias("is_st"), (F.col("qty") % 7 != 0).alias("trade_status"), F.col("px").alias("close")
-    )
+    """Quarter-grain states of all names."""
+    return _states(_quarters(spark, sf))
+
+
+def gap_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """The archive with gaps, for what finds and mends them: in every seventh quarter thinly traded names have no amount."""
+    return _quarters(spark, sf).where(~((F.col("qno") % 7 == 3) & (F.col("top") < 48))).select("symbol", "trade_date", "amount")
+
+
+def gap_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The states with gaps: in every fifth quarter thinly traded names have no state."""
+    return _states(_quarters(spark, sf).where(~((F.col("qno") % 5 == 0) & (F.col("top") < 48))))
+
+
+def _states(quarters: DataFrame) -> DataFrame:
+    return quarters.select("symbol", "trade_date", (F.col("n") % 5 == 0).alias("is_st"), (F.col("qty") % 7 != 0).alias("trade_status"), F.col("px").alias("close"))
 
 
 def _quarters(spark: SparkSession, sf: str) -> DataFrame:
