@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, concat_ranges, groups_of, kept, mix, text_slices, word_hashes
 
-PIECE, CHUNK_BYTES, ENCODE_BYTES, BLOCK_BYTES = 256, 16 << 20, 1 << 19, 32 << 20
+PIECE, CHUNK_BYTES, HASH_BYTES, ENCODE_BYTES, BLOCK_BYTES = 256, 8 << 20, 1 << 20, 1 << 19, 32 << 20
 
 
 # ---------------------------------------------------------------- the merge
@@ -191,13 +191,22 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
 # ---------------------------------------------------------------- chunks
 
 
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the units, some bytes at a time."""
+    out, cuts = [np.zeros(0, U64)], groups_of(starts // HASH_BYTES)
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        a, b = starts[x], ends[y - 1]
+        out.append(word_hashes(raw[a:b], starts[x:y] - a, ends[x:y] - a))
+    return np.concatenate(out)
+
+
 class _Chunk:
     """Texts aligned by their different units: ids, links and groups per unit; units per text."""
 
     def __init__(self, t: Tokenizers, raw: np.ndarray, offs: np.ndarray, piece: int):
         starts = t.cuts(raw, offs)
         ends = np.append(starts[1:], len(raw))[: len(starts)]
-        key = word_hashes(raw, starts, ends) if len(starts) else np.zeros(0, U64)
+        key = _hashes(raw, starts, ends)
         _, first, which, often = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         rank = np.argsort(-often, kind="stable")  # frequent units get small numbers
         first = first[rank]
