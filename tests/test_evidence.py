@@ -140,6 +140,24 @@ def test_stage_evidence(spark):
     assert rows(late.violations, "rule") == [("master_not_the_one_observed",)]
 
 
+def test_each_day_meets_its_own_master(spark):
+    old = spark.createDataFrame([
+        ("000001", "n", "SZSE", "主板", day("1991-04-03"), None, 1.0, 1.0, False, True, ts("2026-10-01T08:00")), ("000002", "m", "SSE", "主板", day("1991-04-03"), None, 1.0, 1.0, False, True, ts("2026-10-01T08:00")),
+        ("000001", "n", "SZSE", "主板", day("1991-04-03"), None, 1.0, 1.0, True, True, ts("2026-10-10T08:00")), ("000002", "m", "SSE", "主板", day("1991-04-03"), None, 1.0, 1.0, False, True, ts("2026-10-10T08:00"))], MASTER)
+    at = lambda d, st, symbol="000001", exchange="SZSE": (day(d), symbol, "n", exchange, "主板", day("1991-04-03"), st, True, 1e8, "spot")
+    rows_in = [at("2026-09-30", False), at("2026-10-05", False), at("2026-10-09", True), at("2026-10-10", True), at("2026-10-11", True, "000009"), at("2026-10-12", True, exchange="XXX"), at("2026-10-13", False, "000002", "SSE")]
+    many = spark.createDataFrame(rows_in, cands(spark).schema)
+    staged = E.stage_evidence_days(many, old)
+    assert rows(staged.violations, "key", "rule") == [("2026-09-30", "no_master_observed"), ("2026-10-09", "is_st_disagrees"), ("2026-10-11", "symbol_absent_from_master"), ("2026-10-12", "exchange_disagrees")]
+    good = {r["evidence_date"]: r for r in staged.clean.collect()}
+    assert sorted(good) == [day("2026-10-05"), day("2026-10-10"), day("2026-10-13")]
+    assert good[day("2026-10-05")]["master_state_hash"] != good[day("2026-10-10")]["master_state_hash"] == good[day("2026-10-13")]["master_state_hash"] and {r["master_rows"] for r in good.values()} == {2}
+    used = spark.createDataFrame([(day("2026-10-05"), ts("2026-10-01T08:00")), (day("2026-10-10"), ts("2026-10-01T08:00"))], "evidence_date date, master_observed_at timestamp")
+    assert ("2026-10-10", "master_not_the_one_observed") in rows(E.stage_evidence_days(many, old, used).violations, "key", "rule")
+    states = E.master_states(old)
+    assert rows(states.groupBy("exchange").count(), "exchange", "count") == [("SSE", 1), ("SZSE", 2)]
+
+
 def test_ledger_day_checks_the_hash(spark):
     c = cands(spark)
     days = E.content_hash(c, ["evidence_date"], ["symbol", "amount"]).select("evidence_date", F.col("content_hash").alias("candidate_hash"))

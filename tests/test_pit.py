@@ -35,6 +35,28 @@ def test_many_cutoffs_equal_single_cutoffs(spark, facts):
         assert rows(latest.where(at), *cols) == rows(P.facts_latest_as_of(facts, c), *cols)
 
 
+def test_cutoffs_inside_days_and_as_a_table(spark, facts):
+    f = lambda sym, v, p, a, s: (sym, "roe", v, ts(p), ts(a), s)
+    more = facts.unionByName(spark.createDataFrame([f("7", 1.0, "2024-01-01T10:30", "2024-01-01T09:00", "a"), f("7", 2.0, "2024-01-01T10:30", "2024-01-01T10:45", "a"), ("7", "roe", 3.0, None, ts("2024-01-01"), "a")], S.FACTS))
+    cutoffs = ["2024-01-01T08:00", "2024-01-01T10:30", "2024-01-01T10:44", "2024-01-01T10:45", "2024-01-01T23:59", "2024-05-01", "2024-05-15"]
+    table = spark.createDataFrame([(ts(c),) for c in [*cutoffs, cutoffs[0]]], "at timestamp")
+    cols = ["symbol", "value", "period_end", "available_at"]
+    for many, one in ((P.facts_visible_at_cutoffs, P.facts_visible_as_of), (P.facts_latest_at_cutoffs, P.facts_latest_as_of)):
+        got = many(more, table)
+        assert rows(got, "as_of", *cols) == rows(many(more, cutoffs), "as_of", *cols)
+        for c in cutoffs:
+            assert rows(got.where(f"as_of = timestamp '{c}'"), *cols) == rows(one(more, c), *cols)
+
+
+def test_plan_size_does_not_depend_on_the_number_of_cutoffs(spark, facts, capsys):
+    sizes = []
+    for n in (2, 400):
+        cut = spark.range(n).selectExpr("date_add(date'2024-01-01', cast(id as int)) AS at")
+        P.facts_latest_at_cutoffs(facts, cut).explain()
+        sizes.append(len(capsys.readouterr().out))
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
 def test_fact_before_its_period_is_refused(spark):
     bad = spark.createDataFrame([("1", "roe", 0.1, ts("2024-03-31"), ts("2024-03-01"), "x")], S.FACTS)
     with pytest.raises(DataQualityError):

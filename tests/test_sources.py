@@ -3,6 +3,7 @@ from helpers import bars_from, day, rows, trend_bars, ts
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
+from tidemark.operators import evidence as E
 from tidemark.operators import reconstruct as K
 from tidemark.operators.checks import DataQualityError
 from tidemark.sources import tables as IO
@@ -123,6 +124,49 @@ def test_checkpoint_folder_is_read_from_the_session(spark, tmp_path):
     assert settled(spark.createDataFrame([], "a long, b string")).columns == ["a", "b"]
 
 
+def test_only_folders_with_a_key_are_read(spark, tmp_path):
+    from tidemark.sources.keyed import append_keyed, read_keyed, touched_parts
+
+    root = str(tmp_path / "keyed")
+    mk = lambda *ks: spark.createDataFrame([(k, d, f"{k}{d}") for k, d in ks], "k string, d int, v string")
+    parts = [append_keyed(mk(*[(f"s{n}", d) for d in range(50)]), root, ["k", "d"]) for n in range(4)]
+    assert touched_parts(spark, root, mk(("s2", 7), ("s3", 49), ("none", 1)), ["k", "d"]) == sorted(parts[2:])
+    got = read_keyed(spark, root, mk(("s1", 3)), ["k", "d"])
+    assert got.count() == 50 and all(f"part={parts[1]}" in f for f in got.inputFiles())
+    assert read_keyed(spark, root, mk(("none", 1)), ["k", "d"]).count() == 0 and spark.read.parquet(root).count() == 200
+
+
+def test_ranged_snapshots_read_what_differs(spark, tmp_path):
+    a = spark.range(2000).selectExpr("cast(id as string) AS symbol", "cast(id as double) AS x", "'n' AS name")
+    b = a.where("symbol != '17'").withColumn("x", F.when(F.col("symbol") == "5", 5.5).when(F.col("symbol") == "9", F.col("x") * (1 + 1e-15)).otherwise(F.col("x")))
+    b = b.unionByName(spark.createDataFrame([("new", 1.0, "n")], b.schema))
+    for name, df in (("a", a), ("b", b)):
+        IO.write_ranged_snapshot(df, str(tmp_path / name), ["symbol"])
+    got = IO.compare_ranged_snapshots(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["symbol"], ["x"], ["name"])
+    assert rows(got, "symbol", "verdict") == [("17", "missing_in_new"), ("5", "differs:x"), ("new", "missing_in_stored")]
+    read = {f.split("leaf=")[1].split("/")[0] for f in got.inputFiles()}
+    assert len(read) <= 4
+    assert rows(E.compare_by_ranges(a, b, ["symbol"], ["x"], ["name"]), "symbol", "verdict") == rows(got, "symbol", "verdict")
+    same = IO.compare_ranged_snapshots(spark, str(tmp_path / "a"), str(tmp_path / "a"), ["symbol"], ["x"], ["name"])
+    assert same.count() == 0
+
+
+def test_ledger_stream_takes_over_a_ledger_and_replays(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    p = lambda n: str(tmp_path / n)
+    schema = "evidence_date date, content_hash string, observed_at timestamp"
+    mk = lambda *r: spark.createDataFrame([(day(d), h, ts(t)) for d, h, t in r], schema).coalesce(1)
+    mk(("2026-10-12", "a", "2026-10-12T08:00")).write.parquet(p("ledger/batch=old"))
+    run = lambda: ST.ingest_ledger_stream(spark, p("in"), StructType.fromDDL(schema), p("ledger"), p("rejects"), p("ck")).awaitTermination(120)
+    mk(("2026-10-12", "a", "2026-10-12T09:00"), ("2026-10-12", "z", "2026-10-12T09:30"), ("2026-10-14", "q", "2026-10-14T09:00"), ("2026-10-14", "p", "2026-10-14T08:00"), ("2026-10-14", "p", "2026-10-14T08:30")).write.mode("append").parquet(p("in"))
+    run()
+    mk(("2026-10-14", "p", "2026-10-14T10:00"), ("2026-10-14", "r", "2026-10-14T10:00"), ("2026-10-14", "r", "2026-10-14T10:00")).write.mode("append").parquet(p("in"))
+    run()
+    assert rows(spark.read.parquet(p("ledger")), "evidence_date", "content_hash") == [(day("2026-10-12"), "a"), (day("2026-10-14"), "p")]
+    assert rows(spark.read.parquet(p("rejects")), "content_hash") == [("q",), ("r",), ("r",), ("z",)]
+
+
 def test_ledger_stream(spark, tmp_path):
     p = lambda n: str(tmp_path / n)
     schema = "evidence_date date, content_hash string, observed_at timestamp"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,13 @@ def content_hash(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     return summed.select(*keys, "row_count", F.sha2(text, 256).alias("content_hash"))
 
 
-def metadata_agreement(candidates: DataFrame, master: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """J10 + J12: candidates absent from the master or differing from it, one row per breach."""
+def metadata_agreement(candidates: DataFrame, master: DataFrame, keys: list[str] | None = None, on: list[str] | None = None) -> DataFrame:
+    """J10 + J12: candidates absent from the master or differing from it, one row per breach.  ``on`` are the
+    columns that name a master row, the symbol by default."""
     checked = ["exchange", "board", "list_date", "is_st", "is_listed"]
-    keys = keys or []
-    side = master.select("symbol", F.lit(True).alias("_known"), *[F.col(c).alias(f"_m_{c}") for c in checked])
-    both = candidates.join(side, "symbol", "left")
+    keys, on = keys or [], on or ["symbol"]
+    side = master.select(*on, F.lit(True).alias("_known"), *[F.col(c).alias(f"_m_{c}") for c in checked])
+    both = candidates.join(side, on, "left")
     breaches = F.array_compact(F.array(
         F.when(F.col("_known").isNull(), F.lit("symbol_absent_from_master")),
         *[F.when(F.col("_known") & ~F.col(c).eqNullSafe(F.col(f"_m_{c}")), F.lit(f"{c}_disagrees")) for c in checked],
@@ -44,30 +47,21 @@ def metadata_agreement(candidates: DataFrame, master: DataFrame, keys: list[str]
     return both.select(*keys, "symbol", F.explode(breaches).alias("rule"))
 
 
-def stage_evidence(
-    candidates: DataFrame, master: DataFrame, expected_observed_at: Column | None = None
-) -> Checked:
-    """One manifest row per evidence_date, or the reasons it is refused.
+EVIDENCE = ["symbol", "name", "exchange", "board", "list_date", "is_st", "is_listed", "amount", "screen_source"]
 
-    ``candidates`` carries evidence_date; ``master`` is the snapshot that was observed.
-    """
-    observed = master.agg(F.max("observed_at").alias("master_observed_at"))
-    state = content_hash(master.withColumn("_all", F.lit(1)), ["_all"], list(MASTER_STATE)).select(
-        F.col("content_hash").alias("master_state_hash"), F.col("row_count").alias("master_rows")
-    )
+
+def _staged(candidates: DataFrame, breaches: DataFrame, with_master: Callable[[DataFrame], DataFrame], expected: Column | None) -> Checked:
+    """Manifest rows or refusals of days whose master (columns master_*) ``with_master`` joins."""
     shape = candidates.groupBy("evidence_date").agg(
         F.count(F.lit(1)).alias("candidate_count"), F.count_distinct("screen_source").alias("_sources"), F.min("screen_source").alias("screen_source"),
         F.count_distinct("symbol").alias("_symbols"),
     )
-    columns = ["symbol", "name", "exchange", "board", "list_date", "is_st", "is_listed", "amount", "screen_source"]
-    hashes = content_hash(candidates, ["evidence_date"], columns).select("evidence_date", F.col("content_hash").alias("candidate_hash"))
-    breaches = metadata_agreement(candidates, master, ["evidence_date"]).groupBy("evidence_date").agg(F.min("rule").alias("_breach"))
-    rows = (
-        shape.join(hashes, "evidence_date").join(breaches, "evidence_date", "left").join(F.broadcast(observed)).join(F.broadcast(state))
-    )
-    mismatch = F.lit(False) if expected_observed_at is None else ~F.col("master_observed_at").eqNullSafe(expected_observed_at)
+    hashes = content_hash(candidates, ["evidence_date"], EVIDENCE).select("evidence_date", F.col("content_hash").alias("candidate_hash"))
+    first = breaches.groupBy("evidence_date").agg(F.min("rule").alias("_breach"))
+    rows = with_master(shape.join(hashes, "evidence_date").join(first, "evidence_date", "left"))
+    mismatch = F.lit(False) if expected is None else ~F.col("master_observed_at").eqNullSafe(expected)
     reason = (
-        F.when(F.col("_breach").isNotNull(), F.col("_breach"))
+        F.when(F.col("master_observed_at").isNull(), "no_master_observed").when(F.col("_breach").isNotNull(), F.col("_breach"))
         .when(F.col("_symbols") < F.col("candidate_count"), "duplicate_symbols")
         .when(F.col("_sources") != 1, "not_one_screen_source").when(mismatch, "master_not_the_one_observed")
     )
@@ -82,6 +76,69 @@ def stage_evidence(
     )
 
 
+def stage_evidence(
+    candidates: DataFrame, master: DataFrame, expected_observed_at: Column | None = None
+) -> Checked:
+    """One manifest row per evidence_date, or the reasons it is refused.
+
+    ``candidates`` carries evidence_date; ``master`` is the one snapshot that was observed.
+    """
+    observed = master.agg(F.max("observed_at").alias("master_observed_at"))
+    state = content_hash(master.withColumn("_all", F.lit(1)), ["_all"], list(MASTER_STATE)).select(
+        F.col("content_hash").alias("master_state_hash"), F.col("row_count").alias("master_rows")
+    )
+    breaches = metadata_agreement(candidates, master, ["evidence_date"])
+    return _staged(candidates, breaches, lambda rows: rows.join(F.broadcast(observed)).join(F.broadcast(state), how="left"), expected_observed_at)
+
+
+def master_states(history: DataFrame) -> DataFrame:
+    """E4 over a master's history: (exchange, content_hash, row_count, valid_from, valid_to), a row per state of an
+    exchange and the observations [from, to) it held.  Rows are hashed per snapshot before any is put in order."""
+    hashed = content_hash(history, ["exchange", "observed_at"], list(MASTER_STATE))
+    spans = state_intervals(hashed, "observed_at", "content_hash", ["exchange"])
+    sizes = hashed.select("exchange", F.col("observed_at").alias("valid_from"), "row_count")
+    return spans.join(sizes, ["exchange", "valid_from"]).select("exchange", "content_hash", "row_count", "valid_from", "valid_to")
+
+
+def observed_masters(days: DataFrame, history: DataFrame) -> DataFrame:
+    """(evidence_date, exchange, observed_at): the exchange's last snapshot on or before each day, in one ordered
+    pass per exchange over its snapshots and the days; days before its first one have no row."""
+    times = history.select("exchange", "observed_at").distinct()
+    listed = history.agg(F.collect_set("exchange").alias("_exchanges"))  # the exchanges of a master: a few
+    asks = days.select("evidence_date").distinct().join(F.broadcast(listed)).select("evidence_date", F.explode("_exchanges").alias("exchange"))
+    marks = times.select("exchange", F.to_date("observed_at").alias("_t"), F.lit(0).alias("_ask"), "observed_at").unionByName(
+        asks.select("exchange", F.col("evidence_date").alias("_t"), F.lit(1).alias("_ask"), F.lit(None).cast("timestamp").alias("observed_at")))
+    w = Window.partitionBy("exchange").orderBy("_t", "_ask", "observed_at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.withColumn("observed_at", F.last("observed_at", ignorenulls=True).over(w))
+    return seen.where("_ask = 1 AND observed_at IS NOT NULL").select(F.col("_t").alias("evidence_date"), "exchange", "observed_at")
+
+
+def stage_evidence_days(candidates: DataFrame, history: DataFrame, expected: DataFrame | None = None) -> Checked:
+    """E1 for many days: each evidence_date against the master that had been observed by then.
+
+    ``history`` holds master snapshots; ``expected`` (evidence_date, master_observed_at) names the one a
+    day's run used.  A day's master hash is that of its exchanges' states, so an unchanged exchange
+    doesn't change with a new snapshot.  A candidate is looked up in its own exchange's snapshot, one of
+    an unknown exchange in the day's newest.
+    """
+    chosen = observed_masters(candidates, history)
+    hashed = content_hash(history, ["exchange", "observed_at"], list(MASTER_STATE))
+    masters = chosen.join(hashed, ["exchange", "observed_at"]).groupBy("evidence_date").agg(
+        F.max("observed_at").alias("master_observed_at"), F.sum("row_count").alias("master_rows"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "exchange", "content_hash"))), ","), 256).alias("master_state_hash"),
+    )
+    looked = candidates.join(chosen, ["evidence_date", "exchange"], "left").join(masters.select("evidence_date", "master_observed_at"), "evidence_date", "left")
+    looked = looked.withColumn("observed_at", F.coalesce("observed_at", "master_observed_at")).drop("master_observed_at")
+    breaches = metadata_agreement(looked, history, ["evidence_date"], ["symbol", "observed_at"])
+    wanted = None if expected is None else F.col("_expected")
+
+    def with_master(rows: DataFrame) -> DataFrame:
+        rows = rows.join(masters, "evidence_date", "left")
+        return rows if expected is None else rows.join(expected.select("evidence_date", F.col("master_observed_at").alias("_expected")), "evidence_date", "left")
+
+    return _staged(candidates, breaches, with_master, wanted)
+
+
 def append_plan(stored: DataFrame, incoming: DataFrame, keys: list[str], hash_column: str = "content_hash") -> DataFrame:
     """What an immutable append would do per key: insert, idempotent or conflict."""
     have = stored.select(*keys, F.col(hash_column).alias("_have"))
@@ -98,11 +155,16 @@ def gated_append_plan(stored: DataFrame, incoming: DataFrame, now: Column, keys:
     return planned.withColumn("action", F.when(gate_open(F.col("clock")), F.col("action")).otherwise("skipped_market_clock"))
 
 
-def state_intervals(days: DataFrame, day: str = "evidence_date", hash_column: str = "master_state_hash") -> DataFrame:
-    """A state is stored when its hash changes; days become validity intervals [from, to)."""
-    w = Window.orderBy(day)
-    changed = days.select(day, hash_column).withColumn("_new", ~F.lag(hash_column).over(w).eqNullSafe(F.col(hash_column))).where("_new")
-    return changed.select(hash_column, F.col(day).alias("valid_from"), F.lead(day).over(w).alias("valid_to"))
+def state_intervals(days: DataFrame, day: str = "evidence_date", hash_column: str = "master_state_hash", keys: list[str] | None = None) -> DataFrame:
+    """A state is stored when its hash changes; days become validity intervals [from, to) per key.
+
+    What is put in order are the distinct days of a key, never the rows that they were told by.
+    """
+    keys = keys or []
+    one = days.groupBy(*keys, day).agg(F.max(hash_column).alias(hash_column))
+    w = Window.partitionBy(*keys).orderBy(day)
+    changed = one.withColumn("_new", ~F.lag(hash_column).over(w).eqNullSafe(F.col(hash_column))).where("_new")
+    return changed.select(*keys, hash_column, F.col(day).alias("valid_from"), F.lead(day).over(w).alias("valid_to"))
 
 
 def new_states(stored_hashes: DataFrame, days: DataFrame, hash_column: str = "master_state_hash") -> DataFrame:
@@ -134,6 +196,57 @@ def compare_snapshots(
     return both.withColumn("_diff", differs).select(*keys, verdict.alias("verdict")).where(F.col("verdict").isNotNull())
 
 
+FAN, DEPTH = 16, 2
+
+
+def key_leaf(keys: list[str], fan: int = FAN, depth: int = DEPTH) -> Column:
+    """The leaf of a row in a tree of ``fan`` ** ``depth`` key ranges: a part of the keys' hash space."""
+    return F.pmod(F.xxhash64(*keys), F.lit(fan**depth)).cast("int")
+
+
+def hash_tree(rows: DataFrame, keys: list[str], columns: list[str], fan: int = FAN, depth: int = DEPTH) -> DataFrame:
+    """(level, node, row_count, content_hash): digests of a table's key ranges and of their unions up to level 0.
+
+    Leaves come from one aggregate over the rows; each level above from ``fan`` times fewer rows below.
+    Ranges without rows have no node.
+    """
+    level = content_hash(rows.withColumn("node", key_leaf(keys, fan, depth)), ["node"], [*keys, *columns])
+    out = level.withColumn("level", F.lit(depth))
+    for above in range(depth - 1, -1, -1):
+        child = F.concat_ws("=", F.col("node").cast("string"), "content_hash")
+        level = level.groupBy(F.floor(F.col("node") / fan).cast("int").alias("_up")).agg(
+            F.sum("row_count").alias("row_count"), F.sha2(F.array_join(F.array_sort(F.collect_list(child)), ","), 256).alias("content_hash")
+        ).withColumnRenamed("_up", "node")
+        out = out.unionByName(level.withColumn("level", F.lit(above)))
+    return out.select("level", "node", "row_count", "content_hash")
+
+
+def differing_leaves(a: DataFrame, b: DataFrame, fan: int = FAN, depth: int = DEPTH) -> list[int]:
+    """Leaves whose rows are not the same in both trees, found from the root down: a level is read only below
+    nodes that differ.  At most ``fan`` ** ``depth`` numbers."""
+    open_nodes = [0]
+    for level in range(depth + 1):
+        at = [x.where((F.col("level") == level) & F.col("node").isin(open_nodes)).select("node", F.col("content_hash").alias(n)) for x, n in ((a, "_a"), (b, "_b"))]
+        nodes = sorted(r["node"] for r in at[0].join(at[1], "node", "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).collect())
+        if level == depth or not nodes:
+            return nodes
+        open_nodes = [n * fan + k for n in nodes for k in range(fan)]
+    return []
+
+
+def compare_by_ranges(
+    stored: DataFrame, fresh: DataFrame, keys: list[str], numbers: list[str], others: list[str], *, fan: int = FAN, depth: int = DEPTH, **tolerance
+) -> DataFrame:
+    """E5 for large snapshots that mostly agree: only rows of key ranges with different digests are joined.
+
+    Equal digests mean equal rows; in the others ``compare_snapshots`` decides, tolerance included.
+    """
+    trees = [hash_tree(x, keys, [*numbers, *others], fan, depth) for x in (stored, fresh)]
+    leaves = differing_leaves(*trees, fan, depth)
+    some = key_leaf(keys, fan, depth).isin(leaves) if leaves else F.lit(False)
+    return compare_snapshots(stored.where(some), fresh.where(some), keys, numbers, others, **tolerance)
+
+
 def archive_manifest(master: DataFrame, required=REQUIRED_EXCHANGES) -> DataFrame:
     """E6 + U7: one row per snapshot: size, exchanges, missing ones, hash."""
     digest = content_hash(master, ["observed_at"], list(MASTER_STATE))

@@ -70,22 +70,36 @@ def _(spark, sf):
     return E.new_states(days.where(F.day("evidence_date") % 2 == 0), days, "content_hash")
 
 
-@query("compare_snapshots", with_views(["spot"], """SELECT symbol, CASE WHEN k % 7 = 0 THEN 'missing_in_new' WHEN k % 7 = 1 THEN 'missing_in_stored' WHEN k % 7 = 2 THEN 'differs:amount' WHEN k % 7 = 3 THEN 'differs:name' END AS verdict
-    FROM (SELECT symbol, CAST(symbol AS BIGINT) AS k FROM spot) WHERE k % 7 < 4"""))
-def _(spark, sf):
+_COMPARED = with_views(["spot"], """SELECT symbol, CASE WHEN k % 7 = 0 THEN 'missing_in_new' WHEN k % 7 = 1 THEN 'missing_in_stored' WHEN k % 7 = 2 THEN 'differs:amount' WHEN k % 7 = 3 THEN 'differs:name' END AS verdict
+    FROM (SELECT symbol, CAST(symbol AS BIGINT) AS k FROM spot) WHERE k % 7 < 4""")
+
+
+def _two_snapshots(spark, sf):
     s, k = V.spot(spark, sf), F.col("symbol").cast("long") % 7
     stored = s.where(k != 1)
     fresh = s.where(k != 0).withColumns({
         "amount": F.when(k == 2, F.col("amount") * 1.0001).when(k == 4, F.col("amount") * (1 + 1e-14)).otherwise(F.col("amount")),
         "name": F.when(k == 3, F.lit("other")).otherwise(F.col("name")),
     })
-    return E.compare_snapshots(stored, fresh, ["symbol"], ["last", "amount", "float_market_cap"], ["name"])
+    return stored, fresh, ["symbol"], ["last", "amount", "float_market_cap"], ["name"]
+
+
+@query("compare_snapshots", _COMPARED)
+def _(spark, sf):
+    return E.compare_snapshots(*_two_snapshots(spark, sf))
 
 
-@query("archive_manifest", with_views(["master_history"], """SELECT CAST(observed_at AS DATE) AS observed_day, count(*) AS row_count, string_agg(DISTINCT exchange, ',' ORDER BY exchange) AS exchanges, count(DISTINCT exchange) = 3 AS complete FROM master_history GROUP BY 1"""))
+@query("compare_snapshots_by_ranges", _COMPARED)
+def _(spark, sf):
+    return E.compare_by_ranges(*_two_snapshots(spark, sf))
+
+
+@query("archive_manifest", with_views(["master_history"], """SELECT CAST(observed_at AS DATE) AS observed_day, row_count, exchanges, array_to_string(list_sort(list_filter(['BSE', 'SSE', 'SZSE'], lambda e: NOT contains(exchanges, e))), ',') AS missing_exchanges, content_hash, n = 3 AS complete
+    FROM hashed JOIN (SELECT observed_at, string_agg(DISTINCT exchange, ',' ORDER BY exchange) AS exchanges, count(DISTINCT exchange) AS n FROM master_history GROUP BY 1) USING (observed_at)""",
+    {"hashed": _content_hash("master_history", "observed_at", ["symbol", "name", "exchange", "board", "list_date", "industry", "is_st", "is_listed"])}))
 def _(spark, sf):
     m = E.archive_manifest(V.master_history(spark, sf))
-    return m.select(F.to_date("observed_at").alias("observed_day"), "row_count", "exchanges", "complete")
+    return m.withColumn("observed_day", F.to_date("observed_at")).drop("observed_at")
 
 
 @query("archive_manifest_hash", with_views(["master_history"], "SELECT CAST(observed_at AS DATE) AS observed_day, content_hash FROM (" + _content_hash("master_history", "observed_at", ["symbol", "name", "exchange", "board", "list_date", "industry", "is_st", "is_listed"]) + ")"))
@@ -139,10 +153,21 @@ def _(spark, sf):
 _BAD_DAY = "count(*) FILTER (WHERE board <> mboard OR is_st <> mst) > 0 OR count(DISTINCT screen_source) <> 1"
 
 
-@query("stage_evidence", with_views(["archive_amounts", "master"], f"SELECT evidence_date, count(*) AS candidate_count, min(screen_source) AS screen_source, (SELECT count(*) FROM master) AS master_rows FROM cand GROUP BY 1 HAVING NOT ({_BAD_DAY})", _C))
+_STATE = ["symbol", "name", "exchange", "board", "list_date", "industry", "is_st", "is_listed"]
+_DEC = {"cent": "SELECT * REPLACE (CAST(amount AS DECIMAL(18,2)) AS amount) FROM cand"}
+_MANIFEST = "evidence_date, CAST(master_observed_at AS DATE) AS master_observed_at, master_state_hash, master_rows, candidate_hash, candidate_count, screen_source"
+
+
+def _in_cents(candidates):
+    return candidates.withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+
+
+@query("stage_evidence", with_views(["archive_amounts", "master"], f"""SELECT evidence_date, DATE '2027-01-01' AS master_observed_at, (SELECT content_hash FROM whole) AS master_state_hash, (SELECT row_count FROM whole) AS master_rows,
+    content_hash AS candidate_hash, count(*) AS candidate_count, min(screen_source) AS screen_source FROM cent JOIN days USING (evidence_date) GROUP BY ALL HAVING NOT ({_BAD_DAY})""",
+    {**_C, **_DEC, "days": _content_hash("cent", "evidence_date", E.EVIDENCE), "whole": _content_hash("(SELECT *, 1 AS k FROM master)", "k", _STATE)}))
 def _(spark, sf):
-    staged = E.stage_evidence(evidence_candidates(spark, sf), V.master(spark, sf), F.lit("2027-01-01 08:00:00").cast("timestamp"))
-    return staged.clean.select("evidence_date", "candidate_count", "screen_source", "master_rows")
+    staged = E.stage_evidence(_in_cents(evidence_candidates(spark, sf)), V.master(spark, sf), F.lit("2027-01-01 08:00:00").cast("timestamp"))
+    return staged.clean.withColumn("master_observed_at", F.to_date("master_observed_at"))
 
 
 @query("stage_evidence_refused", with_views(["archive_amounts", "master"], """SELECT CASE WHEN count(*) FILTER (WHERE board <> mboard) > 0 THEN 'board_disagrees' WHEN count(*) FILTER (WHERE is_st <> mst) > 0 THEN 'is_st_disagrees' ELSE 'not_one_screen_source' END AS rule,
@@ -151,6 +176,57 @@ def _(spark, sf):
     return E.stage_evidence(evidence_candidates(spark, sf), V.master(spark, sf)).violations
 
 
+# Three master snapshots, moved back into the span of the archive; candidates come from the one of their day, with faults.
+_BACK = 1500
+_OLD = {
+    "hist": f"SELECT * REPLACE (observed_at - INTERVAL {_BACK} DAY AS observed_at) FROM master_history",
+    "due": f"SELECT DISTINCT trade_date AS evidence_date FROM archive_amounts WHERE amount >= {FLOOR}",
+    "chosen": "SELECT evidence_date, exchange, max(observed_at) AS observed_at FROM due JOIN (SELECT DISTINCT exchange, observed_at FROM hist) ON CAST(observed_at AS DATE) <= evidence_date GROUP BY 1, 2",
+    "cand": f"""SELECT a.trade_date AS evidence_date, h.symbol, h.name, h.exchange, h.board, h.list_date, CASE WHEN CAST(a.symbol AS BIGINT) % 10 = 4 AND quarter(trade_date) = 3 THEN NOT h.is_st ELSE h.is_st END AS is_st, h.is_listed,
+        CAST(amount AS DECIMAL(18,2)) AS amount, CASE WHEN CAST(a.symbol AS BIGINT) % 10 = 5 AND year(trade_date) = 2022 THEN 'other' ELSE 'spot' END AS screen_source, h.is_st AS mst, h.board AS mboard
+        FROM archive_amounts a JOIN hist h USING (symbol) JOIN chosen c ON c.evidence_date = trade_date AND c.exchange = h.exchange AND c.observed_at = h.observed_at WHERE amount >= {FLOOR}""",
+    "states": _content_hash("hist", "exchange, observed_at", _STATE),
+    "masters": """SELECT evidence_date, max(observed_at) AS master_observed_at, CAST(sum(row_count) AS BIGINT) AS master_rows, sha256(string_agg(exchange || '=' || content_hash, ',' ORDER BY exchange)) AS master_state_hash
+        FROM chosen JOIN states USING (exchange, observed_at) GROUP BY 1""",
+    "days": _content_hash("cand", "evidence_date", E.EVIDENCE),
+}
+
+
+def _old_masters(spark, sf):
+    return V.master_history(spark, sf).withColumn("observed_at", F.col("observed_at") - F.expr(f"INTERVAL '{_BACK}' DAY"))
+
+
+def _old_candidates(spark, sf):
+    hist = _old_masters(spark, sf)
+    rows = V.archive_amounts(spark, sf).where(F.col("amount") >= FLOOR).withColumnRenamed("trade_date", "evidence_date")
+    chosen = E.observed_masters(rows, hist)
+    k, d = F.col("symbol").cast("long"), F.quarter("evidence_date")
+    return rows.join(hist, "symbol").join(chosen, ["evidence_date", "exchange", "observed_at"]).select(
+        "evidence_date", "symbol", "name", "exchange", "board", "list_date", F.when((k % 10 == 4) & (d == 3), ~F.col("is_st")).otherwise(F.col("is_st")).alias("is_st"), "is_listed",
+        F.col("amount").cast("decimal(18,2)").alias("amount"), F.when((k % 10 == 5) & (F.year("evidence_date") == 2022), "other").otherwise("spot").alias("screen_source"))
+
+
+@query("stage_evidence_days", with_views(["archive_amounts", "master_history"], f"""SELECT {_MANIFEST} FROM (SELECT evidence_date, content_hash AS candidate_hash, count(*) AS candidate_count, min(screen_source) AS screen_source FROM cand JOIN days USING (evidence_date)
+    GROUP BY ALL HAVING NOT ({_BAD_DAY})) JOIN masters USING (evidence_date)""", _OLD))
+def _(spark, sf):
+    return E.stage_evidence_days(_old_candidates(spark, sf), _old_masters(spark, sf)).clean.withColumn("master_observed_at", F.to_date("master_observed_at"))
+
+
+@query("stage_evidence_days_refused", with_views(["archive_amounts", "master_history"], f"""SELECT CASE WHEN count(*) FILTER (WHERE is_st <> mst) > 0 THEN 'is_st_disagrees' WHEN count(DISTINCT screen_source) <> 1 THEN 'not_one_screen_source' ELSE 'master_not_the_one_observed' END AS rule,
+    CAST(evidence_date AS VARCHAR) AS key, count(*) AS rows FROM cand JOIN masters USING (evidence_date) GROUP BY evidence_date, master_observed_at HAVING {_BAD_DAY} OR year(evidence_date) = 2023""", _OLD))
+def _(spark, sf):
+    hist, cands = _old_masters(spark, sf), _old_candidates(spark, sf)
+    used = E.observed_masters(cands, hist).groupBy("evidence_date").agg(F.max("observed_at").alias("master_observed_at"))
+    late = F.when(F.year("evidence_date") == 2023, F.col("master_observed_at") - F.expr("INTERVAL '1' DAY")).otherwise(F.col("master_observed_at"))
+    return E.stage_evidence_days(cands, hist, used.withColumn("master_observed_at", late)).violations
+
+
+@query("master_states", with_views(["master_history"], """SELECT exchange, content_hash, row_count, CAST(observed_at AS DATE) AS valid_from, CAST(lead(observed_at) OVER (PARTITION BY exchange ORDER BY observed_at) AS DATE) AS valid_to
+    FROM (SELECT *, lag(content_hash) OVER (PARTITION BY exchange ORDER BY observed_at) AS before FROM states) WHERE before IS DISTINCT FROM content_hash""", _OLD))
+def _(spark, sf):
+    return E.master_states(_old_masters(spark, sf)).withColumns({c: F.to_date(c) for c in ("valid_from", "valid_to")})
+
+
 _LEDGER_COLS = ["symbol", "board", "amount"]
 
 

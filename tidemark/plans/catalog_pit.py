@@ -75,6 +75,37 @@ def _(spark, sf):
     return dated(P.facts_latest_at_cutoffs(V.facts(spark, sf), CUTOFFS))
 
 
+# Every calendar day as a cutoff: the checking SQL counts over spans of visibility, found by its own windows.
+_EVERY = {
+    "days": "SELECT CAST(unnest(generate_series(min(available_at), max(available_at), INTERVAL 1 DAY)) AS DATE) AS as_of FROM facts",
+    "entered": "SELECT *, CAST(greatest(available_at, period_end) AS DATE) AS d FROM facts",
+    "revised": "SELECT *, lead(d) OVER (PARTITION BY symbol, metric, period_end ORDER BY d) AS until FROM (SELECT * FROM entered QUALIFY row_number() OVER (PARTITION BY symbol, metric, period_end, d ORDER BY available_at DESC, source DESC) = 1)",
+    "newest": """SELECT *, lead(d) OVER (PARTITION BY symbol, metric ORDER BY d) AS until FROM (SELECT symbol, metric, d, max(m) OVER (PARTITION BY symbol, metric ORDER BY d) AS m
+        FROM (SELECT symbol, metric, d, max({'p': period_end, 'a': available_at, 's': source, 'v': value}) AS m FROM entered GROUP BY 1, 2, 3))""",
+}
+
+
+def every_day(spark, sf):
+    ends = V.facts(spark, sf).agg(F.min("available_at").alias("a"), F.max("available_at").alias("b"))
+    return ends.select(F.explode(F.sequence(F.to_date("a"), F.to_date("b"))).alias("as_of"))
+
+
+def _by_day(df):
+    return dated(df.groupBy("as_of").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("symbol").alias("symbols"), F.round(F.sum("value"), 2).alias("total"), F.max("period_end").alias("period_end")))
+
+
+@query("facts_visible_daily", with_views(["facts"], """SELECT as_of, count(*) AS facts, count(DISTINCT symbol) AS symbols, round(sum(value), 2) AS total, CAST(max(period_end) AS DATE) AS period_end
+    FROM days JOIN revised ON d <= as_of AND (until IS NULL OR as_of < until) GROUP BY 1""", _EVERY))
+def _(spark, sf):
+    return _by_day(P.facts_visible_at_cutoffs(V.facts(spark, sf), every_day(spark, sf)))
+
+
+@query("facts_latest_daily", with_views(["facts"], """SELECT as_of, count(*) AS facts, count(DISTINCT symbol) AS symbols, round(sum(m.v), 2) AS total, CAST(max(m.p) AS DATE) AS period_end
+    FROM days JOIN newest ON d <= as_of AND (until IS NULL OR as_of < until) GROUP BY 1""", _EVERY))
+def _(spark, sf):
+    return _by_day(P.facts_latest_at_cutoffs(V.facts(spark, sf), every_day(spark, sf)))
+
+
 _NAMES = {"利润表::营业总收入": "revenue", "利润表::净利润": "profit", "现金流量表::经营活动产生的现金流量净额": "cash_flow", "资产负债表::资产总计": "assets", "资产负债表::负债合计": "debt"}
 
 
@@ -111,6 +142,18 @@ def _(spark, sf):
     return rounded(dated(P.fundamental_factors_at_cutoffs(V.facts(spark, sf), CUTOFFS)))
 
 
+_DAILY = {k: _BY_CUT(q) for k, q in _FUND.items()} | {**_EVERY, "visible": "SELECT days.as_of, r.* EXCLUDE (d, until) FROM days JOIN revised r ON d <= as_of AND (until IS NULL OR as_of < until)"}
+_DAILY = {k: _DAILY[k] for k in (*_EVERY, "visible", "periods", "anchors", "ratios")}
+
+
+@query("fundamental_factors_daily", with_views(["facts"], f"""SELECT as_of AS fundamental_as_of, count(*) AS symbols, count(revenue_yoy) AS grown, {r(f'sum({_COVER})')} AS coverage, {r('max(net_margin)')} AS net_margin, max(fundamental_period_end) AS fundamental_period_end
+    FROM ratios GROUP BY 1""", _DAILY))
+def _(spark, sf):
+    f = P.fundamental_factors_at_cutoffs(V.facts(spark, sf), every_day(spark, sf))
+    return rounded(dated(f.groupBy("fundamental_as_of").agg(
+        F.count(F.lit(1)).alias("symbols"), F.count("revenue_yoy").alias("grown"), F.sum("fundamental_coverage").alias("coverage"), F.max("net_margin").alias("net_margin"), F.max("fundamental_period_end").alias("fundamental_period_end"))))
+
+
 def _requested(spark, sf):
     return V.table(spark, sf, "customer").select(V.code(F.floor(F.col("c_custkey") / 10)).alias("symbol"))
 

@@ -13,11 +13,12 @@ from tidemark import schema as S
 from tidemark.functions.symbols import hash_shard, pad_symbol
 from tidemark.operators.archive import merge_shards
 from tidemark.operators.checks import Checked, DataQualityError, latest_per_key
-from tidemark.operators.evidence import append_plan
+from tidemark.operators.evidence import DEPTH, FAN, append_plan, compare_snapshots, differing_leaves, hash_tree, key_leaf
 from tidemark.operators.factors import validate_bars
 from tidemark.operators.normalize import FACT_KEY, validate_facts, validate_master
 from tidemark.operators.pit import merge_facts
 from tidemark.operators.reconstruct import Reconstruction
+from tidemark.sources.keyed import append_keyed, read_keyed
 
 BUCKETS = 64
 _BUCKETED_BARS = T.StructType([*S.BARS.fields, T.StructField("bucket", T.IntegerType()), T.StructField("month", T.StringType())])
@@ -86,22 +87,26 @@ def upsert_bars(spark: SparkSession, incoming: DataFrame, root: str, buckets: in
 
 
 def upsert_facts(spark: SparkSession, incoming: DataFrame, root: str) -> Checked:
-    """IO4: append facts with a new identity; a changed value under a known identity refuses all."""
+    """IO4: append facts with a new identity; a changed value under a known identity refuses all.
+
+    Only folders that may hold an incoming identity are read.
+    """
     fresh = validate_facts(incoming).require()
     if not _exists(spark, root):
-        fresh.write.mode("append").parquet(root)
+        append_keyed(fresh, root, FACT_KEY)
         return Checked(fresh, fresh.limit(0).select(F.lit("").alias("rule")))
-    stored = spark.read.schema(S.FACTS).parquet(root)
-    touched = stored.join(fresh.select("symbol").distinct(), "symbol", "left_semi")
+    touched = read_keyed(spark, root, fresh, FACT_KEY).select(*S.FACTS.names).join(fresh.select("symbol").distinct(), "symbol", "left_semi")
     merged = merge_facts(touched, fresh)
     merged.require()
-    fresh.join(touched.select(*FACT_KEY), FACT_KEY, "left_anti").write.mode("append").parquet(root)
+    added = fresh.join(touched.select(*FACT_KEY), FACT_KEY, "left_anti")
+    if not added.isEmpty():
+        append_keyed(added, root, FACT_KEY)
     return merged
 
 
 def read_facts(spark: SparkSession, root: str) -> Checked:
     """IO5."""
-    return validate_facts(spark.read.schema(S.FACTS).parquet(root))
+    return validate_facts(spark.read.parquet(root).select(*S.FACTS.names))
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -162,6 +167,26 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root).select(*S.MASTER.names)
 
 
+def write_ranged_snapshot(rows: DataFrame, root: str, keys: list[str], fan: int = FAN, depth: int = DEPTH) -> None:
+    """A snapshot in one folder per key range, with the tree of the ranges' digests beside it."""
+    leaf = key_leaf(keys, fan, depth)
+    rows.withColumn("leaf", leaf).hint("rebalance", "leaf").write.mode("overwrite").partitionBy("leaf").parquet(f"{root}/rows")
+    hash_tree(rows, keys, [c for c in rows.columns if c not in keys], fan, depth).coalesce(1).write.mode("overwrite").parquet(f"{root}/tree")
+
+
+def compare_ranged_snapshots(
+    spark: SparkSession, stored: str, fresh: str, keys: list[str], numbers: list[str], others: list[str], *, fan: int = FAN, depth: int = DEPTH, **tolerance
+) -> DataFrame:
+    """E5 between two stored snapshots: the trees name the ranges that differ, and only their folders are read."""
+    trees = [spark.read.parquet(f"{root}/tree") for root in (stored, fresh)]
+    leaves = set(differing_leaves(*trees, fan, depth))
+    rows = []
+    for root, tree in zip((stored, fresh), trees, strict=True):
+        have = sorted(leaves & {r["node"] for r in tree.where(F.col("level") == depth).select("node").collect()})
+        rows.append(spark.read.parquet(*[f"{root}/rows/leaf={n}" for n in have]) if have else spark.read.parquet(f"{root}/rows").drop("leaf").limit(0))
+    return compare_snapshots(*rows, keys, numbers, others, **tolerance)
+
+
 def read_shards(spark: SparkSession, root: str) -> DataFrame:
     """Rows of shard folders ``<root>/shard=<i>/`` with the index from the path."""
     path = F.col("_metadata.file_path")
@@ -186,14 +211,17 @@ def write_candidate_days(result: Reconstruction, root: str) -> None:
 
 
 def append_immutable(spark: SparkSession, incoming: DataFrame, root: str, keys: list[str], hash_column: str = "content_hash") -> DataFrame:
-    """E3 sink: insert new keys, accept equal ones, refuse the whole batch on a conflict."""
+    """E3 sink: insert new keys, accept equal ones, refuse the whole batch on a conflict.  Only folders that
+    may hold an incoming key are read."""
     if not _exists(spark, root):
-        incoming.write.mode("append").parquet(root)
+        append_keyed(incoming, root, keys)
         return incoming.withColumn("action", F.lit("insert"))
-    planned = append_plan(spark.read.parquet(root), incoming, keys, hash_column)
+    planned = append_plan(read_keyed(spark, root, incoming, keys), incoming, keys, hash_column)
     if planned.where(F.col("action") == "conflict").take(1):
         raise DataQualityError("refusing to rewrite immutable evidence")
-    planned.where(F.col("action") == "insert").drop("action").write.mode("append").parquet(root)
+    added = planned.where(F.col("action") == "insert").drop("action")
+    if not added.isEmpty():
+        append_keyed(added, root, keys)
     return planned
 
 

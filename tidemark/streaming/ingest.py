@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections import Counter
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.labels import after_close_gate, gate_open
 from tidemark.operators.checks import DataQualityError
-from tidemark.operators.evidence import append_plan
 from tidemark.schema import BARS
 from tidemark.sources.tables import _exists, upsert_bars
 
@@ -19,37 +22,73 @@ def clock_gated(rows: DataFrame, day: str = "evidence_date", observed: str = "ob
     return rows.withColumn("clock", after_close_gate(F.col(day), F.col(observed)))
 
 
+class FirstObservation(StatefulProcessor):
+    """Per key the hash of its first observation: rows with that hash are repeats, others conflicts.
+
+    State is one short string a key, so nothing of it ever has to expire and no row is too late.
+    """
+
+    def __init__(self, names: list[str], hash_column: str, observed: str):
+        self.names, self.hash_column, self.observed = names, hash_column, observed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "hash string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        have = self.kept.get()[0] if self.kept.exists() else None
+        copies = Counter(tuple(r[n] for n in self.names) for r in rows)  # exact copies within a micro-batch count, they are not held
+        at, seen = self.names.index(self.hash_column), self.names.index(self.observed)
+        order = sorted(copies, key=lambda r: (r[seen] is None, r[seen] or 0, str(r)))
+        for k, row in enumerate(order):
+            if have is None:
+                have = row[at] or ""
+                self.kept.update((have,))
+                yield Row(**dict(zip(self.names, row, strict=True)), reason="insert")
+            elif (row[at] or "") != have:
+                for _ in range(copies[row]):
+                    yield Row(**dict(zip(self.names, row, strict=True)), reason="immutable_conflict")
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.kept.update((initialState["hash"],))
+
+
 def ingest_ledger_stream(
     spark: SparkSession, source: str, schema: StructType, ledger: str, rejects: str, checkpoint: str,
     *, keys: list[str] | None = None, hash_column: str = "content_hash",
 ) -> StreamingQuery:
     """ST1: new day files pass the clock gate, then an immutable append; others go to a reject table.
 
-    Every row ends in the ledger, in the rejects, or equals a stored row: repeats are settled by
-    the append itself, without stream state or a watermark, however late they are.  A replayed
-    micro-batch is harmless: its inserts come back as ``idempotent`` and its rejects carry the batch
-    number and overwrite their own folder.
+    Every row ends in the ledger, in the rejects, or equals a stored row, however late it comes.  What a
+    key was first seen with is kept in the state store, so no micro-batch reads the ledger; a ledger that
+    was there before the job's first start is read once, as the initial state.  A micro-batch writes
+    folders of its own, named by the job and its number: replayed, it writes the same ones again.
+    The state store needs RocksDB; it is chosen in a session of the job's own.
     """
     keys = keys or ["evidence_date"]
-    rows = clock_gated(spark.readStream.schema(schema).parquet(source))
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = clock_gated(session.readStream.schema(schema).parquet(source))
+    gate = F.coalesce(gate_open(F.col("clock")), F.lit(False))
+    plain = StructType([*rows.schema.fields])
+    out = StructType([*plain.fields, StructField("reason", StringType())])
+    initial = None
+    if not _exists(session, checkpoint) and _exists(session, ledger):
+        stored = session.read.parquet(ledger).groupBy(*keys).agg(F.min_by(hash_column, "observed_at").alias("hash"))
+        initial = stored.groupBy(*keys)
+    judged = rows.where(gate).groupBy(*keys).transformWithState(
+        FirstObservation(plain.names, hash_column, "observed_at"), outputStructType=out, outputMode="Append", timeMode="None", initialState=initial)
+    told = judged.unionByName(rows.where(~gate).withColumn("reason", F.col("clock")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        open_rows = batch.where(gate_open(F.col("clock")))
-        closed = batch.where(~gate_open(F.col("clock"))).withColumn("reason", F.col("clock"))
-        # First observation of a key inside the batch; a later different one is a conflict.
-        first = open_rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in batch.columns if c not in keys]), "observed_at").alias("_r")).select(*keys, "_r.*")
-        if _exists(session, ledger):
-            planned = append_plan(session.read.parquet(ledger), first, keys, hash_column)
-        else:
-            planned = first.withColumn("action", F.lit("insert"))
-        fresh = planned.where(F.col("action") == "insert").drop("action")
-        clash = planned.where(F.col("action") == "conflict").drop("action").withColumn("reason", F.lit("immutable_conflict"))
-        later = open_rows.alias("o").join(first.select(*keys, F.col(hash_column).alias("_kept")), keys).where(F.col(hash_column) != F.col("_kept")).drop("_kept").withColumn("reason", F.lit("immutable_conflict"))
-        closed.unionByName(clash.select(*closed.columns)).unionByName(later.select(*closed.columns)).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
-        fresh.write.mode("append").parquet(ledger)
-
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        job = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        batch = batch.persist()
+        try:
+            batch.where("reason = 'insert'").drop("reason").write.mode("overwrite").parquet(f"{ledger}/batch={job}-{batch_id}")
+            batch.where("reason != 'insert'").write.mode("overwrite").parquet(f"{rejects}/batch={job}-{batch_id}")
+        finally:
+            batch.unpersist()
+
+    return told.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert_bars_stream(spark: SparkSession, source: str, root: str, checkpoint: str) -> StreamingQuery:
