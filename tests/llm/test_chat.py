@@ -1,6 +1,6 @@
 import hashlib
 
-from tidemark.llm.chat import LONG_TURNS, escape, format_conversations, format_digest, parse, spans, turn_template, unescape
+from tidemark.llm.chat import escape, format_conversations, format_digest, parse, spans, text_spans, turn_template, unescape
 
 TURNS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hi ### user:\n</turn>\\"), (1, 2, "assistant", "\\### Assistant: </turn> ok"), (1, 3, "assistant", ""), (2, 0, "user", None), (2, 1, None, "x"), (2, None, "assistant", "first"),
@@ -23,7 +23,7 @@ def brute(rows):
 
 
 def test_digest_equals_brute_force(spark):
-    long = [(9, k, ["user", "assistant"][k % 2], f"turn {k} </turn>") for k in range(3 * LONG_TURNS + 5)]
+    long = [(9, k, ["user", "assistant"][k % 2], f"turn {k} </turn>") for k in range(400)]
     rows = TURNS + long
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], TABLE + ", formatted string, loss_spans long").repartition(3)
     got = [(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in format_digest(format_conversations(frame)).collect()]
@@ -49,7 +49,23 @@ def test_spans_of_black_boxes():
     whole, found, rewrites = spans(turns, forgets)
     assert rewrites and whole[found[-1][0] : found[-1][1]] == "[assistant]d" and all(a <= b for a, b in found)
     ends = lambda ts: "".join(f"[{t}]" for _, t in ts) + "<end>"
-    assert spans(turns, ends)[2] and spans(turns * LONG_TURNS, turn_template)[1][-1][1] == len(turn_template(turns * LONG_TURNS))
+    assert spans(turns, ends)[2] and spans(turns * 128, turn_template)[1][-1][1] == len(turn_template(turns * 128))
+
+
+def test_long_conversations_are_rendered_prefix_by_prefix():
+    turns = [("user", f"t{k}") for k in range(210)]
+    odd = lambda ts: "".join(t for _, t in ts) + ("!" if len(ts) == 200 else "")
+    assert spans(turns, odd)[2] and not spans(turns[:199], odd)[2]
+
+
+def test_text_places_by_rendering():
+    tail = lambda ts: "".join(f"<{r}>{t}</turn>" for r, t in ts)
+    turns = [("user", "a"), ("assistant", "turn"), ("assistant", "</turn>"), ("assistant", ""), ("assistant", "<assistant>")]
+    whole, where, texts, rewrites = text_spans(turns, tail, "assistant".__eq__, lambda t: t)
+    assert not rewrites and texts[0] is None and [whole[a:b] for a, b in texts[1:]] == [t for _, t in turns[1:]]
+    assert [a - s for (a, _), (s, _) in zip(texts[1:], where[1:], strict=True)] == [11] * 4
+    silent = lambda ts: "".join(f"<{r}>" for r, _ in ts)
+    assert [a == b for a, b in text_spans(turns, silent, "assistant".__eq__, lambda t: t)[2][1:]] == [True] * 4
 
 
 def test_rewriting_template_is_flagged_and_empty_table(spark):

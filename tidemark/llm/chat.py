@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +40,14 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(\\|### |</turn>|n|:)", lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
+@lru_cache(maxsize=4096)
+def _turn(role: str, text: str) -> str:
+    return f"{HEAD}{escape_role(role)}:\n{escape(text)}{CLOSE}"
+
+
 def turn_template(turns: list[tuple[str, str]]) -> str:
     """``### role:``, the text and ``</turn>``, with control strings escaped."""
-    return "".join(f"{HEAD}{escape_role(role)}:\n{escape(text)}{CLOSE}" for role, text in turns)
+    return "".join([_turn(role, text) for role, text in turns])
 
 
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -56,39 +62,46 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-LONG_TURNS = 128
-
-
 def spans(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[tuple[int, int]], bool]:
     """The whole output, the span of each turn in it, and whether some turn rewrote history.
 
-    Prefixes are rendered one after another.  While the last output stays as it is, the new turn's
-    span is what follows it.  Where it changes, the outputs' common head is the history kept so far:
-    spans that reach beyond it are cut there, the new turn's starts there, and the flag is set.
-    Rendering all prefixes is quadratic, so a conversation of more than ``LONG_TURNS`` turns is tried
-    in runs of that many first; the runs count if together they give the output of the whole.
+    Every prefix is rendered.  While the last output stays as it is, the new turn's span is what
+    follows it.  Where it changes, the outputs' common head is the history kept so far: spans that
+    reach beyond it are cut there, the new turn's starts there, and the flag is set.
     """
-    if len(turns) > LONG_TURNS:
-        whole, found, at = template(turns), [], 0
-        for k in range(0, len(turns), LONG_TURNS):
-            piece, where, rewrites = spans(turns[k : k + LONG_TURNS], template)
-            if rewrites or not whole.startswith(piece, at):
-                break
-            found += [(at + a, at + b) for a, b in where]
-            at += len(piece)
-        else:
-            if at == len(whole):
-                return whole, found, False
-    before, found, rewrites = template([]), [], False
-    for k in range(len(turns)):
+    whole, found, _, rewrites = text_spans(turns, template, lambda role: False, escape)
+    return whole, found, rewrites
+
+
+def text_spans(turns: list[tuple[str, str]], template: Template, wanted: Callable[[str], bool], encode: Callable[[str], str]) -> tuple[str, list[tuple[int, int]], list[tuple[int, int] | None], bool]:
+    """``spans`` with the place of each wanted role's text: the turn is rendered with a mark in place of the
+    text too, and the text stands where the mark does.  A template that shows the mark elsewhere as well, or
+    treats other texts otherwise, is rendered with an empty text: what the outputs don't share is the text."""
+    before, found, texts, rewrites = template([]), [], [], False
+    for k, (role, text) in enumerate(turns):
         now = template(turns[: k + 1])
         kept = len(before)
         if not now.startswith(before):
             rewrites, kept = True, _common(before, now)
             found = [(min(a, kept), min(b, kept)) for a, b in found]
+            texts = [t and (min(t[0], kept), min(t[1], kept)) for t in texts]
         found.append((kept, len(now)))
+        texts.append(_text_place(now, kept, lambda said, k=k, role=role: template([*turns[:k], (role, said)]), encode(text)) if wanted(role) else None)
         before = now
-    return before, found, rewrites
+    return before, found, texts, rewrites
+
+
+MARK = "\ue000"
+
+
+def _text_place(now: str, kept: int, render: Callable[[str], str], shown: str) -> tuple[int, int]:
+    marked = render(MARK)
+    at = marked.find(MARK, kept)
+    if at >= 0 and marked.count(MARK, kept) == 1 and len(marked) - len(MARK) + len(shown) == len(now) and now.startswith(shown, at):
+        return at, at + len(shown)
+    empty = render("")
+    head, more = _common(now, empty), max(0, len(now) - len(empty))
+    return min(head, len(now) - more), min(head, len(now) - more) + more
 
 
 def _common(a: str, b: str) -> int:
@@ -105,8 +118,8 @@ def format_conversations(turns: DataFrame, template: Template = turn_template, e
 
     Turns are in order of ``turn``, nulls first, then role and text; a null role or text is empty; a
     null conv_id is a conversation.  A conversation's rows are needed together, as its output is one
-    value.  ``encode`` is what the template does to a text; the last place of that in a turn's span is
-    the text under the loss mask (none where a template leaves the text out).
+    value.  ``encode`` is what the template does to a text; the text under the loss mask is found by
+    rendering (an empty span where a template leaves the text out).
     """
     names = {"conv_id": conv_id, "turn": turn, "role": role, "text": text}
     rows = turns.select(*[F.col(c).alias(n) for n, c in names.items()])
@@ -118,13 +131,8 @@ def format_conversations(turns: DataFrame, template: Template = turn_template, e
             out = []
             for conv, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 pairs = [(t["role"], t["text"]) for t in said]
-                whole, where, rewrites = spans(pairs, template)
-                loss = []
-                for (who, words), (a, b) in zip(pairs, where, strict=True):
-                    if who == "assistant":
-                        shown = encode(words)
-                        at = whole.index(":\n", a, b) + 2 if template is turn_template else whole.rfind(shown, a, b)
-                        loss.append((at, at + len(shown)) if at >= 0 else (a, a))
+                whole, where, texts, rewrites = text_spans(pairs, template, "assistant".__eq__, encode)
+                loss = [t for t in texts if t]
                 pick = lambda s: [{"start": x, "end": y} for x, y in s]
                 out.append((conv, whole, pick(where), pick(loss), rewrites))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
