@@ -24,6 +24,8 @@ def amount_coverage(members: DataFrame, amounts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"), F.avg(F.col("amount").isNotNull().cast("double")).alias("amount_coverage"),
         F.min("trade_date").alias("first_bar"), F.max("trade_date").alias("last_bar"),
     )
+    if "provider" in amounts.columns:
+        seen = seen.join(amounts.groupBy("symbol").agg(F.max("provider").alias("provider")), "symbol")
     keep = [c for c in ("shard", "cohort", "exchange") if c in members.columns]
     return members.select("symbol", *keep).join(seen, "symbol", "left").withColumns({
         "row_count": F.coalesce("row_count", F.lit(0)), "amount_coverage": F.coalesce("amount_coverage", F.lit(0.0)),
@@ -39,6 +41,12 @@ def archive_summary(coverage: DataFrame, keys: list[str] | None = None) -> DataF
     ).withColumn("success_rate", F.col("success_count") / F.col("symbol_count")).withColumn("passed", F.col("success_rate") >= MIN_SUCCESS)
 
 
+def provider_counts(coverage: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Successful symbols per provider (``unknown`` where none is named) and shard."""
+    keys = ["shard"] if keys is None else keys
+    return coverage.where("success").groupBy(*keys, F.coalesce("provider", F.lit("unknown")).alias("provider")).agg(F.count(F.lit(1)).alias("symbols"))
+
+
 def failed_symbols(coverage: DataFrame) -> DataFrame:
     """The failed names as rows, so that their number is not limited by one cell."""
     return coverage.where(~F.col("success")).select("symbol")
@@ -156,6 +164,12 @@ def fundamental_summary(snapshot: DataFrame, failures: DataFrame) -> DataFrame:
     return good.join(F.broadcast(bad)).withColumn("requested_count", F.col("success_count") + F.col("failure_count"))
 
 
+def source_counts(requested: DataFrame, facts: DataFrame) -> DataFrame:
+    """Requested symbols per source of their newest fact; ``none`` counts those without facts."""
+    newest = facts.groupBy("symbol").agg(F.max(F.struct("available_at", "source")).alias("_r")).select("symbol", F.col("_r.source").alias("source"))
+    return requested.select("symbol").distinct().join(newest, "symbol", "left").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count(F.lit(1)).alias("symbols"))
+
+
 def selection_summary(ranking: DataFrame, exclusions: DataFrame, failures: DataFrame, top_n: int) -> DataFrame:
     """Counts of ranked, selected, excluded and failed names."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
@@ -174,6 +188,14 @@ def lifecycle_inventory(lifecycle: DataFrame) -> DataFrame:
     )
 
 
+def transition_counts(changes: DataFrame) -> DataFrame:
+    """Name changes, ST transitions among them and their symbols per source."""
+    return changes.groupBy("source").agg(
+        F.count(F.lit(1)).alias("name_change_rows"), F.count_if("st_transition").alias("st_transition_rows"),
+        F.count_distinct(F.when(F.col("st_transition"), F.col("symbol"))).alias("st_transition_symbols"),
+    )
+
+
 def event_counts(announcements: DataFrame) -> DataFrame:
     """Announcements per event class with the exchange guessed from the code."""
     head = F.substring("symbol", 1, 1)

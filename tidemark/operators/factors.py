@@ -196,15 +196,16 @@ def factor_panel(
 ) -> DataFrame:
     """W1-W6 for every (symbol, trade_date) in one pass, with the F1 reason per row.
 
-    All windows share one partitioning and order, so the bars are shuffled and sorted once.
+    All windows share one partitioning and order, so the bars are shuffled and sorted once.  Bars that
+    are a part of a longer history carry their number in it as ``bar_no``.
     """
     w = by_symbol()
     names = [f for f in FACTORS if f != "max_drawdown_60"] + list(extra or [])
-    df = daily_returns(bars.select("symbol", "trade_date", "close", "amount"))
+    numbered = bars if "bar_no" in bars.columns else bars.withColumn("bar_no", F.row_number().over(w))
+    df = daily_returns(numbered.select("symbol", "trade_date", "close", "amount", "bar_no"))
     df = rolling_drawdown(df)
     df = df.select(
-        "symbol", "trade_date", "close", "previous_close", "max_drawdown_60",
-        F.row_number().over(w).alias("bar_no"),
+        "symbol", "trade_date", "close", "previous_close", "max_drawdown_60", "bar_no",
         F.avg("amount").over(trailing(w, 20)).alias("average_amount_20"),
         *[_REGISTRY[name](w).alias(name) for name in names],
     )
@@ -229,6 +230,47 @@ def factor_panel(
     return df.withColumn("reason", reason)
 
 
+# --- the panel kept up day by day: 61 bars a symbol are all that a new row looks at ------------------
+
+TAIL = ["symbol", "trade_date", "close", "amount", "bar_no"]
+
+
+def panel_tail(bars: DataFrame) -> DataFrame:
+    """The last MIN_BARS bars of each symbol, numbered as in its whole history; ``bars`` may be numbered already."""
+    w = by_symbol()
+    numbered = bars if "bar_no" in bars.columns else bars.withColumn("bar_no", F.row_number().over(w))
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("trade_date").desc()))
+    return numbered.select(*TAIL, back.alias("_back")).where(F.col("_back") <= MIN_BARS).drop("_back")
+
+
+def extend_panel(tail: DataFrame, fresh: DataFrame, **gates) -> tuple[DataFrame, DataFrame]:
+    """(panel rows of the fresh bars, the tail after them).  ``fresh`` are bars later than their symbol's tail,
+    one per (symbol, day); nothing but they and the tail is read."""
+    ends = tail.groupBy("symbol").agg(F.max("bar_no").alias("_end"))
+    own = F.row_number().over(by_symbol())
+    added = fresh.select("symbol", "trade_date", "close", "amount").withColumn("_no", own).join(ends, "symbol", "left").withColumn("bar_no", F.coalesce("_end", F.lit(0)) + F.col("_no"))
+    both = tail.join(fresh.select("symbol").distinct(), "symbol", "left_semi").select(*TAIL).unionByName(added.select(*TAIL))
+    rows = factor_panel(both, **gates).join(ends, "symbol", "left").where(F.col("bar_no") > F.coalesce("_end", F.lit(0))).drop("_end")
+    return rows, panel_tail(both)
+
+
+def changed_panel(bars: DataFrame, changed: DataFrame, **gates) -> DataFrame:
+    """Panel rows that corrected bars change: those up to MIN_BARS - 1 bars after a changed one.
+
+    ``bars`` hold the corrected history; ``changed`` is (symbol, trade_date, inserted).  A bar that was
+    inserted moves the numbers of all later ones, so all later rows of its symbol are made again.
+    """
+    w, reach = by_symbol(), MIN_BARS - 1
+    marks = changed.groupBy("symbol", "trade_date").agg(F.max("inserted").alias("_inserted"), F.lit(True).alias("_changed"))
+    of = bars.join(changed.select("symbol").distinct(), "symbol", "left_semi").withColumn("bar_no", F.row_number().over(w)).join(marks, ["symbol", "trade_date"], "left")
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    last, moved = F.max(F.when(F.col("_changed"), F.col("bar_no"))).over(before), F.max(F.coalesce("_inserted", F.lit(False))).over(before)
+    of = of.withColumn("_again", F.coalesce(F.col("bar_no") - last <= reach, F.lit(False)) | moved)
+    needed = of.withColumn("_needed", F.max("_again").over(w.rowsBetween(0, reach))).where("_needed")
+    again = needed.where("_again").select("symbol", "trade_date")
+    return factor_panel(needed.select(*TAIL), **gates).join(again, ["symbol", "trade_date"], "left_semi")
+
+
 def latest_bars(panel: DataFrame) -> DataFrame:
     """Last row per symbol, picked by aggregation (no second sort)."""
     others = [c for c in panel.columns if c != "symbol"]

@@ -500,16 +500,38 @@ def _(spark, sf):
     return rounded(A.scale_recommendation(A.amount_coverage(_sample(spark, sf), gappy_amounts(spark, sf))))
 
 
-@query("state_probe_summary", with_views(["lifecycle", "gap_amounts", "gap_states"], f"""SELECT count(*) AS sample_count, count(*) FILTER (WHERE n > 0) AS success_count, {r('avg(CAST(n > 0 AS INTEGER))')} AS success_rate, {r('avg(a) FILTER (WHERE n > 0)')} AS mean_amount_coverage FROM (
-    SELECT s.symbol, count(t.symbol) AS n, count(g.amount) / nullif(count(t.symbol), 0) AS a FROM sample s LEFT JOIN gap_states t USING (symbol) LEFT JOIN gappy g ON g.symbol = t.symbol AND g.trade_date = t.trade_date GROUP BY 1)""", _PROBE))
+_PROBED = {**_PROBE,
+    "probed": """SELECT s.symbol, count(t.symbol) AS n, coalesce(count(g.amount) / nullif(count(t.symbol), 0), 0) AS a, coalesce(count(t.is_st) / nullif(count(t.symbol), 0), 0) AS st, coalesce(count(t.trade_status) / nullif(count(t.symbol), 0), 0) AS ts
+        FROM sample s LEFT JOIN gap_states t USING (symbol) LEFT JOIN gappy g ON g.symbol = t.symbol AND g.trade_date = t.trade_date GROUP BY 1""",
+    "seen": "SELECT trade_date, count(DISTINCT symbol) AS o FROM gap_states GROUP BY 1",
+    "due": """SELECT c.trade_date, count(l.symbol) AS m FROM seen c LEFT JOIN (SELECT * FROM lifecycle WHERE exchange IN ('SSE','SZSE')) l ON l.list_date <= c.trade_date AND (l.delist_date IS NULL OR l.delist_date > c.trade_date) GROUP BY 1""",
+    "told": """SELECT count(*) AS sample_count, count(*) FILTER (WHERE n > 0) AS success_count, avg(CAST(n > 0 AS INTEGER)) AS success_rate, coalesce(avg(st) FILTER (WHERE n > 0), 0) AS mean_is_st_coverage, coalesce(avg(a) FILTER (WHERE n > 0), 0) AS mean_amount_coverage,
+        coalesce(avg(ts) FILTER (WHERE n > 0), 0) AS mean_trade_status_coverage, (SELECT max(abs((o - m) / nullif(m, 0))) FROM seen JOIN due USING (trade_date)) AS max_membership_gap, (SELECT count(*) FROM seen) AS membership_dates FROM probed""",
+}
+
+
+@query("state_probe_summary", with_views(["lifecycle", "gap_amounts", "gap_states"], f"""SELECT sample_count, success_count, {", ".join(f"{r(c)} AS {c}" for c in ("success_rate", "mean_is_st_coverage", "mean_amount_coverage", "mean_trade_status_coverage", "max_membership_gap"))}, membership_dates,
+    CASE WHEN success_rate >= 0.95 AND mean_is_st_coverage >= 0.99 AND max_membership_gap <= 0.05 THEN 'promising_independent_state_source' ELSE 'needs_more_validation' END AS recommendation FROM told""", _PROBED))
 def _(spark, sf):
     from tidemark.operators.universe import membership_calendar, membership_crosscheck
 
     history = V.gap_states(spark, sf).join(gappy_amounts(spark, sf), ["symbol", "trade_date"], "left")
     counts = V.gap_states(spark, sf).groupBy("trade_date").agg(F.count_distinct("symbol").alias("observed_count"))
     gap = membership_crosscheck(counts, membership_calendar(V.lifecycle(spark, sf), counts))
-    out = A.state_probe_summary(A.probe_detail(_sample(spark, sf), history), gap)
-    return rounded(out.select("sample_count", "success_count", "success_rate", "mean_amount_coverage"))
+    return rounded(A.state_probe_summary(A.probe_detail(_sample(spark, sf), history), gap))
+
+
+@query("provider_counts", with_views(["lifecycle", "archive_amounts"], """SELECT shard, CASE WHEN k < 5 THEN 'p' || CAST(k AS VARCHAR) ELSE 'unknown' END AS provider, count(*) AS symbols FROM (SELECT symbol, shard, CAST(symbol AS BIGINT) % 6 AS k FROM memb
+    WHERE symbol IN (SELECT symbol FROM archive_amounts WHERE amount IS NOT NULL)) GROUP BY 1, 2""", {"memb": _MEMB}))
+def _(spark, sf):
+    k = F.col("symbol").cast("long") % 6
+    sent = V.archive_amounts(spark, sf).withColumn("provider", F.when(k < 5, F.concat(F.lit("p"), k.cast("string"))))
+    return A.provider_counts(A.amount_coverage(A.shard_lifecycle(V.lifecycle(spark, sf), 8, *PERIOD), sent))
+
+
+@query("transition_counts", with_views(["name_changes"], "SELECT source, count(*) AS name_change_rows, count(*) FILTER (WHERE st_transition) AS st_transition_rows, count(DISTINCT symbol) FILTER (WHERE st_transition) AS st_transition_symbols FROM name_changes GROUP BY 1"))
+def _(spark, sf):
+    return A.transition_counts(V.name_changes(spark, sf))
 
 
 @query("lifecycle_inventory", with_views(["lifecycle"], f"""SELECT exchange, count(*) AS symbol_count, count(*) FILTER (WHERE currently_listed) AS current_count, count(*) FILTER (WHERE NOT currently_listed) AS delisted_count, {r('avg(CAST(list_date IS NOT NULL AS INTEGER))')} AS list_date_coverage,
@@ -532,9 +554,13 @@ def _(spark, sf):
 
 def sharded_rows(spark, sf):
     """Quarter amounts split over 8 shards; a few symbols sit in two shards."""
+    return _sharded(_blanked(V.archive_amounts(spark, sf)))
+
+
+def _sharded(rows):
     from tidemark.functions.symbols import hash_shard
 
-    a = gappy_amounts(spark, sf).withColumn("shard_index", hash_shard(F.col("symbol"), 8))
+    a = rows.withColumn("shard_index", hash_shard(F.col("symbol"), 8))
     twice = a.where(F.col("symbol").cast("long") % 29 == 5).withColumn("shard_index", (F.col("shard_index") + 1) % 8)
     return a.unionByName(twice)
 
@@ -545,11 +571,12 @@ def shard_summaries(spark, sf):
     return s.select(F.col("shard").alias("shard_index"), F.lit(8).alias("shard_count"), "symbol_count", "success_count", "success_rate", F.lit(PERIOD[0]).alias("period_start"), end.alias("period_end"))
 
 
-_SHARD = {**_COV, "rows_": "SELECT *, CAST(CAST('0x' || substr(sha256(symbol), 1, 16) AS HUGEINT) % 8 AS INTEGER) AS sh FROM gappy",
+_BLANK = "SELECT symbol, trade_date, CASE WHEN NOT (CAST(symbol AS BIGINT) % 6 = 1 AND quarter(trade_date) = 1) THEN amount END AS amount FROM archive_amounts"
+_SHARD = {**_COV, "blank": _BLANK, "rows_": "SELECT *, CAST(CAST('0x' || substr(sha256(symbol), 1, 16) AS HUGEINT) % 8 AS INTEGER) AS sh FROM blank",
           "summ": "SELECT shard, count(*) AS n, count(*) FILTER (WHERE success) AS ok FROM cov GROUP BY 1"}
 
 
-@query("merge_shards_violations", with_views(["lifecycle", "archive_amounts"], """SELECT 'symbol_in_two_shards' AS rule, count(DISTINCT symbol) AS keys FROM rows_ WHERE CAST(symbol AS BIGINT) % 29 = 5 HAVING count(*) > 0
+@query("merge_shards_violations", with_views(["lifecycle", "archive_amounts", "gap_amounts"], """SELECT 'symbol_in_two_shards' AS rule, count(DISTINCT symbol) AS keys FROM rows_ WHERE CAST(symbol AS BIGINT) % 29 = 5 HAVING count(*) > 0
     UNION ALL SELECT 'duplicate_symbol_date', count(*) FROM rows_ WHERE CAST(symbol AS BIGINT) % 29 = 5 HAVING count(*) > 0
     UNION ALL SELECT 'null_amount', count(*) FROM (SELECT DISTINCT sh FROM (SELECT sh FROM rows_ WHERE amount IS NULL UNION ALL SELECT (sh + 1) % 8 FROM rows_ WHERE amount IS NULL AND CAST(symbol AS BIGINT) % 29 = 5)) HAVING count(*) > 0
     UNION ALL SELECT 'shard_below_success_rate', count(*) FROM summ WHERE ok / n < 0.95 HAVING count(*) > 0 UNION ALL SELECT 'shard_set_incomplete', 1 FROM summ HAVING count(*) <> 8
@@ -559,17 +586,38 @@ def _(spark, sf):
     return bad.groupBy("rule").agg(F.count(F.lit(1)).alias("keys"))
 
 
-@query("merge_shards", with_views(["archive_amounts"], "SELECT symbol, count(*) * CASE WHEN CAST(symbol AS BIGINT) % 29 = 5 THEN 2 ELSE 1 END AS rows FROM gappy GROUP BY 1", {"gappy": _GAPPY}))
+@query("merge_shards", with_views(["archive_amounts"], "SELECT symbol, count(*) * CASE WHEN CAST(symbol AS BIGINT) % 29 = 5 THEN 2 ELSE 1 END AS rows FROM archive_amounts GROUP BY 1"))
 def _(spark, sf):
     merged = A.merge_shards(sharded_rows(spark, sf), shard_summaries(spark, sf), 8).clean
     return merged.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("shard_overlap", with_views(["archive_amounts"], "SELECT DISTINCT symbol, CAST(2 AS BIGINT) AS shards FROM gappy WHERE CAST(symbol AS BIGINT) % 29 = 5", {"gappy": _GAPPY}))
+@query("shard_overlap", with_views(["archive_amounts"], "SELECT DISTINCT symbol, CAST(2 AS BIGINT) AS shards FROM archive_amounts WHERE CAST(symbol AS BIGINT) % 29 = 5"))
 def _(spark, sf):
     return A.shard_overlap(sharded_rows(spark, sf))
 
 
+def _state_shards(spark, sf):
+    """State rows over 8 shards (IO15); some closes are missing."""
+    states = V.archive_states(spark, sf).withColumn("close", F.when(F.col("symbol").cast("long") % 17 != 6, F.col("close")))
+    return A.merge_shards(_sharded(states), shard_summaries(spark, sf), 8, value="close")
+
+
+@query("merge_state_shards", with_views(["archive_states"], """SELECT symbol, m * count(*) AS rows, m * count(*) FILTER (WHERE is_st) AS st_rows, m * count(*) FILTER (WHERE NOT trade_status) AS suspended_rows, m * count(close) AS closes
+    FROM (SELECT symbol, is_st, trade_status, CASE WHEN CAST(symbol AS BIGINT) % 17 <> 6 THEN close END AS close, CASE WHEN CAST(symbol AS BIGINT) % 29 = 5 THEN 2 ELSE 1 END AS m FROM archive_states) GROUP BY symbol, m"""))
+def _(spark, sf):
+    return _state_shards(spark, sf).clean.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("is_st").alias("st_rows"), F.count_if(~F.col("trade_status")).alias("suspended_rows"), F.count("close").alias("closes"))
+
+
+@query("merge_state_shards_violations", with_views(["archive_states"], """SELECT 'null_close' AS rule, CAST(sh AS VARCHAR) AS key, count(*) AS rows FROM (SELECT unnest(CASE WHEN CAST(symbol AS BIGINT) % 29 = 5 THEN [sh, (sh + 1) % 8] ELSE [sh] END) AS sh
+        FROM (SELECT symbol, CAST(CAST('0x' || substr(sha256(symbol), 1, 16) AS HUGEINT) % 8 AS INTEGER) AS sh FROM archive_states WHERE CAST(symbol AS BIGINT) % 17 = 6)) GROUP BY 1, 2
+    UNION ALL SELECT 'symbol_in_two_shards', symbol, 2 FROM archive_states WHERE CAST(symbol AS BIGINT) % 29 = 5 GROUP BY symbol
+    UNION ALL SELECT 'duplicate_symbol_date', symbol || '|' || CAST(trade_date AS VARCHAR), 2 FROM archive_states WHERE CAST(symbol AS BIGINT) % 29 = 5"""))
+def _(spark, sf):
+    return _state_shards(spark, sf).violations.where(F.col("rule").isin("null_close", "symbol_in_two_shards", "duplicate_symbol_date"))
+
+
 def _lists(spark, sf):
     life, k = V.lifecycle(spark, sf), F.col("symbol").cast("long")
     current = life.where(F.col("currently_listed") | (k % 27 == 4)).select("symbol", "name", "exchange", "board", "list_date", F.lit(True).alias("currently_listed"))

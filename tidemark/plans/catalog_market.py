@@ -228,6 +228,18 @@ def _(spark, sf):
     return rounded(p.select("symbol", "trade_date", *_PANEL_COLS), 5)
 
 
+_SINCE = "2023-03-01"
+
+
+@query("factor_panel_extended", with_views(["panel"], f"SELECT symbol, trade_date, bar_no, {_PANEL_SQL} FROM panel WHERE {_ELIGIBLE} AND trade_date >= DATE '{_SINCE}'"))
+def _(spark, sf):
+    """Rows of later days made from each symbol's last 61 bars before them."""
+    bars = V.bars(spark, sf)
+    tail = W.panel_tail(bars.where(F.col("trade_date") < F.lit(_SINCE).cast("date")))
+    p, _ = W.extend_panel(tail, bars.where(F.col("trade_date") >= F.lit(_SINCE).cast("date")), **GATES)
+    return rounded(p.where(F.col("reason") == "eligible").select("symbol", "trade_date", F.col("bar_no").cast("long").alias("bar_no"), *_PANEL_COLS), 5)
+
+
 _LATEST = {"latest": f"SELECT *, 1 AS run FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM panel) WHERE rn = 1 AND {_ELIGIBLE}"}
 _SCORES = ", ".join(f"{r('score_' + f, 5)} AS score_{f}" for f in FACTOR_SQL)
 _PCT = "CASE WHEN n = 1 THEN 100.0 ELSE (n - rank) * 100.0 / (n - 1) END"

@@ -172,6 +172,11 @@ def _(spark, sf):
     return rounded(A.fundamental_summary(*P.fundamental_snapshot(_requested(spark, sf), V.facts(spark, sf), CUTOFF)))
 
 
+@query("source_counts", with_views(["facts"], """SELECT coalesce(source, 'none') AS source, count(*) AS symbols FROM requested LEFT JOIN (SELECT symbol, arg_max(source, (available_at, source)) AS source FROM facts GROUP BY 1) USING (symbol) GROUP BY 1""", {"requested": _REQ}))
+def _(spark, sf):
+    return A.source_counts(_requested(spark, sf), V.facts(spark, sf))
+
+
 @query("display_join", with_views(["facts"], f"SELECT q.symbol, {r('net_margin')} AS net_margin FROM requested q LEFT JOIN ratios USING (symbol)", {**_FUND, "requested": _REQ}))
 def _(spark, sf):
     wanted = _requested(spark, sf).distinct()

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rules import TradingRules
 from tidemark.operators.archive import build_lifecycle, selection_summary
-from tidemark.sources.scratch import settled
+from tidemark.operators.checks import latest_per_key
 from tidemark.operators.evidence import guarded_override
 from tidemark.operators.factors import CONFIG_V1, CONFIG_V2, ScoreConfig, attach_metadata, factor_engine, historical_rankings, strict_rankings
 from tidemark.operators.performance import rolling_blocks, rolling_summary
 from tidemark.operators.portfolio import portfolio_sweep, signal_fills, target_weight_equity
 from tidemark.operators.reconstruct import Reconstruction, amounts_with_recovery, reconstruct_candidates, recover_amounts
 from tidemark.operators.universe import drop_stale
+from tidemark.sources.scratch import settled
 
 
 class DailyRanking(NamedTuple):
@@ -58,7 +59,9 @@ def walk_forward(
         ranked, _ = strict_rankings(bars, candidates, config, **gates)
     ranked = settled(ranked)
     signals = settled(portfolio_sweep(ranked, etf_bars, configs))
-    market = bars.unionByName(etf_bars).dropDuplicates(["symbol", "trade_date"])
+    # a name in both tables is taken from the stock bars
+    both = etf_bars.withColumn("_side", F.lit(0)).unionByName(bars.withColumn("_side", F.lit(1)))
+    market = latest_per_key(both, ["symbol", "trade_date"], ["_side"]).drop("_side")
     keys = ["config_id"]
     fills = signal_fills(signals, market, capital, rules, keys=keys)
     equity = settled(target_weight_equity(signals, market, initial=capital, keys=keys))

@@ -14,11 +14,12 @@ from tidemark.functions.symbols import hash_shard, pad_symbol
 from tidemark.operators.archive import merge_shards
 from tidemark.operators.checks import Checked, DataQualityError, latest_per_key
 from tidemark.operators.evidence import DEPTH, FAN, append_plan, compare_snapshots, differing_leaves, hash_tree, key_leaf
-from tidemark.operators.factors import validate_bars
+from tidemark.operators.factors import changed_panel, extend_panel, factor_panel, panel_tail, validate_bars
 from tidemark.operators.normalize import FACT_KEY, validate_facts, validate_master
 from tidemark.operators.pit import merge_facts
 from tidemark.operators.reconstruct import Reconstruction
 from tidemark.sources.keyed import append_keyed, read_keyed
+from tidemark.sources.scratch import settled
 
 BUCKETS = 64
 _BUCKETED_BARS = T.StructType([*S.BARS.fields, T.StructField("bucket", T.IntegerType()), T.StructField("month", T.StringType())])
@@ -86,6 +87,49 @@ def upsert_bars(spark: SparkSession, incoming: DataFrame, root: str, buckets: in
     _write_buckets(_bucketed(merge_bars(old.select(*names), new.select(*names)), count), root, "overwrite")
 
 
+def build_panel(spark: SparkSession, bars_root: str, root: str, **gates) -> None:
+    """The factor panel of stored bars, by bucket and month, with each symbol's last bars beside it."""
+    count = stored_buckets(spark, bars_root)
+    bars = read_bars(spark, bars_root)
+    _write_buckets(_bucketed(factor_panel(bars, **gates), count), f"{root}/panel", "overwrite")
+    _write_tail(panel_tail(bars), f"{root}/tail", count)
+
+
+def _write_tail(tail: DataFrame, path: str, count: int) -> None:
+    by_bucket = tail.withColumn("bucket", hash_shard(F.col("symbol"), count))
+    by_bucket.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def update_panel(spark: SparkSession, incoming: DataFrame, bars_root: str, root: str, **gates) -> None:
+    """W1-W6 kept up: merge new bars into the stored ones and make only the panel rows that they change.
+
+    Bars later than their symbol's last one need its tail alone.  Symbols with a corrected or inserted bar
+    are read from the stored bars, and rows that a change can reach are made again.  Folders of other
+    buckets and months stay as they are.  Repeating an update changes nothing.
+    """
+    count = stored_buckets(spark, bars_root)
+    fresh = settled(_bucketed(validate_bars(incoming).require(), count))
+    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most the bucket count
+    tail = spark.read.parquet(f"{root}/tail").where(F.col("bucket").isin(touched)).drop("bucket")
+    ends = tail.groupBy("symbol").agg(F.max("trade_date").alias("_end"))
+    dated = fresh.drop("bucket", "month").join(ends, "symbol", "left").withColumn("_late", F.coalesce(F.col("trade_date") <= F.col("_end"), F.lit(False)))
+    stored = spark.read.schema(_BUCKETED_BARS).parquet(bars_root).where(F.col("bucket").isin(touched)).select("symbol", "trade_date", F.lit(True).alias("_stored"))
+    late = dated.where("_late").select("symbol", "trade_date").join(stored, ["symbol", "trade_date"], "left").select("symbol", "trade_date", F.col("_stored").isNull().alias("inserted"))
+    redone = settled(late.unionByName(dated.where("NOT _late").join(late.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "trade_date", F.lit(False).alias("inserted"))))
+    upsert_bars(spark, incoming, bars_root)
+    later = dated.where("NOT _late").join(redone.select("symbol").distinct(), "symbol", "left_anti")
+    rows, ended = extend_panel(tail, later, **gates)
+    if not redone.isEmpty():
+        bars = spark.read.schema(_BUCKETED_BARS).parquet(bars_root).where(F.col("bucket").isin(touched)).select(*S.BARS.names)
+        again = changed_panel(bars, redone, **gates)
+        rows = rows.unionByName(again)
+        ended = ended.unionByName(panel_tail(bars.join(redone.select("symbol").distinct(), "symbol", "left_semi")))
+    rows, ended = settled(_bucketed(rows, count)), settled(ended)
+    old = spark.read.parquet(f"{root}/panel").join(rows.select(*_PARTS).distinct(), _PARTS, "left_semi").join(rows.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
+    _write_buckets(old.select(*rows.columns).unionByName(rows), f"{root}/panel", "overwrite")
+    _write_tail(tail.join(ended.select("symbol").distinct(), "symbol", "left_anti").select(*ended.columns).unionByName(ended), f"{root}/tail", count)
+
+
 def upsert_facts(spark: SparkSession, incoming: DataFrame, root: str) -> Checked:
     """IO4: append facts with a new identity; a changed value under a known identity refuses all.
 
