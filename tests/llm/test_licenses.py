@@ -72,7 +72,8 @@ def test_plan_is_native_and_narrow(spark, capsys):
     assert not any(x in plan for x in ("Python", "Arrow", "Exchange hashpartitioning", "Join"))
 
 
-def test_refusals_and_empty_table(spark):
+def test_clashing_name_no_rules_and_empty_table(spark):
+    assert license_scan(documents(spark).withColumn("Licenses", F.lit(1))).columns[-2:] == ["Licenses", "licenses_"]
     with pytest.raises(ValueError):
-        license_scan(documents(spark).withColumn("licenses", F.lit(1)))
+        license_scan(documents(spark), using=[])
     assert license_digest(spark.createDataFrame([], DOCS)).collect() == []

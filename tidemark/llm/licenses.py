@@ -124,11 +124,12 @@ def license_scan(docs: DataFrame, text: str = "text", using: list[Rule] | None =
     """All columns of the table and ``licenses`` (see ``license_spans``), one row per row.
 
     Null and empty texts have no words and no spans; repeated rows each get their own; an empty table
-    stays empty; a column named ``licenses`` is refused.
+    stays empty.  Where the table has a column ``licenses``, the new one gets underscores until it is free.
     """
-    if "licenses" in docs.columns:
-        raise ValueError("rename the column licenses")
-    return docs.withColumn("licenses", license_spans(F.col(f"`{text}`"), using))
+    name = "licenses"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.withColumn(name, license_spans(F.col(f"`{text}`"), using))
 
 
 def _joined(labels: Column) -> Column:
