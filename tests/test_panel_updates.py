@@ -19,7 +19,8 @@ def _rows(r, symbol, days):
 
 
 def _bars(spark, rows):
-    return spark.createDataFrame(rows, "symbol string, trade_date date, open double, high double, low double, close double, volume double, amount double").select(*S.BARS.names)
+    names = ["symbol", "trade_date", "open", "high", "low", "close", "volume", "amount"]
+    return spark.createDataFrame([tuple(dict(zip(names, r, strict=True)).get(n) for n in S.BARS.names) for r in rows], S.BARS)
 
 
 def _same(got, want):
