@@ -67,7 +67,7 @@ def brute(rows):
         most[b] = max(most[b], n)
     out = []
     for doc_id, a, b, groups, links in made:
-        said = ";".join(",".join(map(str, a[x:z])) + "|" + ",".join(map(str, b[y:w])) for (x, y), (z, w) in zip([(0, 0), *groups[:-1]], groups, strict=True))
+        said = ";".join(",".join(map(str, a[x:z])) + "|" + ",".join(map(str, b[y:w])) for (x, y), (z, w) in zip([(0, 0), *groups][:-1], groups, strict=True))
         out.append((doc_id, len(a), len(b), len(groups), len(links), sum(counts[k] == most[k[1]] for k in links), sum(counts[k] for k in links), hashlib.sha256(said.encode()).hexdigest() if a else ""))
     return out, made
 
