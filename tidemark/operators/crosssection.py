@@ -5,7 +5,7 @@ counted by narrow ranges of their size, a step of the logarithm for either sign:
 up across tasks.  A quantile is selected by counting: the histogram names the range that holds its
 place, and only the different values of that range are put in order.  Ranks are ordered inside a range
 and shifted by the counts of the ranges before.  No whole cross-section is ever sorted or gathered, and
-nothing is written; a caller whose table is costly settles it first.
+only a row per key is written; a caller whose table is costly settles it first.
 
 NaN is a missing value and is read as NULL.
 """
@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import settled
+
 #: Ranges per doubling of a value.  They decide balance, never results.
 STEPS = 32
 _ZERO, _LARGEST = 2000, 4000
@@ -46,7 +48,8 @@ def rank_min(df: DataFrame, keys: list[str], value: str, out: str, *, descending
     order = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_last())
     rows = df.withColumn("_value", _known(F.col(value))).withColumn("_range", _range(F.col("_value"), steps or STEPS))
     group = Window.partitionBy(*keys)
-    sizes = rows.where(F.col("_range").isNotNull()).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    # counted, then dropped: a filter on the range itself would be pushed into the scores' own expressions, once for each mention
+    sizes = rows.groupBy(*keys, "_range").agg(F.count("_range").alias("_size")).where("_size > 0")
     sizes = sizes.withColumn("_before", F.sum("_size").over(group.orderBy(order("_range"))) - F.col("_size")).withColumn("_total", F.sum("_size").over(group)).drop("_size")
     ranked = _on(rows.withColumn("_in", F.rank().over(Window.partitionBy(*keys, "_range").orderBy(order("_value")))), sizes, [*keys, "_range"])
     known = F.col("_value").isNotNull()
@@ -90,23 +93,29 @@ def winsorized_zscores(df: DataFrame, keys: list[str], factors: list[str], lower
     """S1 for several factors at once: clip to quantiles, population z-score, 0 when flat.
 
     Moments are taken of the clipped value's place between the bounds, -1 to 1, so neither large nor
-    small values are lost, and mean and square come from one aggregate.
+    small values are lost, and mean and square come from one aggregate.  Bounds and moments, a row per
+    key, are settled; the table itself is read three times and not written.
     """
     if not 0.0 <= lower < upper <= 1.0:
         raise ValueError("need 0 <= lower < upper <= 1")
     rows = df.withColumns({f"_v_{f}": _known(F.col(f)) for f in factors})
     narrow = rows.select(*keys, *[F.col(f"_v_{f}").alias(f) for f in factors])
-    low, high = (lambda f: F.col(f"{f}_q0")), (lambda f: F.col(f"{f}_q1"))
+    parts = ("low", "high", "mid", "half")
 
     def place(value: Column, f: str) -> Column:
-        half = high(f) / 2 - low(f) / 2
-        clipped = F.least(F.greatest(value, low(f)), high(f))
-        return F.when(value.isNotNull(), F.when(half > 0, (clipped - (low(f) / 2 + high(f) / 2)) / half).otherwise(0.0))
-
-    bounds = quantile_columns(narrow, keys, factors, [lower, upper])
-    placed = _on(narrow, bounds, keys).select(*keys, *[place(F.col(f), f).alias(f) for f in factors])
-    moments = placed.groupBy(*keys).agg(*[x for f in factors for x in (F.avg(f).alias(f"_m_{f}"), F.avg(F.col(f) * F.col(f)).alias(f"_p_{f}"), (F.min(f) == F.max(f)).alias(f"_flat_{f}"))])
-    stats = _on(bounds, moments, keys)
-    spread = lambda f: F.sqrt(F.col(f"_p_{f}") - F.col(f"_m_{f}") * F.col(f"_m_{f}"))
-    z = lambda f: F.when(F.col(f"_v_{f}").isNotNull(), F.when(F.col(f"_flat_{f}") | ~(spread(f) > 0), 0.0).otherwise((place(F.col(f"_v_{f}"), f) - F.col(f"_m_{f}")) / spread(f)))
+        low, high, mid, half = (F.col(f"_{p}_{f}") for p in parts)
+        return F.when(value.isNotNull(), F.when(half > 0, (F.least(F.greatest(value, low), high) - mid) / half).otherwise(0.0))
+
+    quantiles = quantile_columns(narrow, keys, factors, [lower, upper])
+    ends = [(f, F.col(f"{f}_q0"), F.col(f"{f}_q1")) for f in factors]
+    bounds = settled(quantiles.select(*keys, *[x for f, low, high in ends for x in (low.alias(f"_low_{f}"), high.alias(f"_high_{f}"), (low / 2 + high / 2).alias(f"_mid_{f}"), (high / 2 - low / 2).alias(f"_half_{f}"))]))
+    # a row per value: one expression for all factors keeps the generated code small
+    listed = F.array(*[F.struct(F.lit(j).alias("_j"), place(F.col(f), f).alias("_v")) for j, f in enumerate(factors)])
+    placed = _on(narrow, bounds, keys).select(*keys, F.inline(listed)).where("_v IS NOT NULL")
+    moments = placed.groupBy(*keys, "_j").agg(F.avg("_v").alias("_m"), F.avg(F.col("_v") * F.col("_v")).alias("_p"))
+    # where the bounds differ, some value lies at either one; where they don't, all places are 0 and so is the spread
+    moments = moments.select(*keys, "_j", "_m", F.sqrt(F.greatest(F.lit(0.0), F.col("_p") - F.col("_m") * F.col("_m"))).alias("_s"))
+    moments = moments.groupBy(*keys).agg(*[F.max(F.when(F.col("_j") == j, F.col(c))).alias(f"{c}_{f}") for j, f in enumerate(factors) for c in ("_m", "_s")])
+    stats = settled(_on(bounds, moments, keys))
+    z = lambda f: F.when(F.col(f"_v_{f}").isNotNull(), F.when(F.col(f"_s_{f}") > 0, (place(F.col(f"_v_{f}"), f) - F.col(f"_m_{f}")) / F.col(f"_s_{f}")).otherwise(0.0))
     return _on(rows, stats, keys).select(*[F.col(c) for c in df.columns], *[z(f).alias(prefix + f) for f in factors])
