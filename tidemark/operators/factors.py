@@ -305,17 +305,15 @@ def _scored(rows: DataFrame, config: ScoreConfig, keys: list[str]) -> DataFrame:
     """``score_table`` of rows that are cheap to read and unique per (keys, symbol)."""
     names = [s.name for s in config.specs]
     zed = winsorized_zscores(rows, keys, names, config.lower, config.upper)
-    scored = zed.select(
-        *rows.columns, *[(F.col("z_" + s.name) * s.sign).alias("score_" + s.name) for s in config.specs]
-    )
+    # One-row arrays keep the optimiser from writing scores into every later mention of them.
+    signed = F.struct(*[(F.col("z_" + s.name) * s.sign).alias("score_" + s.name) for s in config.specs])
+    scored = zed.select(*rows.columns, F.inline(F.array(signed)))
     total = sum(s.weight for s in config.specs)
     have = sum((F.when(F.col("score_" + s.name).isNotNull(), s.weight).otherwise(0.0) for s in config.specs), F.lit(0.0))
     add = sum((F.coalesce(F.col("score_" + s.name), F.lit(0.0)) * s.weight for s in config.specs), F.lit(0.0))
     coverage = have / total
-    scored = scored.withColumn("factor_coverage", coverage).withColumn(
-        "composite_score",
-        F.when(F.col("factor_coverage") >= config.min_coverage - 1e-12, _composite(add, have, config.score_digits)),
-    )
+    composite = F.when(coverage >= config.min_coverage - 1e-12, _composite(add, have, config.score_digits))
+    scored = scored.select(*scored.columns, F.inline(F.array(F.struct(coverage.alias("factor_coverage"), composite.alias("composite_score")))))
     ranked = rank_min(scored, keys, "composite_score", "rank", count_out="_scored")
     pct = F.when(F.col("_scored") == 1, 100.0).otherwise(
         (F.col("_scored") - F.col("rank")) / (F.col("_scored") - 1) * 100.0
