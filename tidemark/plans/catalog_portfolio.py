@@ -10,14 +10,18 @@ from tidemark.operators import normalize as N
 from tidemark.operators import performance as Q
 from tidemark.operators import portfolio as P
 from tidemark.sources.scratch import settled
-from tidemark.plans.oracle_views import with_views
+from tidemark.plans.oracle_views import VIEWS, with_views
 from tidemark.plans.registry import query, r, rounded
 from tidemark.sources import views as V
 
 # --- rankings to signals ----------------------------------------------------------------------
 
 
-@query("validate_rankings", with_views(["rankings"], "SELECT as_of, symbol, rank FROM rankings WHERE rank IS NOT NULL AND close > 0 AND momentum_20 IS NOT NULL AND trend_close_ma20 IS NOT NULL"))
+# amounts are added as decimals: a sum of doubles depends on its order, which would decide between equal amounts
+_EXACT = VIEWS["rankings"].replace("sum(amount) AS amount", "CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount")
+
+
+@query("validate_rankings", with_views(["bars", "lifecycle"], "SELECT as_of, symbol, rank FROM rankings WHERE rank IS NOT NULL AND close > 0 AND momentum_20 IS NOT NULL AND trend_close_ma20 IS NOT NULL", {"rankings": _EXACT}))
 def _(spark, sf):
     return N.validate_rankings(settled(V.rankings(spark, sf))).select("as_of", "symbol", "rank")
 
