@@ -1,6 +1,6 @@
 import re
 
-from llm_fixtures import documents, edge_documents, words
+from llm_fixtures import DOCS, documents, edge_documents, words
 
 from tidemark.llm.jaccard import Bands, components, jaccard_components, parities, signatures
 
@@ -42,6 +42,19 @@ def family():
     return rows + [(1200 + k, changed(short, [k]), None, None, 1) for k in range(14)] + [(1300, short, None, None, 1), (1301, short + " more", None, None, 1)]
 
 
+def test_sets_that_meet_only_behind_another_of_their_run(spark):
+    """All signatures that x and y share are also a's, which is like neither and stands before x in the same run."""
+    rows = []
+    for k, (n, seed) in enumerate([(22, 80), (24, 16), (24, 84), (26, 46), (30, 4), (30, 30), (34, 392), (22, 119)]):
+        w = words(n, seed).split()
+        a = ["odd", *w[1:-1], "last"] if seed % 2 else [*w[:-2], "odd", "last"]
+        rows += [(10 * k + j, " ".join(t), "en", "a", 1) for j, t in enumerate((a, w, [*w[:-1], "other"]))]
+    rows.sort(key=lambda r: (r[0] % 10 == 2, r[0]))  # eight rows a run: each x behind its a, every y in the last
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), DOCS)
+    got = jaccard_components(docs)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows)
+
+
 def test_equals_brute_force(spark):
     rows = edge_documents() + family()
     got = jaccard_components(documents(spark, rows, extra=True))

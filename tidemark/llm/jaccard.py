@@ -151,8 +151,9 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
 
 def _scan(docs: DataFrame, shingle: int, percent: int, blocks: int) -> DataFrame:
-    """Per run of rows: ``docs`` (node, size, two set hashes, first node with the same set), ``local``
-    (signatures that several of its sets share) and ``sigs`` (each signature once, by block)."""
+    """Per run of rows: ``docs`` (node, size, two set hashes, first node with the same set) and ``sigs`` (the
+    signatures of its different sets, by block).  A set whose signature another one of the run has is sent
+    too: the first need not be similar to it, and a set of another run may meet it only there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, base = Bands(percent), TaskContext.get().partitionId() << 40
@@ -183,19 +184,10 @@ def _scan(docs: DataFrame, shingle: int, percent: int, blocks: int) -> DataFrame
                 sig, owner = np.concatenate(found), np.concatenate(owner)
                 order, ordered, cuts = block_slices(sig, blocks)
                 owner = owner[order]
-                starts = groups_of(ordered)
-                n = np.diff(starts)
-                first = owner[starts[:-1]]  # the smallest, as rows are in order and the sort is stable
-                many = np.repeat(n > 1, n)
-                if many.any():
-                    sig, of, of_first, weight = _collapsed(ordered[many], owner[many], np.repeat(first, n)[many])
-                    yield _packed("local", -1, sig, of, np.stack([of_first, weight]))
-                alone, nodes = ordered[starts[:-1]], first
-                at_block = np.searchsorted(starts[:-1], cuts)
                 for b in range(blocks):
-                    if at_block[b] < at_block[b + 1]:
-                        part = slice(at_block[b], at_block[b + 1])
-                        yield _packed("sigs", b, *_squeezed(alone[part], nodes[part]))
+                    if cuts[b] < cuts[b + 1]:
+                        part = slice(cuts[b], cuts[b + 1])
+                        yield _packed("sigs", b, *_squeezed(ordered[part], owner[part]))
 
     return docs.mapInArrow(run, PACKED)
 
@@ -243,7 +235,7 @@ def _as_groups(sig: np.ndarray, node: np.ndarray, first: np.ndarray, weight: np.
 
 
 def _groups_of_block(table: pa.Table) -> pa.Table:
-    """Signatures of a block that come from several runs, with all their nodes and the smallest."""
+    """Signatures of a block that several sets have, with all their nodes and the smallest."""
     parts = [_opened(*(x.as_py() for x in row)) for row in zip(*(table.column(c) for c in "abc"), strict=True)]
     sig, node = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((node, sig))
@@ -254,13 +246,6 @@ def _groups_of_block(table: pa.Table) -> pa.Table:
     return pa.table(_as_groups(*_collapsed(sig[many], node[many], np.repeat(node[starts[:-1]], n)[many])))
 
 
-def _local_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in range(batch.num_rows):
-            sig, node, rest = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in (2, 3, 4))
-            yield pa.RecordBatch.from_pydict(_as_groups(sig, node, *rest.reshape(2, -1)))
-
-
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
@@ -371,8 +356,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     scan = lambda kind: kinds.where(F.col("kind") == kind).select("kind", "block", "a", "b", "c", "ids", "marks")
     every = kept(scan("docs").mapInArrow(_unpack, NODES), "nodes")
     nodes = every.where("node = rep")
-    groups = scan("sigs").select("block", "a", "b", "c").groupBy("block").applyInArrow(_groups_of_block, GROUPS)
-    groups = kept(groups.unionByName(scan("local").mapInArrow(_local_groups, GROUPS)), "groups")
+    groups = kept(scan("sigs").select("block", "a", "b", "c").groupBy("block").applyInArrow(_groups_of_block, GROUPS), "groups")
     drop(path)
     star = kept(groups.where("node != first").groupBy("first", "node").agg(F.sum("weight").alias("shared")), "star")
     best = kept(star.groupBy("node").agg(F.max_by("first", F.struct("shared", -F.col("first"))).alias("first")), "best").select(F.col("first").alias("a"), F.col("node").alias("b"))
