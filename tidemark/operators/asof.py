@@ -126,34 +126,22 @@ def mark_to_market(
 def panel_as_of(panel: DataFrame, dates: DataFrame, payload: list[str]) -> DataFrame:
     """Last panel row of every symbol on or before each date, without a dates-by-symbols join.
 
-    Each panel row owns the dates up to the symbol's next row; those are generated from the
-    position of dates in the sorted date list (bounded by the calendar).
+    Each panel row owns the dates up to the symbol's next row; those are generated from the position of dates in
+    the sorted date list.  That list, and the days it covers, are bounded by the calendar and go to every task, so
+    panel rows are only dealt by symbol; bars before the first date are read as of that date.
     """
-    numbered = dates.select(F.col("trade_date").alias("as_of")).distinct().withColumn(
-        "_no", F.row_number().over(Window.orderBy("as_of"))
-    )
-    total = numbered.agg(F.count(F.lit(1)).cast("int").alias("_total"))
-    # position of the first asked date at or after each panel date
-    days = panel.select("trade_date").distinct()
-    both = days.select(F.col("trade_date").alias("_d"), F.lit(None).cast("int").alias("_no")).unionByName(
-        numbered.select(F.col("as_of").alias("_d"), "_no")
-    )
-    back = Window.orderBy(F.col("_d").desc(), F.col("_no").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    first_no = (
-        both.withColumn("_first", F.last("_no", ignorenulls=True).over(back)).groupBy("_d").agg(F.min("_first").alias("_first"))
-    )
+    numbered = dates.select(F.col("trade_date").alias("as_of")).distinct().withColumn("_no", F.row_number().over(Window.orderBy("as_of")))
+    ends = numbered.agg(F.min("as_of").alias("_least"), F.max("as_of").alias("_most"), F.count(F.lit(1)).cast("int").alias("_total"))
+    # a day belongs to the first asked date at or after it
+    start = F.coalesce(F.date_add(F.lag("as_of").over(Window.orderBy("as_of")), 1), F.col("as_of"))
+    first_no = numbered.withColumn("_start", start).select(F.explode(F.sequence("_start", "as_of")).alias("_day"), F.col("_no").alias("_first"))
     w = Window.partitionBy("symbol").orderBy("trade_date")
     placed = (
-        panel.select("symbol", "trade_date", *payload)
-        .join(first_no.withColumnRenamed("_d", "trade_date"), "trade_date")
-        .withColumn("_next", F.lead("_first").over(w)).withColumn("_has_next", F.lead("trade_date").over(w).isNotNull())
-        .join(F.broadcast(total))
+        panel.select("symbol", "trade_date", *payload).join(F.broadcast(ends)).where(F.col("trade_date") <= F.col("_most"))
+        .withColumn("_day", F.greatest("trade_date", "_least")).join(F.broadcast(first_no), "_day")
+        .withColumn("_until", F.coalesce(F.lead("_first").over(w) - 1, F.col("_total")))
     )
-    until = F.when(F.col("_has_next") & F.col("_next").isNotNull(), F.col("_next") - 1).otherwise(F.col("_total"))
-    spans = placed.withColumn("_until", until).where(F.col("_first").isNotNull() & (F.col("_first") <= F.col("_until")))
     return (
-        spans.withColumn("_no", F.explode(F.sequence("_first", "_until"))).join(numbered, "_no")
+        placed.where(F.col("_first") <= F.col("_until")).withColumn("_no", F.explode(F.sequence("_first", "_until"))).join(F.broadcast(numbered), "_no")
         .select("as_of", "symbol", F.col("trade_date").alias("bar_date"), *payload)
     )
-
-
