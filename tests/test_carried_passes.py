@@ -30,3 +30,13 @@ def test_days_are_those_of_the_bars(spark, monkeypatch):
     bars = spark.createDataFrame([(s, day + dt.timedelta(n), 10.0 + n % 7 + len(s), 1e9) for s in ("A", "BB") for n in range(70)], "symbol string, trade_date date, close double, amount double")
     assert factors.historical_rankings(bars).count() > 0
     assert seen and not any("MapInArrow" in p for p in seen)
+
+
+def test_carried_rows_are_ranked_by_their_score_alone(spark, monkeypatch):
+    seen, plain = [], factors.rank_min
+    monkeypatch.setattr(factors, "rank_min", lambda df, *a, **k: seen.append(df) or plain(df, *a, **k))
+    day = dt.date(2024, 1, 1)
+    bars = spark.createDataFrame([(s, day + dt.timedelta(n), 10.0 + n % 7 + len(s), 1e9) for s in ("A", "BB") for n in range(70) if s == "A" or n != 65], "symbol string, trade_date date, close double, amount double")
+    factors.historical_rankings(bars)
+    carried = [r.asDict() for r in seen[0].where("as_of IS NULL").collect()]
+    assert len(carried) == 1 and {c for c, v in carried[0].items() if v is not None} == {"_day", "composite_score"}
