@@ -111,6 +111,21 @@ def test_compare_snapshots_tolerance(spark):
     assert rows(E.compare_snapshots(a, b, ["s"], ["v"], ["t"]), "s", "verdict") == [("2", "differs:v,t"), ("4", "missing_in_stored")]
 
 
+def test_ranges_read_each_snapshot_once_for_all_levels(spark):
+    """Once for the tree and once for the rows of ranges that differ."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    a = spark.range(100).selectExpr("cast(id as string) AS s", "cast(id as double) AS v", "'x' AS t")
+    b = a.where("s != '7'").mapInArrow(counted, a.schema)
+    assert rows(E.compare_by_ranges(a, b, ["s"], ["v"], ["t"]), "s", "verdict") == [("7", "missing_in_new")]
+    assert read.value <= 2 * 99
+
+
 @pytest.mark.parametrize("have,due,status", [
     ("2 3 4", "1 2 3 4 5", "complete"), ("2 4", "2 3 4", "gap"), ("2 3 6", "2 3 5", "invalid_nontrading_evidence"), ("", "2 3", "no_evidence"),
 ])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import after_close_gate, gate_open
 from tidemark.operators.checks import Checked
 from tidemark.schema import MASTER_STATE, REQUIRED_EXCHANGES
+from tidemark.sources.scratch import settled
 
 
 def row_digest(columns: list[str]) -> Column:
@@ -239,9 +240,10 @@ def compare_by_ranges(
 ) -> DataFrame:
     """E5 for large snapshots that mostly agree: only rows of key ranges with different digests are joined.
 
-    Equal digests mean equal rows; in the others ``compare_snapshots`` decides, tolerance included.
+    Equal digests mean equal rows; in the others ``compare_snapshots`` decides, tolerance included.  Each
+    snapshot is read once for its tree, whose levels are then read one by one, and once for what differs.
     """
-    trees = [hash_tree(x, keys, [*numbers, *others], fan, depth) for x in (stored, fresh)]
+    trees = [settled(hash_tree(x, keys, [*numbers, *others], fan, depth)) for x in (stored, fresh)]
     leaves = differing_leaves(*trees, fan, depth)
     some = key_leaf(keys, fan, depth).isin(leaves) if leaves else F.lit(False)
     return compare_snapshots(stored.where(some), fresh.where(some), keys, numbers, others, **tolerance)

@@ -12,6 +12,7 @@ from tidemark.plans.catalog_market import GATES
 from tidemark.plans.oracle_views import V1, scored, with_views
 from tidemark.plans.registry import query, r, rounded
 from tidemark.sources import views as V
+from tidemark.sources.scratch import settled
 
 LIMIT, FLOOR = 3, 100000.0
 
@@ -74,8 +75,8 @@ _COMPARED = with_views(["spot"], """SELECT symbol, CASE WHEN k % 7 = 0 THEN 'mis
     FROM (SELECT symbol, CAST(symbol AS BIGINT) AS k FROM spot) WHERE k % 7 < 4""")
 
 
-def _two_snapshots(spark, sf):
-    s, k = V.spot(spark, sf), F.col("symbol").cast("long") % 7
+def _two_snapshots(s):
+    k = F.col("symbol").cast("long") % 7
     stored = s.where(k != 1)
     fresh = s.where(k != 0).withColumns({
         "amount": F.when(k == 2, F.col("amount") * 1.0001).when(k == 4, F.col("amount") * (1 + 1e-14)).otherwise(F.col("amount")),
@@ -86,12 +87,12 @@ def _two_snapshots(spark, sf):
 
 @query("compare_snapshots", _COMPARED)
 def _(spark, sf):
-    return E.compare_snapshots(*_two_snapshots(spark, sf))
+    return E.compare_snapshots(*_two_snapshots(V.spot(spark, sf)))
 
 
 @query("compare_snapshots_by_ranges", _COMPARED)
 def _(spark, sf):
-    return E.compare_by_ranges(*_two_snapshots(spark, sf))
+    return E.compare_by_ranges(*_two_snapshots(settled(V.spot(spark, sf))))
 
 
 @query("archive_manifest", with_views(["master_history"], """SELECT CAST(observed_at AS DATE) AS observed_day, row_count, exchanges, array_to_string(list_sort(list_filter(['BSE', 'SSE', 'SZSE'], lambda e: NOT contains(exchanges, e))), ',') AS missing_exchanges, content_hash, n = 3 AS complete
