@@ -1,7 +1,9 @@
+import random
 import re
 
 from llm_fixtures import DOCS, documents, edge_documents, words
 
+from tidemark.llm import jaccard
 from tidemark.llm.jaccard import Bands, components, jaccard_components, parities, signatures
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,6 +86,40 @@ def test_linked_sets_share_a_signature_and_pass_the_sketch():
                 assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64).tolist()) <= len(a) + len(b) - 2 * both
 
 
+def test_linked_sets_share_more_signatures_than_they_can_spare():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        bands = Bands(percent)
+        for n in [5, 12, 19, 40, 58, 100, 333, 1000, 2500]:
+            for _ in range(12):
+                a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+                most = 100 * n // percent - n
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[: n - int(rng.integers(0, n - n * percent // 100 + 1))]], rng.integers(0, 2**63, int(rng.integers(0, most + 1))).astype(np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    shared = np.intersect1d(signatures(a, bands), signatures(b, bands)).size
+                    assert shared > min(bands.spare(len(a)), bands.spare(len(b))), (percent, n)
+
+
+def test_texts_with_a_common_passage_make_few_pairs(spark, monkeypatch):
+    """Signatures of the passage alone are left out: 80 unlike texts that hold it hardly form a pair."""
+    made, plain = {}, jaccard.kept
+
+    def counted(df, name, *args):
+        out = plain(df, name, *args)
+        made[name] = made.get(name, 0) + (out.count() if name in ("star-pairs", "pairs") and "least" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "kept", counted)
+    rng, common = random.Random(1), [f"c{k}" for k in range(40)]
+    rows = [(k, " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(1000)]), "en", "a", 1) for k in range(80)]
+    got = jaccard_components(documents(spark, rows), shingle=5, percent=80).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 80
+    assert made["star-pairs"] + made["pairs"] <= 8
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 90), (91, 90), (91, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}

@@ -9,6 +9,9 @@ for its own band and the next, which covers pairs across the border.
 Ranges without features would give signatures that all sets share.  One range more than needed is
 cut, so two ranges qualify for every similar pair, and empty signatures are only written by sets that
 have them in two ranges or more.
+
+Signatures of little more than a common line are shared by many unlike sets.  With further ranges to
+spare, each set leaves out its most common ones exactly: a similar pair meets in more ranges than that.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, PLAIN_WORD, block_slices, concat_ranges, drop, groups_of, kept, mix, n_blocks, shared_dir, text_slices, word_bounds, word_hashes
@@ -33,6 +36,8 @@ BLOOM_BITS = 1 << 24
 SKETCH = 8
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
 VERIFY_BYTES = 1 << 19
+#: One more range is cut for so many differences, so that sets can leave out common signatures.
+SPARE_PART = 16
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +81,19 @@ class Bands:
             self.of(self.high[-1] + 1)
         return (100 - self.percent) * 2 * self.high[band] // (100 + self.percent)
 
+    def ranges(self, band: int) -> int:
+        k = self.differences(band)
+        return k // 2 + 2 + k // SPARE_PART
+
+    def spare(self, size: int) -> int:
+        """How many written signatures a set of this size can leave out and still meet every similar one: of
+        the ranges with at most one difference one may have empty signatures, and one has to be left."""
+        most, own, found = (100 - self.percent) * (size + size * 100 // self.percent) // (100 + self.percent), self.of(size), []
+        for band in (own, own + 1):
+            k = self.differences(band)
+            found.append(self.ranges(band) - min(most, k) // 2 - 2 if k else 0)
+        return min(found)
+
 
 def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     """The signatures of one set."""
@@ -89,7 +107,7 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
         if k == 0:
             out.append(mix(sums[-1:] + np.array([band], np.uint64) * _A))
             continue
-        ranges = k // 2 + 2
+        ranges = bands.ranges(band)
         m = 3 * ranges
         at = np.searchsorted(features, (np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m)))
         at = np.concatenate([[0], at, [n]])
@@ -246,7 +264,8 @@ def _groups_of_block(table: pa.Table) -> pa.Table:
     return pa.table(_as_groups(*_collapsed(sig[many], node[many], np.repeat(node[starts[:-1]], n)[many])))
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpack(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    bands = Bands(percent)
     for batch in batches:
         for r in range(batch.num_rows):
             a, b = np.frombuffer(batch.column(2)[r].as_py(), np.int64).reshape(3, -1), np.frombuffer(batch.column(3)[r].as_py(), np.int64).reshape(2, -1)
@@ -254,12 +273,13 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch, longs = c[: a.shape[1] * SKETCH].reshape(-1, SKETCH), wide_longs(a[1])
             ends = np.concatenate([[0], np.cumsum(longs)]).astype(np.int32)
             wide = pa.ListArray.from_arrays(pa.array(ends), pa.array(c[a.shape[1] * SKETCH :])) if len(longs) else pa.array([], pa.list_(pa.int64()))
+            spare = pa.array([bands.spare(n) if n else 0 for n in a[1].tolist()], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x) for x in (*a, *b, *sketch.T)), wide, pa.array(batch.column(5)[r].as_py(), pa.int64()), pa.array(batch.column(6)[r].as_py(), pa.int64())],
-                ["node", "size", "rep", "h1", "h2", *SKETCHES, "wide", "doc_id", "mark"])
+                [*(pa.array(x) for x in (*a, *b, *sketch.T)), wide, spare, pa.array(batch.column(5)[r].as_py(), pa.int64()), pa.array(batch.column(6)[r].as_py(), pa.int64())],
+                ["node", "size", "rep", "h1", "h2", *SKETCHES, "wide", "spare", "doc_id", "mark"])
 
 
-NODES = "node long, size long, rep long, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SKETCHES) + ", wide array<bigint>, doc_id long, mark long"
+NODES = "node long, size long, rep long, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SKETCHES) + ", wide array<bigint>, spare long, doc_id long, mark long"
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -354,22 +374,30 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     _scan(rows, shingle, percent, n_blocks(spark)).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     kinds = spark.read.schema(PACKED).parquet(path)
     scan = lambda kind: kinds.where(F.col("kind") == kind).select("kind", "block", "a", "b", "c", "ids", "marks")
-    every = kept(scan("docs").mapInArrow(_unpack, NODES), "nodes")
+    every = kept(scan("docs").mapInArrow(lambda batches: _unpack(batches, percent), NODES), "nodes")
     nodes = every.where("node = rep")
     groups = kept(scan("sigs").select("block", "a", "b", "c").groupBy("block").applyInArrow(_groups_of_block, GROUPS), "groups")
     drop(path)
     star = kept(groups.where("node != first").groupBy("first", "node").agg(F.sum("weight").alias("shared")), "star")
     best = kept(star.groupBy("node").agg(F.max_by("first", F.struct("shared", -F.col("first"))).alias("first")), "best").select(F.col("first").alias("a"), F.col("node").alias("b"))
     roots = forest_roots(_verified(best, nodes, rows, shingle, percent).select(F.col("b").alias("node"), F.col("a").alias("root")))
-    members = groups.select("sig", "node").unionByName(groups.select("sig", F.col("first").alias("node")).distinct()).distinct()
+    members = groups.groupBy("sig", "node").agg(F.sum("weight").alias("weight"))
     members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def apart(of: DataFrame) -> DataFrame:
-        """Members of signatures that lie in several trees; of the signatures with the same members one is
-        kept: two near copies meet once, not once for each signature they share."""
-        listed = of.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (0, 1)], F.count(F.lit(1)).alias("n"))
-        one = listed.where("low != high").groupBy("x0", "x1", "n").agg(F.min("sig").alias("sig")).select("sig")
-        return of.join(one, "sig", "left_semi")
+        """Members of signatures that lie in several trees, with the number n of members; of the signatures with the
+        same members one is kept, with their number as weight: two near copies meet once, not once for each signature."""
+        listed = of.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (0, 1)], F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+        one = listed.where("low != high").groupBy("x0", "x1", "n").agg(F.min("sig").alias("sig"), F.sum("weight").alias("weight")).select("sig", "n", "weight")
+        return of.drop("n", "weight").join(one, "sig")
+
+    def telling(of: DataFrame) -> DataFrame:
+        """Members without the most common signatures of each set, as many as it has to spare.  One order holds for all
+        sets, so what either of two similar sets leaves out of those they share is no more than one of them can spare."""
+        most = Window.partitionBy("node").orderBy(F.col("n").desc(), "sig").rowsBetween(Window.unboundedPreceding, 0)
+        facts = nodes.select("node", "size", "spare", *SKETCHES)
+        ordered = of.withColumn("left_out", F.sum("weight").over(most))
+        return ordered.join(facts, "node").where("left_out > spare").drop("left_out", "spare")
 
     def side(of: DataFrame, x: str) -> DataFrame:
         return of.select("sig", F.col("node").alias(x), F.col("root").alias(f"{x}_r"), *[F.col(c).alias(f"{x}_{c}") for c in ("size", *SKETCHES)])
@@ -407,7 +435,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return of
 
     # every member with one of its signature's smallest tree: a row per member, and most trees that belong together meet
-    members = kept(apart(members).join(nodes.select("node", "size", *SKETCHES), "node"), "members")
+    members = kept(telling(apart(members)), "members")
     centre = side(members, "x").groupBy("sig").agg(F.min(F.struct("x_r", "x", "x_size", *[f"x_{c}" for c in SKETCHES])).alias("c")).select("sig", "c.*")
     met = side(members, "y").join(centre, "sig").where((F.col("x_r") != F.col("y_r")) & may_link("x", "y", percent))
     first = nearest_of(as_pairs(met, [best], "star-pairs"))
