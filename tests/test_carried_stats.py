@@ -59,3 +59,16 @@ def test_rows_are_dealt_by_block_not_counted_by_day(spark, monkeypatch):
     bars = spark.createDataFrame([(s, day + dt.timedelta(n), 10.0 + n % 7 + len(s), 1e9) for s in ("A", "BB") for n in range(70) if s == "A" or n != 65], "symbol string, trade_date date, close double, amount double")
     got = factors.historical_rankings(bars)
     assert {r["rank"] for r in got.collect()} <= {1, 2} and got.count() == 19
+
+
+def test_panel_is_dealt_by_symbol_once(spark, monkeypatch):
+    import datetime as dt
+
+    seen, plain = [], factors.settled
+    monkeypatch.setattr(factors, "settled", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    day = dt.date(2024, 1, 1)
+    bars = spark.createDataFrame([(s, day + dt.timedelta(n), 10.0 + n % 7 + len(s), 1e9) for s in ("A", "BB") for n in range(70) if s == "A" or n != 65], "symbol string, trade_date date, close double, amount double")
+    got = factors.historical_rankings(bars)
+    (spans,) = [p for p in seen if "MapInArrow" in p]
+    assert spans.count("Exchange hashpartitioning(symbol") == 1
+    assert sorted((r.as_of.day, r.symbol) for r in got.where("as_of >= '2024-03-06'").collect()) == [(6, "A"), (7, "A"), (7, "BB"), (8, "A"), (8, "BB"), (9, "A"), (9, "BB"), (10, "A"), (10, "BB")]
