@@ -35,6 +35,10 @@ def daily_ranking(bars: DataFrame, candidates: DataFrame, config: ScoreConfig =
     return DailyRanking(named, exclusions, failures, selection_summary(ranking, exclusions, failures, top_n))
 
 
+#: Columns of the rankings that a portfolio sweep reads.
+SWEPT = ["as_of", "symbol", "rank", "board", "is_st", "close", "momentum_20", "trend_close_ma20"]
+
+
 class WalkForward(NamedTuple):
     rankings: DataFrame
     signals: DataFrame
@@ -51,17 +55,18 @@ def walk_forward(
 ) -> WalkForward:
     """Rankings for every date -> signals of every config -> fills and equity -> blocks.
 
-    With ``candidates`` (as_of, symbol, ...) only names observed that day are ranked.
+    With ``candidates`` (as_of, symbol, ...) only names observed that day are ranked.  ``rankings`` is a lazy plan.
     """
     if candidates is None:
         ranked = historical_rankings(bars, config, metadata=metadata, **gates)
     else:
         ranked, _ = strict_rankings(bars, candidates, config, **gates)
-    ranked = settled(ranked)
-    signals = settled(portfolio_sweep(ranked, etf_bars, configs))
+    # what the sweep reads is written, not the whole ranking
+    swept = settled(ranked.select(*SWEPT))
+    signals = settled(portfolio_sweep(swept, etf_bars, configs))
     # a name in both tables is taken from the stock bars
     both = etf_bars.withColumn("_side", F.lit(0)).unionByName(bars.withColumn("_side", F.lit(1)))
-    market = latest_per_key(both, ["symbol", "trade_date"], ["_side"]).drop("_side")
+    market = settled(latest_per_key(both, ["symbol", "trade_date"], ["_side"]).drop("_side"))  # read for fills and for equity
     keys = ["config_id"]
     fills = signal_fills(signals, market, capital, rules, keys=keys)
     equity = settled(target_weight_equity(signals, market, initial=capital, keys=keys))
